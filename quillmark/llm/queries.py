@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import grouping, splitting, tokenizing
+from quillmark.llm import grouping, sentences, splitting, tokenizing
 from quillmark.session import once_per_key, table
 
 
@@ -30,6 +30,21 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.join(fed, "sample", "left").withColumn("n_predictions", F.coalesce("n_predictions", F.lit(0)))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    once = once_per_key(table(spark, sf_dir, "sentences"), "sentence_id", "text", order="arrived_at")
+    return once.select("sentence_id", F.explode(sentences.sentence_ends("text")).alias("end_pos"))
+
+
+def p2_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence in order, with its text."""
+    once = once_per_key(table(spark, sf_dir, "sentences"), "sentence_id", "text", "lang", order="arrived_at")
+    found = once.withColumn("ends", sentences.sentence_ends("text"))
+    at = found.select("*", F.posexplode("ends").alias("at", "end_pos"))
+    start = F.when(F.col("at") == 0, F.lit(0)).otherwise(F.get("ends", F.col("at") - 1))
+    unit = F.regexp_replace(F.substring("text", start + 1, F.col("end_pos") - start), r"^[\s\p{Z}\x85\ufeff]+", "")
+    return at.select("sentence_id", (F.col("at") + 1).alias("sentence_no"), "end_pos", "lang", unit.alias("sentence"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.must_share(grouping.tied(table(spark, sf_dir, "nn_predictions")))
 
@@ -48,7 +63,7 @@ def _tasks(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p6_found, p6_splits, p8_ids)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_sentences, p6_found, p6_splits, p8_ids)}
 
 ORACLE: dict[str, str] = {
     "p1_found": r"""SELECT DISTINCT segment_id FROM segments
