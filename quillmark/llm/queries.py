@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import grouping, sentences, splitting, tokenizing
-from quillmark.session import once_per_key, table
+from quillmark.llm import encoding, grouping, sentences, splitting, tokenizing
+from quillmark.session import checkpoint, once_per_key, table
 
 
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,25 @@ def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.split_related(grouping.tied(table(spark, sf_dir, "nn_predictions")))
 
 
+def _read_anew(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = ("history", "batch_items")) -> DataFrame:
+    """Every non-null text of history and path of batch_items once, with what its bytes say when read anew."""
+    rows = once_per_key(table(spark, sf_dir, "history"), "id", "input_text", order="arrived_at").select(F.lit("history").alias("tbl"), F.col("id").alias("row_id"), F.col("input_text").alias("text"))
+    paths = once_per_key(table(spark, sf_dir, "batch_items"), "item_id", "path", order="arrived_at").select(F.lit("batch_items"), F.col("item_id").cast("string"), F.col("path"))
+    # written out once: the statistics and the search both read it, and the search wants even parts
+    texts = checkpoint(rows.union(paths).filter("text is not null").repartition(_tasks(spark), "row_id"))
+    counts = encoding.corpus_counts(texts)
+    return encoding.wrongly_decoded(texts.filter(F.col("tbl").isin(*tables) & F.col("text").rlike("[^\\x00-\\x7f]")), counts)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read_anew(spark, sf_dir).filter("damaged").select("tbl", "row_id")
+
+
+def p7_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The damaged texts and what could be recovered; ``whole`` where no character is lost."""
+    return _read_anew(spark, sf_dir).filter("damaged").select("tbl", "row_id", "restored", (~F.col("restored").rlike("[\ufffd\x80-\x9f]")).alias("whole"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     # One row group may hold the whole table: spread the texts before Python sees them.
@@ -63,7 +82,7 @@ def _tasks(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_sentences, p6_found, p6_splits, p8_ids)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_sentences, p6_found, p6_splits, p7_found, p7_restored, p8_ids)}
 
 ORACLE: dict[str, str] = {
     "p1_found": r"""SELECT DISTINCT segment_id FROM segments
