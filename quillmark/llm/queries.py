@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import encoding, grouping, sentences, splitting, tokenizing
+from quillmark.llm import encoding, grouping, sentences, splitting, tokenizing, truncation
 from quillmark.session import checkpoint, once_per_key, table
 
 
@@ -78,11 +78,24 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.repartition(_tasks(spark), "doc_id").select("doc_id", tokenizing.token_ids("text").alias("ids"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.find_cut(table(spark, sf_dir, "documents")).filter("cut").select("doc_id")
+
+
+def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source cuts: all its documents, blank ones included, and the cut ones."""
+    docs = table(spark, sf_dir, "documents")
+    cut = truncation.find_cut(docs).filter("cut").groupBy("source").agg(F.count(F.lit(1)).alias("n_cut"))
+    total = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"))
+    n = F.coalesce("n_cut", F.lit(0))
+    return total.join(cut, total["source"].eqNullSafe(cut["source"]), "left").select(total["source"], "n_documents", n.alias("n_cut"), (n / F.col("n_documents")).alias("share_cut"))
+
+
 def _tasks(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_sentences, p6_found, p6_splits, p7_found, p7_restored, p8_ids)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_sentences, p6_found, p6_splits, p7_found, p7_restored, p8_ids, p10_found, p10_sources)}
 
 ORACLE: dict[str, str] = {
     "p1_found": r"""SELECT DISTINCT segment_id FROM segments
