@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import encoding, grouping, sentences, splitting, tokenizing, truncation
+from quillmark.llm import bitext, encoding, grouping, sentences, splitting, tokenizing, truncation
 from quillmark.session import checkpoint, once_per_key, table
 
 
@@ -45,6 +45,34 @@ def p2_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("sentence_id", (F.col("at") + 1).alias("sentence_no"), "end_pos", "lang", unit.alias("sentence"))
 
 
+def _bitexts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Bitexts once with both sides as lists in order; pairs of sentences that translate one another."""
+    once = once_per_key(table(spark, sf_dir, "alignments"), "bitext_id", "pairs", "unmatched_zh", "unmatched_en", order="arrived_at")
+    side = lambda name: F.concat(F.coalesce(F.col(f"pairs.{name}"), F.array().cast("array<string>")), F.coalesce(f"unmatched_{name}", F.array().cast("array<string>")))
+    texts = checkpoint(once.select("bitext_id", side("zh").alias("zh"), side("en").alias("en")).repartition(_tasks(spark), "bitext_id"))
+    # the word list counts as short documents; its wrong entries are outvoted by the texts
+    words = table(spark, sf_dir, "glossary").select(F.array_repeat("zh_term", 3).alias("zh"), F.array_repeat("en_term", 3).alias("en"))
+    learnt = texts.select("zh", "en").union(words)
+    vectors = bitext.learn(learnt, vectors=bitext.learn(learnt))
+    return texts, texts.select("bitext_id", F.explode(bitext.translations(texts, vectors)).alias("p")).select("bitext_id", "p.zh_no", "p.en_no")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bitexts(spark, sf_dir)[1]
+
+
+def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences without a counterpart: side, number and text."""
+    texts, pairs = _bitexts(spark, sf_dir)
+    pairs = checkpoint(pairs)
+    out = None
+    for lang in ("zh", "en"):
+        every = texts.select("bitext_id", F.posexplode(lang).alias("at", "sentence")).select("bitext_id", F.lit(lang).alias("side"), (F.col("at") + 1).alias("no"), "sentence")
+        left = every.join(pairs.select("bitext_id", F.col(f"{lang}_no").alias("no")).distinct(), ["bitext_id", "no"], "left_anti").select("bitext_id", "side", "no", "sentence")
+        out = left if out is None else out.union(left)
+    return out
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.must_share(grouping.tied(table(spark, sf_dir, "nn_predictions")))
 
@@ -95,7 +123,7 @@ def _tasks(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_sentences, p6_found, p6_splits, p7_found, p7_restored, p8_ids, p10_found, p10_sources)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_sentences, p5_found, p5_unmatched, p6_found, p6_splits, p7_found, p7_restored, p8_ids, p10_found, p10_sources)}
 
 ORACLE: dict[str, str] = {
     "p1_found": r"""SELECT DISTINCT segment_id FROM segments
