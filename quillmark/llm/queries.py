@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import bitext, encoding, grouping, sentences, splitting, tokenizing, truncation
+from quillmark.llm import bitext, encoding, grouping, leakage, sentences, splitting, tokenizing, truncation
 from quillmark.session import checkpoint, once_per_key, table
 
 
@@ -106,6 +106,11 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.repartition(_tasks(spark), "doc_id").select("doc_id", tokenizing.token_ids("text").alias("ids"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(_tasks(spark), "doc_id")
+    return leakage.leaked(leakage.leaks(docs, table(spark, sf_dir, "eval_items"))).select("doc_id", "item_id")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.find_cut(table(spark, sf_dir, "documents")).filter("cut").select("doc_id")
 
@@ -123,7 +128,7 @@ def _tasks(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_sentences, p5_found, p5_unmatched, p6_found, p6_splits, p7_found, p7_restored, p8_ids, p10_found, p10_sources)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_sentences, p5_found, p5_unmatched, p6_found, p6_splits, p7_found, p7_restored, p8_ids, p9_found, p10_found, p10_sources)}
 
 ORACLE: dict[str, str] = {
     "p1_found": r"""SELECT DISTINCT segment_id FROM segments
