@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import bitext, encoding, grouping, leakage, sentences, splitting, tokenizing, truncation
+from quillmark.llm import bitext, encoding, grouping, leakage, neighbours, sentences, splitting, tokenizing, truncation
 from quillmark.session import checkpoint, once_per_key, table
 
 
@@ -45,6 +45,22 @@ def p2_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("sentence_id", (F.col("at") + 1).alias("sentence_no"), "end_pos", "lang", unit.alias("sentence"))
 
 
+FEATURES = 50
+
+
+def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 most similar other vectors of every usable vector."""
+    once = once_per_key(table(spark, sf_dir, "feature_vectors"), "vec_id", "function_word_freq", order="arrived_at")
+    # read twice: for the fit and for the index
+    once = checkpoint(once.repartition(_tasks(spark), "vec_id"))
+    return neighbours.most_similar(once, "vec_id", "function_word_freq", FEATURES)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = p4_neighbours(spark, sf_dir)
+    return near.select(F.least("query", "neighbour").alias("vec_a"), F.greatest("query", "neighbour").alias("vec_b")).distinct()
+
+
 def _bitexts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Bitexts once with both sides as lists in order; pairs of sentences that translate one another."""
     once = once_per_key(table(spark, sf_dir, "alignments"), "bitext_id", "pairs", "unmatched_zh", "unmatched_en", order="arrived_at")
@@ -128,7 +144,7 @@ def _tasks(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_sentences, p5_found, p5_unmatched, p6_found, p6_splits, p7_found, p7_restored, p8_ids, p9_found, p10_found, p10_sources)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_sentences, p4_found, p4_neighbours, p5_found, p5_unmatched, p6_found, p6_splits, p7_found, p7_restored, p8_ids, p9_found, p10_found, p10_sources)}
 
 ORACLE: dict[str, str] = {
     "p1_found": r"""SELECT DISTINCT segment_id FROM segments
