@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import bitext, encoding, grouping, leakage, neighbours, sentences, splitting, tokenizing, truncation
+from quillmark.llm import bitext, encoding, grouping, leakage, neighbours, reading, sentences, splitting, tokenizing, truncation
 from quillmark.session import checkpoint, once_per_key, table
 
 
@@ -45,6 +45,24 @@ def p2_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("sentence_id", (F.col("at") + 1).alias("sentence_no"), "end_pos", "lang", unit.alias("sentence"))
 
 
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reading level of every text of history."""
+    scale = reading.learn_scale(table(spark, sf_dir, "reading_levels"))
+    once = once_per_key(table(spark, sf_dir, "history"), "id", "input_text", order="arrived_at").filter("input_text is not null")
+    texts = once.repartition(_tasks(spark), "id")
+    return texts.withColumn("r", reading.reading_level(texts, scale, "input_text")).select(F.col("id").alias("history_id"), "r.score", "r.level")
+
+
+def p3_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _levels(spark, sf_dir)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a wrongly decoded text has the level of its garbage; such texts are another problem's cases
+    damaged = _read_anew(spark, sf_dir, ("history",)).filter("damaged").select(F.col("row_id").alias("history_id"))
+    return _levels(spark, sf_dir).filter("level = 4").select("history_id").join(damaged, "history_id", "left_anti")
+
+
 FEATURES = 50
 
 
@@ -144,7 +162,7 @@ def _tasks(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_sentences, p4_found, p4_neighbours, p5_found, p5_unmatched, p6_found, p6_splits, p7_found, p7_restored, p8_ids, p9_found, p10_found, p10_sources)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_sentences, p3_found, p3_levels, p4_found, p4_neighbours, p5_found, p5_unmatched, p6_found, p6_splits, p7_found, p7_restored, p8_ids, p9_found, p10_found, p10_sources)}
 
 ORACLE: dict[str, str] = {
     "p1_found": r"""SELECT DISTINCT segment_id FROM segments
