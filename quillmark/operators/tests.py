@@ -1,0 +1,89 @@
+"""Rank tests, permutation and bootstrap."""
+
+from __future__ import annotations
+
+import math
+import random
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+
+def signed_ranks(diffs: DataFrame, value: str = "diff") -> DataFrame:
+    """Mean ranks of the absolute non-zero differences. The differences are one per work or label, few enough to sort."""
+    nz = diffs.filter(F.col(value) != 0).select(F.col(value).alias("d"), F.round(F.abs(value), 12).alias("a"))
+    w = Window.orderBy("a")
+    return nz.select("d", (F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy("a")) - 1) / 2).alias("rank"))
+
+
+def wilcoxon(diffs: DataFrame, value: str = "diff") -> DataFrame:
+    """One row: W+ and W-, z by normal approximation without corrections, two-sided p (1 below three differences), r."""
+    r = signed_ranks(diffs, value)
+    plus, minus = F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("rank"))), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("rank"))), F.lit(0.0))
+    one = r.agg(F.count(F.lit(1)).alias("n"), plus.alias("w_plus"), minus.alias("w_minus"))
+    n = F.col("n")
+    sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24)
+    z = F.when(n >= 3, (F.least("w_plus", "w_minus") - n * (n + 1) / 4) / F.when(n >= 3, sd).otherwise(1.0)).otherwise(0.0)
+    total = F.col("w_plus") + F.col("w_minus")
+    return one.withColumn("z", z).withColumn("r", F.when(total > 0, (F.col("w_plus") - F.col("w_minus")) / F.when(total > 0, total).otherwise(1.0)).otherwise(0.0))
+
+
+@F.udf("double")
+def p_two_sided(z: float | None) -> float | None:
+    """p of a z value; a single number for each test, so a plain function is enough."""
+    return None if z is None else min(1.0, math.erfc(abs(z) / math.sqrt(2)))
+
+
+def permutation(own: list[float], others: list[float], n: int = 10_000, seed: int = 42) -> float:
+    """One-sided permutation p of the difference of means, with a generator of its own; 1 if a side is empty."""
+    if not own or not others:
+        return 1.0
+    rng, pool, k = random.Random(seed), [*own, *others], len(own)
+    seen = sum(own) / k - sum(others) / len(others)
+    hits = 0
+    for _ in range(n):
+        rng.shuffle(pool)
+        hits += sum(pool[:k]) / k - sum(pool[k:]) / len(others) >= seen
+    return (hits + 1) / (n + 1)
+
+
+def _unit(seed: int, *parts: Column) -> Column:
+    """A reproducible number in [0, 2^32) from md5, the same in any engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("bigint")
+
+
+def permutation_md5(values: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """``values(id, own, x)``: the test with draws ordered by md5, all draws in parallel. One row."""
+    draws = values.crossJoin(values.sparkSession.range(n).withColumnRenamed("id", "draw"))
+    k = values.agg(F.count(F.when(F.col("own"), 1)).alias("k"), F.count(F.when(~F.col("own"), 1)).alias("m"), (F.avg(F.when(F.col("own"), F.col("x"))) - F.avg(F.when(~F.col("own"), F.col("x")))).alias("seen"))
+    at = F.row_number().over(Window.partitionBy("draw").orderBy(_unit(seed, F.col("draw"), F.col("id")), "id"))
+    ranked = draws.withColumn("at", at).crossJoin(F.broadcast(k))
+    first = F.col("at") <= F.col("k")
+    each = ranked.groupBy("draw").agg((F.avg(F.when(first, F.col("x"))) - F.avg(F.when(~first, F.col("x")))).alias("d"), F.first("seen").alias("seen"))
+    return each.agg(F.count(F.when(F.round("d", 12) >= F.round("seen", 12), 1)).alias("hits"), F.count(F.lit(1)).alias("draws")).select("hits", "draws", ((F.col("hits") + 1) / (F.col("draws") + 1)).alias("p_value"))
+
+
+def pair_sums(edges: DataFrame, value: str) -> DataFrame:
+    """Counts, sums and sums of squares by two works and whether the groups are the same: all that resampling works needs."""
+    x = F.col(value)
+    return edges.groupBy(F.least("wa", "wb").alias("s1"), F.greatest("wa", "wb").alias("s2"), (F.col("ga") == F.col("gb")).alias("same")).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
+
+
+def bootstrap_md5(edges: DataFrame, value: str, n: int, seed: int = 20260818) -> DataFrame:
+    """Cohen's d of ``n`` resamples of the works, drawn by md5; one row for each draw where it is defined."""
+    sums = pair_sums(edges, value)
+    works = edges.select(F.explode(F.array("wa", "wb")).alias("w")).distinct()
+    listed = works.agg(F.array_sort(F.collect_set("w")).alias("all"))
+    draws = listed.crossJoin(edges.sparkSession.range(n).withColumnRenamed("id", "draw")).select("draw", "all", F.explode(F.sequence(F.lit(1), F.size("all"))).alias("slot"))
+    picked = draws.select("draw", F.element_at("all", (_unit(seed, F.col("draw"), F.col("slot")) % F.size("all")).cast("int") + 1).alias("w")).groupBy("draw", "w").agg(F.count(F.lit(1)).alias("c"))
+    a, b = (picked.select("draw", F.col("w").alias(s), F.col("c").alias(c)) for s, c in (("s1", "c1"), ("s2", "c2")))
+    weight = F.col("c1") * F.col("c2")
+    joined = sums.join(a, "s1").join(b, ["draw", "s2"])
+    put = lambda c, same: F.sum(F.when(F.col("same") == same, weight * F.col(c)).otherwise(0))
+    t = joined.groupBy("draw").agg(*(put(c, same).alias(f"{c}_{int(same)}") for c in "nsq" for same in (True, False))).filter("n_1 >= 2 and n_0 >= 2")
+    var = lambda k: F.greatest(F.lit(0.0), (F.col(f"q_{k}") - F.col(f"s_{k}") * F.col(f"s_{k}") / F.col(f"n_{k}")) / (F.col(f"n_{k}") - 1))
+    from quillmark.operators.metrics import cohens_d
+
+    d = cohens_d(F.col("s_1") / F.col("n_1"), F.col("s_0") / F.col("n_0"), F.sqrt(var(1)), F.sqrt(var(0)), F.col("n_1"), F.col("n_0"))
+    return t.select("draw", d.alias("d"))
