@@ -19,6 +19,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: inside a lambda an expression would be computed for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(text: Column | str) -> Column:
     """Without white space at either end, Unicode white space and separators included."""
     return F.regexp_replace(text, r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$", "")
@@ -101,24 +106,31 @@ def chunks(text: Column | str, size: int) -> Column:
     """Pieces of ``size`` words that end with a word; a last piece of less than half of that is dropped, text behind it too."""
     if size <= 0:
         raise ValueError("size must be positive")
-    pieces = F.filter(F.split(_c(text), r"(?<=[A-Za-z])(?![A-Za-z])", -1), lambda p: p.rlike("[A-Za-z]$"))
-    n = F.size(pieces)
-    rest = n % size
-    count = (F.floor(n / size) + F.when((rest > 0) & (2 * rest >= size), 1).otherwise(0)).cast("int")
-    at = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda k: F.array_join(F.slice(pieces, (k - 1) * size + 1, size), ""))
+    ends = F.filter(F.split(_c(text), r"(?<=[A-Za-z])(?![A-Za-z])", -1), lambda p: p.rlike("[A-Za-z]$"))
+
+    def cut(pieces: Column) -> Column:
+        n = F.size(pieces)
+        rest = n % size
+        count = (F.floor(n / size) + F.when((rest > 0) & (2 * rest >= size), 1).otherwise(0)).cast("int")
+        at = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda k: F.array_join(F.slice(pieces, (k - 1) * size + 1, size), ""))
+
+    return bound(ends, cut)
 
 
 def ngrams(text: Column | str, n: int = 4, lang: str = "en") -> Column:
     """Runs of n characters of the letters (en), or of what isn't a mark or blank (zh)."""
     drop = r"[^\p{L}]" if lang == "en" else "[" + re.escape(W.EN_MARKS + W.ZH_MARKS) + r"\x00-\x20]"
-    clean = F.lower(F.regexp_replace(text, drop, "")) if lang == "en" else F.regexp_replace(text, drop, "")
-    return F.when(F.length(clean) >= n, F.transform(F.sequence(F.lit(1), F.length(clean) - n + 1), lambda i: F.substring(clean, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    clean = F.regexp_replace(text, drop, "")
+    letters = F.filter(F.split(F.lower(clean) if lang == "en" else clean, ""), lambda c: c != "")
+    none = F.array().cast("array<string>")
+    return bound(letters, lambda cs: F.when(F.size(cs) >= n, F.transform(F.sequence(F.lit(0), F.size(cs) - n), lambda i: F.concat(*[F.get(cs, i + k) for k in range(n)]))).otherwise(none))
 
 
 def bigrams(words: Column) -> Column:
     """Neighbouring words joined by a bar."""
-    return F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, F.lit("|"), b))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return bound(words, lambda w: F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit("|"), b))).otherwise(none))
 
 
 def syllable_count(word: Column | str) -> Column:

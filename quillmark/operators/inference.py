@@ -7,8 +7,11 @@ import random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
+from quillmark.operators.metrics import cohens_d
+
 
 def signed_ranks(diffs: DataFrame, value: str = "diff") -> DataFrame:
     """Mean ranks of the absolute non-zero differences. The differences are one per work or label, few enough to sort."""
@@ -29,7 +32,7 @@ def wilcoxon(diffs: DataFrame, value: str = "diff") -> DataFrame:
     return one.withColumn("z", z).withColumn("r", F.when(total > 0, (F.col("w_plus") - F.col("w_minus")) / F.when(total > 0, total).otherwise(1.0)).otherwise(0.0))
 
 
-@F.udf("double")
+@F.udf(DoubleType())
 def p_two_sided(z: float | None) -> float | None:
     """p of a z value; a single number for each test, so a plain function is enough."""
     return None if z is None else min(1.0, math.erfc(abs(z) / math.sqrt(2)))
@@ -83,7 +86,5 @@ def bootstrap_md5(edges: DataFrame, value: str, n: int, seed: int = 20260818) ->
     put = lambda c, same: F.sum(F.when(F.col("same") == same, weight * F.col(c)).otherwise(0))
     t = joined.groupBy("draw").agg(*(put(c, same).alias(f"{c}_{int(same)}") for c in "nsq" for same in (True, False))).filter("n_1 >= 2 and n_0 >= 2")
     var = lambda k: F.greatest(F.lit(0.0), (F.col(f"q_{k}") - F.col(f"s_{k}") * F.col(f"s_{k}") / F.col(f"n_{k}")) / (F.col(f"n_{k}") - 1))
-    from quillmark.operators.metrics import cohens_d
-
     d = cohens_d(F.col("s_1") / F.col("n_1"), F.col("s_0") / F.col("n_0"), F.sqrt(var(1)), F.sqrt(var(0)), F.col("n_1"), F.col("n_0"))
     return t.select("draw", d.alias("d"))

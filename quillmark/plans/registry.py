@@ -1,10 +1,539 @@
-"""All queries on the test tables by name, and the SQL that states the same."""
+"""All queries on the test tables by name."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from quillmark.functions import text as T
+from quillmark.operators import clustering, documents, fingerprint, frequencies, inference, metrics, pairs, sensitivity
+from quillmark.plans import corpus as C
+from quillmark.plans import oracle
+from quillmark.session import checkpoint, table
+from quillmark.sources import files, sinks
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+#: Decimals that results of floating-point sums are compared to.
+DIGITS = 6
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def rounded(df: DataFrame, *keep: str) -> DataFrame:
+    """Doubles to six decimals, counts as bigint, so that engines with other sums and types agree."""
+    out = []
+    for c, t in df.dtypes:
+        x = F.col(c)
+        out.append(F.round(x, DIGITS).alias(c) if t == "double" and c not in keep else x.cast("bigint").alias(c) if t in ("int", "smallint") else F.transform(x, lambda v: F.round(v, DIGITS)).alias(c) if t == "array<double>" else x)
+    return df.select(*out)
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents")
+
+
+def _analysed(spark: SparkSession, sf: str) -> DataFrame:
+    return documents.analysed(_docs(spark, sf))
+
+
+def _doc(df: DataFrame) -> DataFrame:
+    return rounded(df.withColumnRenamed("key", "doc_id"))
+
+
+# ---- languages, tokens, sentences ------------------------------------------------------------------------------------
+
+
+@query
+def lang_detect(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).filter("text is not null").select("doc_id", T.language("text").alias("detected"))
+
+
+def _token_query(pattern: str) -> Query:
+    def f(spark: SparkSession, sf: str) -> DataFrame:
+        t = _docs(spark, sf).filter("text is not null").select("doc_id", F.posexplode(T.tokens_plain("text", pattern)).alias("pos", "token"))
+        return rounded(t)
+
+    return f
+
+
+QUERIES["tok_stylometry"] = _token_query(T.WORD)
+QUERIES["tok_control"] = _token_query(T.WORD_MARKED)
+
+
+def _tokens_of(make: Callable) -> Query:
+    def f(spark: SparkSession, sf: str) -> DataFrame:
+        t = _docs(spark, sf).filter("text is not null").select("doc_id", F.posexplode(make("text")).alias("pos", "t"))
+        return rounded(t.select("doc_id", "pos", F.col("t.text").alias("token"), F.col("t.pos").alias("kind"), F.col("t.lemma").alias("lemma"), F.col("t.is_stop").alias("is_stop")))
+
+    return f
+
+
+QUERIES["tok_en"] = _tokens_of(T.tokens_en)
+QUERIES["tok_zh"] = _tokens_of(T.tokens_zh)
+QUERIES["tok_mixed"] = _tokens_of(T.tokens_mixed)
+
+
+@query
+def punct_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Which blank-separated pieces of all texts hold neither letter nor digit."""
+    w = _docs(spark, sf).filter("text is not null").select(F.explode(F.split("text", "[ \n\r\t]+")).alias("piece")).filter("piece <> ''")
+    return w.filter(T.is_mark("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def sent_split(spark: SparkSession, sf: str) -> DataFrame:
+    s = _docs(spark, sf).filter("text is not null").select("doc_id", F.posexplode(T.sentences("text")).alias("pos", "sentence"))
+    return rounded(s)
+
+
+@query
+def syllables(spark: SparkSession, sf: str) -> DataFrame:
+    w = _docs(spark, sf).filter("text is not null").select(F.explode(T.tokens_plain("text")).alias("word")).distinct()
+    return rounded(w.select("word", T.syllable_count("word").alias("syllables")))
+
+
+@query
+def char_ngrams(spark: SparkSession, sf: str) -> DataFrame:
+    g = _docs(spark, sf).filter("text is not null").select(F.explode(T.ngrams("text", 4, "en")).alias("gram"))
+    return g.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def word_bigrams(spark: SparkSession, sf: str) -> DataFrame:
+    b = _docs(spark, sf).filter("text is not null").select(F.explode(T.bigrams(T.word_list(T.tokens_en("text")))).alias("bigram"))
+    return b.groupBy("bigram").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def chunk_text(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(C.chunks(spark, sf, "1k").select("label", "chunk_no", "text"))
+
+
+@query
+def segment_text(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(documents.segments(C.corpus(spark, sf), "en").select("label", "segment_no", "text", "n_chars"))
+
+
+@query
+def work_stems(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "segments").select("label").distinct()
+    return rounded(s.select("label", F.substring_index("label", "/", 1).alias("grp"), T.work_of("label").alias("work"), T.chunk_number("label").alias("chunk_no")))
+
+
+# ---- documents -------------------------------------------------------------------------------------------------------
+
+
+@query
+def basic_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return _doc(documents.basic(_analysed(spark, sf)))
+
+
+@query
+def term_freq(spark: SparkSession, sf: str) -> DataFrame:
+    return _doc(documents.term_counts(_analysed(spark, sf)).select("key", "term", "n"))
+
+
+@query
+def pos_dist(spark: SparkSession, sf: str) -> DataFrame:
+    return _doc(documents.pos_counts(_analysed(spark, sf)))
+
+
+@query
+def keywords_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return _doc(documents.keywords(_analysed(spark, sf)))
+
+
+@query
+def batch_report(spark: SparkSession, sf: str) -> DataFrame:
+    return _doc(documents.batch(_docs(spark, sf)).select("key", "status", "error", "lang", "n_chars", "n_tokens", "n_sentences", "unique_terms", "top_terms"))
+
+
+@query
+def readability_en(spark: SparkSession, sf: str) -> DataFrame:
+    return _doc(documents.readability_en(_docs(spark, sf)))
+
+
+@query
+def readability_zh(spark: SparkSession, sf: str) -> DataFrame:
+    return _doc(documents.readability_zh(_docs(spark, sf)).select("key", "sentence_length", "token_length", "richness", "score", "level"))
+
+
+@query
+def sentiment_lexicon(spark: SparkSession, sf: str) -> DataFrame:
+    return _doc(documents.sentiment(_analysed(spark, sf)))
+
+
+@query
+def sentiment_by_sentence(spark: SparkSession, sf: str) -> DataFrame:
+    return _doc(documents.sentiment_by_sentence(_analysed(spark, sf)))
+
+
+KEYWORD = "lantern"
+
+
+@query
+def kwic_hits(spark: SparkSession, sf: str) -> DataFrame:
+    return _doc(documents.concordance(_analysed(spark, sf), KEYWORD))
+
+
+@query
+def kwic_table(spark: SparkSession, sf: str) -> DataFrame:
+    return _doc(documents.concordance_table(documents.concordance(_analysed(spark, sf), KEYWORD)))
+
+
+@query
+def align_by_place(spark: SparkSession, sf: str) -> DataFrame:
+    """The sides of each bitext as texts, paired by number."""
+    a = table(spark, sf, "alignments").dropDuplicates(["bitext_id"])
+    side = lambda x: F.array_join(F.concat(F.coalesce(F.col(f"pairs.{x}"), F.array().cast("array<string>")), F.coalesce(f"unmatched_{x}", F.array().cast("array<string>"))), "\n")
+    p = documents.align_by_place(a.select("bitext_id", side("zh").alias("zh"), side("en").alias("en")), "bitext_id", "zh", "en")
+    return p.select(F.col("key").alias("bitext_id"), F.size("pairs").cast("bigint").alias("n_pairs"), F.array_join(F.transform("pairs", lambda x: F.concat_ws("|", x["zh"], x["en"])), "\n").alias("pairs"), F.size("unmatched_zh").cast("bigint").alias("left_zh"), F.size("unmatched_en").cast("bigint").alias("left_en"))
+
+
+@query
+def rtf_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts wrapped as RTF and read back."""
+    d = _docs(spark, sf).filter("text is not null")
+    wrapped = F.concat(F.lit("{\\rtf1\\ansi "), F.regexp_replace("text", "\r\n|\r|\n", "\\\\par "), F.lit("}"))
+    return d.select("doc_id", files.rich_text(wrapped).alias("plain"))
+
+
+@query
+def html_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts as pages with a hidden script, read back by the page reader."""
+    @F.pandas_udf("string")
+    def read(x: pd.Series) -> pd.Series:
+        return x.map(files.page)
+
+    d = _docs(spark, sf).filter("text is not null")
+    page = F.concat(F.lit("<html><body><script>var x = 1;</script><p>"), F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</p></body></html>"))
+    return d.select("doc_id", read(page).alias("plain"))
+
+
+@query
+def history_latest(spark: SparkSession, sf: str) -> DataFrame:
+    h = table(spark, sf, "history").dropDuplicates(["id"])
+    return sinks.latest(h, "ts").select("id", "lang", "sentiment_label", F.round("sentiment_score", DIGITS).alias("sentiment_score"))
+
+
+# ---- frequencies and Delta -------------------------------------------------------------------------------------------
+
+
+def _words(spark: SparkSession, sf: str, tokenize: Callable = T.tokens_plain) -> DataFrame:
+    return frequencies.exploded(C.corpus(spark, sf), tokenize)
+
+
+def _freq(spark: SparkSession, sf: str, n: int = 100, tokenize: Callable = T.tokens_plain) -> DataFrame:
+    # tokenized once: the counts feed the vocabulary, the shares and the scores
+    words = checkpoint(_words(spark, sf, tokenize))
+    return frequencies.relative(words, frequencies.most_frequent(words, n))
+
+
+def _z(spark: SparkSession, sf: str, n: int = 100, tokenize: Callable = T.tokens_plain) -> DataFrame:
+    return frequencies.z_scores(checkpoint(_freq(spark, sf, n, tokenize)))
+
+
+def _delta(spark: SparkSession, sf: str, n: int = 100, tokenize: Callable = T.tokens_plain) -> DataFrame:
+    return pairs.delta(frequencies.vectors(_z(spark, sf, n, tokenize)))
+
+
+def _kept(spark: SparkSession, sf: str) -> DataFrame:
+    return checkpoint(_delta(spark, sf))
+
+
+@query
+def mfw_top100(spark: SparkSession, sf: str) -> DataFrame:
+    return frequencies.most_frequent(_words(spark, sf))
+
+
+@query
+def rel_freq(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_freq(spark, sf))
+
+
+@query
+def zscore(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_z(spark, sf))
+
+
+@query
+def dropped_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the 500 most frequent words those that every sample uses alike."""
+    return frequencies.constant_words(_freq(spark, sf, 500))
+
+
+@query
+def delta_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_delta(spark, sf))
+
+
+@query
+def delta_control(spark: SparkSession, sf: str) -> DataFrame:
+    """Delta with the tokenizer that keeps apostrophes."""
+    return rounded(_delta(spark, sf, 100, lambda t: T.tokens_plain(t, T.WORD_MARKED)))
+
+
+@query
+def delta_groups_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """The square matrix between groups, as rows of a wide table turned to long form again."""
+    words = checkpoint(frequencies.exploded(C.groups(spark, sf)))
+    z = frequencies.z_scores(checkpoint(frequencies.relative(words, frequencies.most_frequent(words))))
+    wide = sinks.matrix_wide(checkpoint(pairs.delta(frequencies.vectors(z))))
+    cells = [F.struct(F.lit(c).alias("lb"), F.col(f"`{c}`").alias("d")) for c in wide.columns[1:]]
+    return rounded(wide.select("la", F.explode(F.array(*cells)).alias("c")).select("la", "c.lb", "c.d"))
+
+
+@query
+def delta_within_cross(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(metrics.within_across(_delta(spark, sf)))
+
+
+@query
+def nn_loo(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(metrics.predictions(_delta(spark, sf)))
+
+
+@query
+def nn_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(metrics.accuracy(metrics.predictions(_delta(spark, sf))))
+
+
+@query
+def nn_structure(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(metrics.structure(metrics.predictions(_delta(spark, sf))))
+
+
+@query
+def signal_competition(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(metrics.competition(_kept(spark, sf)))
+
+
+@query
+def signal_wins(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(metrics.wins(metrics.competition(_kept(spark, sf))))
+
+
+@query
+def orphans(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.orphans(C.corpus(spark, sf).select("label"))
+
+
+@query
+def delta_excl_same_story(spark: SparkSession, sf: str) -> DataFrame:
+    g = metrics.with_groups(_delta(spark, sf)).filter("wa <> wb").select("la", "lb", "d")
+    return rounded(metrics.group_effect(g, "d"))
+
+
+@query
+def mfw_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
+    """The competition for four numbers of words."""
+    out = None
+    for n in (50, 100, 200, 500):
+        one = metrics.wins(metrics.competition(checkpoint(_delta(spark, sf, n)))).withColumn("top_n", F.lit(n))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
+@query
+def cluster_merges(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(clustering.cluster(_kept(spark, sf), "average"))
+
+
+@query
+def linkage_merges(spark: SparkSession, sf: str) -> DataFrame:
+    """Merge heights for all four linkages, and how many works form a cluster of their own."""
+    edges = _kept(spark, sf)
+    labels = C.corpus(spark, sf).select("label")
+    out = None
+    for linkage in clustering.LINKAGES:
+        tree = clustering.cluster(edges, linkage)
+        one = tree.agg(F.count(F.lit(1)).alias("merges"), F.max("height").alias("top")).withColumn("linkage", F.lit(linkage)).crossJoin(clustering.exact_works(tree, labels).agg(F.count(F.lit(1)).alias("exact_works")))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
+# ---- fingerprints ----------------------------------------------------------------------------------------------------
+
+
+def _lists(spark: SparkSession, sf: str) -> DataFrame:
+    return checkpoint(fingerprint._lists(C.corpus(spark, sf), "en"))
+
+
+def _features(spark: SparkSession, sf: str) -> DataFrame:
+    return checkpoint(fingerprint.features(_lists(spark, sf)))
+
+
+def _vocabulary(kind: str) -> Query:
+    def f(spark: SparkSession, sf: str) -> DataFrame:
+        return rounded(fingerprint.vocabulary(_lists(spark, sf), kind))
+
+    return f
+
+
+def _shares(kind: str) -> Query:
+    def f(spark: SparkSession, sf: str) -> DataFrame:
+        lists = _lists(spark, sf)
+        return rounded(fingerprint.shares(lists, kind, fingerprint.vocabulary(lists, kind)).select("label", "term", "f"))
+
+    return f
+
+
+for _kind, _short in (("function_words", "func"), ("char_ngrams", "char4"), ("word_bigrams", "bigram"), ("punctuation", "punct")):
+    QUERIES[f"vocab_{_short}"] = _vocabulary(_kind)
+    QUERIES[f"feat_{_short}"] = _shares(_kind)
+
+
+@query
+def feat_wordlen(spark: SparkSession, sf: str) -> DataFrame:
+    v = _lists(spark, sf).select("label", F.posexplode(fingerprint.word_lengths("en")).alias("bin", "f"))
+    return rounded(v)
+
+
+@query
+def feat_sentlen(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(fingerprint.sentence_stats(_lists(spark, sf)))
+
+
+@query
+def feat_ttr_hapax(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(fingerprint.richness(_lists(spark, sf)))
+
+
+@query
+def centroids(spark: SparkSession, sf: str) -> DataFrame:
+    c = fingerprint.centroids(_features(spark, sf), F.substring_index("label", "/", 1))
+    return rounded(c.select("grp", "members", "sent_mean", "ttr", "hapax", F.element_at("word_length", 3).alias("three_letters"), F.element_at("function_words", 1).alias("first_function_word")))
+
+
+@query
+def fp_dim_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(fingerprint.pair_scores(_features(spark, sf)))
+
+
+@query
+def fp_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(fingerprint.similarities(_features(spark, sf)))
+
+
+@query
+def feature_scores(spark: SparkSession, sf: str) -> DataFrame:
+    f = _features(spark, sf)
+    g = F.substring_index("label", "/", 1)
+    return rounded(fingerprint.to_centroid(f, fingerprint.centroids(f, g), g))
+
+
+def _sims(spark: SparkSession, sf: str) -> DataFrame:
+    return checkpoint(fingerprint.similarities(_features(spark, sf)))
+
+
+@query
+def fp_same_cross_d(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(metrics.group_effect(_sims(spark, sf), "sim").withColumn("effect", metrics.effect_label("cohens_d")))
+
+
+@query
+def d_excl_same_story(spark: SparkSession, sf: str) -> DataFrame:
+    g = metrics.with_groups(_sims(spark, sf)).filter("wa <> wb").select("la", "lb", "sim")
+    return rounded(metrics.group_effect(g, "sim"))
+
+
+@query
+def sample_diffs(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(metrics.sample_differences(_sims(spark, sf), "sim"))
+
+
+@query
+def wilcoxon_stats(spark: SparkSession, sf: str) -> DataFrame:
+    w = inference.wilcoxon(checkpoint(metrics.sample_differences(_sims(spark, sf), "sim")))
+    return rounded(w)
+
+
+@query
+def wilcoxon_p(spark: SparkSession, sf: str) -> DataFrame:
+    w = inference.wilcoxon(checkpoint(metrics.sample_differences(_sims(spark, sf), "sim")))
+    return rounded(w.select("n", F.when(F.col("n") < 3, 1.0).otherwise(inference.p_two_sided("z")).alias("p")))
+
+
+def _chunk_sims(spark: SparkSession, sf: str) -> DataFrame:
+    c = C.chunks(spark, sf, "1k").select("label", "text")
+    return checkpoint(fingerprint.similarities(checkpoint(fingerprint.features(checkpoint(fingerprint._lists(c, "en"))))))
+
+
+@query
+def story_diffs(spark: SparkSession, sf: str) -> DataFrame:
+    """By work, over chunks: similarity within groups minus across."""
+    return rounded(metrics.story_differences(_chunk_sims(spark, sf), "sim"))
+
+
+@query
+def story_wilcoxon(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(inference.wilcoxon(checkpoint(metrics.story_differences(_chunk_sims(spark, sf), "sim"))))
+
+
+@query
+def equal_chunk(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(metrics.equal_chunks(C.chunks(spark, sf, "1k").select("label")))
+
+
+@query
+def equal_chunk_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Competition and effect size on equal numbers of chunks."""
+    c = C.chunks(spark, sf, "1k").select("label", "text")
+    words = checkpoint(frequencies.exploded(c))
+    z = frequencies.z_scores(checkpoint(frequencies.relative(words, frequencies.most_frequent(words))))
+    kept = checkpoint(metrics.equal_chunks(c.select("label")))
+    edges = checkpoint(metrics.restricted(pairs.delta(frequencies.vectors(z)), kept))
+    return rounded(metrics.wins(metrics.competition(edges)).crossJoin(metrics.group_effect(edges, "d")))
+
+
+@query
+def permutation_md5(spark: SparkSession, sf: str) -> DataFrame:
+    """Do differences of large samples lie above those of small ones? 200 draws by md5."""
+    d = checkpoint(metrics.sample_differences(checkpoint(_delta(spark, sf)), "d"))
+    v = d.select(F.col("label").alias("id"), (F.pmod(F.length("label"), F.lit(2)) == 0).alias("own"), F.round("diff", DIGITS).alias("x"))
+    return inference.permutation_md5(v, 200)
+
+
+@query
+def bootstrap_md5(spark: SparkSession, sf: str) -> DataFrame:
+    """95 % interval of Cohen's d from 200 resamples of the works."""
+    e = checkpoint(metrics.with_groups(_delta(spark, sf)))
+    draws = inference.bootstrap_md5(e, "d", 200)
+    return rounded(draws.agg(F.count(F.lit(1)).alias("valid"), F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high")))
+
+
+@query
+def weight_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(sensitivity.table(spark))
+
+
+@query
+def weight_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(sensitivity.metrics_by_variant(sensitivity.sweep(checkpoint(fingerprint.pair_scores(_features(spark, sf))))))
+
+
+@query
+def weight_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(sensitivity.summary(sensitivity.metrics_by_variant(sensitivity.sweep(checkpoint(fingerprint.pair_scores(_features(spark, sf)))))))
+
+
+@query
+def fingerprint_verdict(spark: SparkSession, sf: str) -> DataFrame:
+    """For each group: how much more its samples resemble one another than the others, with tests and a verdict."""
+    sims = pairs.symmetric(_sims(spark, sf), "sim").select(F.substring_index("label", "/", 1).alias("grp"), (F.substring_index("label", "/", 1) == F.substring_index("other", "/", 1)).alias("own"), "label", "sim")
+    s, c = F.when(F.col("own"), F.col("sim")), F.when(~F.col("own"), F.col("sim"))
+    one = sims.groupBy("grp").agg(F.avg(s).alias("own_sim"), F.avg(c).alias("other_sim"), F.coalesce(F.stddev_pop(s), F.lit(0.0)).alias("so"), F.coalesce(F.stddev_pop(c), F.lit(0.0)).alias("sc"), F.count(s).alias("n_own"), F.count(c).alias("n_other")).filter("n_own > 0 and n_other > 0")
+    d = metrics.cohens_d(F.col("own_sim"), F.col("other_sim"), F.col("so"), F.col("sc"), F.col("n_own"), F.col("n_other"))
+    z = (F.col("own_sim") - F.col("other_sim")) / F.sqrt(F.greatest(F.lit(1e-12), F.col("so") * F.col("so") / F.col("n_own") + F.col("sc") * F.col("sc") / F.col("n_other")))
+    scored = one.withColumn("d", d).withColumn("p", inference.p_two_sided(z))
+    return rounded(scored.select("grp", "own_sim", "other_sim", "d", fingerprint.verdict(F.col("own_sim") >= F.col("other_sim"), F.col("p"), F.col("d")).alias("verdict")))
+
+
+ORACLE = {k: v for k, v in oracle.sql().items() if k in QUERIES}
