@@ -26,7 +26,7 @@ def test_sentences(spark):
 def test_tokens(spark):
     assert one(spark, "The Cat, sat on 3 mats! Don't stop.", T.tokens_plain) == "the cat sat on mats don t stop".split()
     assert one(spark, "123 456", T.tokens_plain) == [] and one(spark, "Don't", lambda t: T.tokens_plain(t, T.WORD_MARKED)) == ["don't"]
-    assert [x["text"] for x in one(spark, "我有 well-known 3.5 books", T.tokens)] == ["我", "有", "well-known", "3.5", "books"]
+    assert [x["text"] for x in one(spark, "我有一书 well-known 3.5 books", T.tokens)] == ["我", "有", "一", "书", "well-known", "3.5", "books"]
     assert one(spark, "Smile", lambda t: T.syllable_count(t)) == 1
 
 
