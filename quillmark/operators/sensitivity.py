@@ -6,10 +6,15 @@ import random
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillmark.functions import words as W
 from quillmark.operators import metrics
 from quillmark.operators.fingerprint import DIMENSIONS
+from quillmark.session import checkpoint
+
+#: Room for the place of a label: four million labels, of which all pairs could never be formed.
+PLACE_BITS = 22
 
 
 def _scaled(w: dict[str, float]) -> dict[str, float]:
@@ -47,17 +52,27 @@ def sweep(scores: DataFrame, scheme: str = "all") -> DataFrame:
     return scores.crossJoin(F.broadcast(wide)).select("variant", "la", "lb", total.alias("sim"))
 
 
-def metrics_by_variant(swept: DataFrame) -> DataFrame:
+def metrics_by_variant(swept: DataFrame, scores: DataFrame | None = None) -> DataFrame:
     """Per variant: distances within and across groups, Cohen's d, accuracy of the nearest neighbour."""
     g = metrics.with_groups(swept).withColumn("same", F.col("ga") == F.col("gb"))
     s, c = F.when(F.col("same"), F.col("sim")), F.when(~F.col("same"), F.col("sim"))
     one = g.groupBy("variant").agg(F.avg(1 - s).alias("within"), F.avg(1 - c).alias("between"), F.coalesce(F.stddev_samp(s), F.lit(0.0)).alias("ss"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias("sc"), F.count(s).alias("ns"), F.count(c).alias("nc"))
     d = metrics.cohens_d(1 - F.col("within"), 1 - F.col("between"), F.col("ss"), F.col("sc"), F.col("ns"), F.col("nc"))
-    there = swept.select("variant", F.col("la").alias("label"), F.col("lb").alias("other"), "sim")
-    back = swept.select("variant", F.col("lb").alias("label"), F.col("la").alias("other"), "sim")
-    near = there.unionByName(back).groupBy("variant", "label").agg(F.min(F.struct(F.round(1 - F.col("sim"), 12), "other")).getField("other").alias("nn"))
-    hit = (F.substring_index("label", "/", 1) == F.substring_index("nn", "/", 1)).cast("double")
-    return one.withColumn("cohens_d", d).select("variant", "within", "between", "cohens_d").join(near.groupBy("variant").agg(F.avg(hit).alias("knn_accuracy")), "variant")
+    # The nearest neighbour as the least of one long per pair: the distance to 12 decimals, then the neighbour's place among the
+    # labels. Longs are hash-aggregated; a struct with a string would have to be sorted for every variant.
+    # the labels are those of the scores, which have a row per pair and not one per pair and variant
+    labels = (swept if scores is None else scores).select(F.explode(F.array("la", "lb")).alias("label")).distinct()
+    place = labels.select("label", (F.row_number().over(Window.orderBy("label")) - 1).cast("bigint").alias("at"))
+    place = checkpoint(place)
+    pa, pb = (place.select(F.col("label").alias("l" + x), F.col("at").alias("at_" + x)) for x in "ab")
+    far = F.greatest(F.round((1 - F.col("sim")) * 1e12).cast("bigint"), F.lit(0))
+    one_way = lambda me, other: F.struct(F.col(me).alias("me"), (F.shiftleft(far, PLACE_BITS) + F.col(other)).alias("k"))
+    keyed = swept.join(pa, "la").join(pb, "lb").select("variant", F.explode(F.array(one_way("at_a", "at_b"), one_way("at_b", "at_a"))).alias("x"))
+    near = keyed.groupBy("variant", F.col("x.me").alias("me")).agg(F.min("x.k").alias("k")).select("variant", "me", F.col("k").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("nn"))
+    group = place.select("at", F.substring_index("label", "/", 1).alias("g"))
+    own, theirs = group.select(F.col("at").alias("me"), F.col("g").alias("g1")), group.select(F.col("at").alias("nn"), F.col("g").alias("g2"))
+    hit = near.join(own, "me").join(theirs, "nn").groupBy("variant").agg(F.avg((F.col("g1") == F.col("g2")).cast("double")).alias("knn_accuracy"))
+    return one.withColumn("cohens_d", d).select("variant", "within", "between", "cohens_d").join(hit, "variant")
 
 
 def summary(rows: DataFrame) -> DataFrame:

@@ -514,14 +514,19 @@ def weight_variants(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(sensitivity.table(spark))
 
 
+def _by_variant(spark: SparkSession, sf: str) -> DataFrame:
+    scores = checkpoint(fingerprint.pair_scores(_features(spark, sf)))
+    return sensitivity.metrics_by_variant(sensitivity.sweep(scores), scores)
+
+
 @query
 def weight_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(sensitivity.metrics_by_variant(sensitivity.sweep(checkpoint(fingerprint.pair_scores(_features(spark, sf))))))
+    return rounded(_by_variant(spark, sf))
 
 
 @query
 def weight_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(sensitivity.summary(sensitivity.metrics_by_variant(sensitivity.sweep(checkpoint(fingerprint.pair_scores(_features(spark, sf)))))))
+    return rounded(sensitivity.summary(_by_variant(spark, sf)))
 
 
 @query
