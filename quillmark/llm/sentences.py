@@ -6,13 +6,15 @@ brackets are balanced in it, whether it opens with a quotation that the next cla
 (abbreviation, title, initial, ordinal), the opening word of what follows, and its length.
 
 Cases: null and blank texts give no end; a text without any mark is one sentence; a mark without a word (a stray "!") belongs to
-the span that scores best with it; an unclosed quotation costs once and doesn't swallow the rest. Positions count code points.
+the span that scores best with it; an unclosed quotation costs once and doesn't swallow the rest; one that is surely closed is
+never broken up, however many sentences it holds. Positions count code points.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -38,8 +40,8 @@ _REPORT_HAN = re.compile(rf"[\s，,]*[^。！？!?；;：:“”「」『』\n]{
 _REPORT_OTHER = re.compile(rf"[\s,،]*[^.!?।؟“”«»\n]{{0,60}}?{SAID_OTHER}")
 _LOWER_WORD = re.compile(r"[^\W\d_]+")
 _THAI_SHORT = re.compile(r"(?:[ก-ฮ]\.)+")
-#: No span reaches over more than so many possible ends without a break in the path; longer ones are joined from parts.
-REACH = 200
+#: Characters that a span may have free of cost; each further LONG cost 1.
+LONG = 400
 
 
 def _space(ch: str) -> bool:
@@ -103,6 +105,27 @@ def _states(text: str) -> tuple[list[int], dict[int, int]]:
     return out, opener
 
 
+def _whole(text: str, opener: dict[int, int]) -> list[int]:
+    """For each place in the text how many quotations and brackets that are surely closed later are open there.
+
+    Pairs that may be chance aren't sure: apostrophes, straight marks that look the wrong way, »reversed« guillemets, "b)" in a list.
+    """
+    change = [0] * (len(text) + 2)
+    for b, a in opener.items():
+        before, last = text[a - 1 : a], text[b - 1]
+        if text[b] == "’" and last.isalnum() and not _is_han(last):
+            continue
+        if text[b] == '"' and (_space(text[a + 1]) or _space(last)):
+            continue
+        if text[a] == "«" and (before.isalnum() or before and before in ".!?…"):
+            continue
+        if text[b] == ")" and re.search(r"(?:^|[\n\r])[^\S\n\r]*\w{1,3}$", text[max(0, b - 9) : b]):
+            continue
+        change[a + 1] += 1
+        change[b + 1] -= 1
+    return list(accumulate(change))
+
+
 def _led_in(text: str, at: int) -> bool:
     """Whether a clause leads into the quotation or bracket that opens at ``at``, so that it stands within a sentence."""
     k = at - 1
@@ -285,24 +308,39 @@ def ends(text: str | None) -> list[int]:
                 continue
             cand[a] = (3.0, False)
     cand[stop] = (4.0, cand.get(stop, (0, False))[1])
-    places = sorted(p for p in cand if p > begin and (cand[p][0] > -7.5 or p == stop))
-    # dynamic programme over spans
+    # a break in a closed quotation would cost more than any end or shorter span is worth, so none is tried there
+    whole = _whole(text, opener)
+    places = sorted(p for p in cand if p > begin and (cand[p][0] > -7.5 and not whole[p] or p == stop))
+    # dynamic programme over spans; of those longer than LONG only the best of each state can win, since all cost alike by length
     best: list[float] = [0.0]
     back: list[int] = [-1]
     at = [begin, *places]
     begins = [begin, *[after(p) for p in places]]
+    far: dict[int, int] = {}
+    far_top, passed = -1, 0
+
+    def gain(i: int) -> float:
+        return best[i] + begins[i] / LONG
+
     for j in range(1, len(at)):
         p = at[j]
         local = cand[p][0]
+        while passed < j and p - begins[passed] > LONG:
+            k = far.get(state[begins[passed]], -1)
+            if k < 0 or gain(passed) >= gain(k):
+                far[state[begins[passed]]] = passed
+            if far_top < 0 or gain(passed) >= gain(far_top):
+                far_top = passed
+            passed += 1
         top, arg = -1e18, j - 1
-        for i in range(j - 1, max(-1, j - 1 - REACH), -1):
+        for i in [*range(j - 1, passed - 1, -1), *sorted({far_top, far.get(state[p], -1)} - {-1}, reverse=True)]:
             s = begins[i]
             value = best[i] + local
             if state[s] != state[p]:
                 value -= 12.0
             size = p - s
-            if size > 400:
-                value -= (size - 400) / 400
+            if size > LONG:
+                value -= (size - LONG) / LONG
             if size < 3 and not any(c.isalnum() for c in text[s:p]):
                 value -= 6.0
             if value > top:

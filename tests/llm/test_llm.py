@@ -51,6 +51,27 @@ def test_sentence_ends(text, want):
     assert got == want
 
 
+def cut(text):
+    e = sentences.ends(text)
+    return [text[a:b].strip() for a, b in zip([0, *e], e)]
+
+
+@pytest.mark.parametrize("n", [3, 7, 20, 250])
+def test_long_quotations_stay_whole(n):
+    en = " ".join(f"Boat {i} came home." for i in range(n))
+    for said in (f"“{en}” she said.", f'"{en}" she said.', f"({en})", f"‘{en}’ she said."):
+        assert cut(f"It rained. {said} He left.") == ["It rained.", said, "He left."]
+    zh = f"“{'船回来了。' * n}”她说。"
+    assert cut(f"下雨了。{zh}他走了。") == ["下雨了。", zh, "他走了。"]
+
+
+def test_doubtful_quotations_and_long_spans():
+    many = [f"Boat {i} came home." for i in range(20)]
+    for opening, closing in (("‘Tis late.", "The dogs’ bowls."), ('He said "no.', 'Then "yes."')):
+        assert len(cut(" ".join([opening, *many, closing]))) > 15
+    assert cut(text := "\n".join(["The boat", *[f"came home {'and ' * (i % 3)}again" for i in range(300)]]) + ".") == [text]
+
+
 # ---- 3 reading ----
 
 
