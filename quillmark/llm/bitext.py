@@ -3,18 +3,20 @@
 Method: cross-lingual term vectors by singular value decomposition. Sentences at about the same place of the two sides of all
 documents give counts of which terms occur together; the deviation of these counts from chance is decomposed, so terms
 that translate one another get like vectors. A sentence is the weighted sum of its terms. Within a document, windows of one to
-three consecutive sentences are matched with windows of the other side: mutual neighbours by margin (similarity against the
+three consecutive sentences are matched with windows of the other side: the most similar first, if by margin (similarity against the
 mean of each one's nearest), in any order; sentences left over join a match if they make it better.
 
 Cases: null lists are empty; null and blank sentences keep their number and match nothing; documents with an empty side have no
-pairs; equal sentences are told apart by place; a long document is searched in blocks of rows. Statistics count all documents, in
+pairs; sentences with equal terms count once in a margin and are told apart by place; a long document is searched in blocks of rows. Statistics count all documents, in
 tables of a fixed number of hashed terms, so what is broadcast (vectors, about 8 MB) doesn't grow with the data.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -204,6 +206,45 @@ def _top(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return ids, sims
 
 
+def _distinct(spans: list[tuple[int, int]], terms: list[tuple[int, ...]]) -> tuple[list[int], list[list[int]]]:
+    """The first of the windows that have the same terms in the same sentences, and all of them, in order of place."""
+    copies: dict[tuple, list[int]] = {}
+    for w, (a, b) in enumerate(spans):
+        copies.setdefault(tuple(terms[a:b]), []).append(w)
+    return [c[0] for c in copies.values()], list(copies.values())
+
+
+def _by_place(a: list[int], b: list[int], place_a: list[float], place_b: list[float], free_a, free_b) -> Iterator[tuple[float, int, int]]:
+    """Pairs of a window of ``a`` and one of ``b``, both in order of place, the closest first; what is no longer free is left out."""
+
+    def nearest(i: int, lo: int, hi: int) -> None:
+        while lo >= 0 and not free_b(b[lo]):
+            lo -= 1
+        while hi < len(b) and not free_b(b[hi]):
+            hi += 1
+        x = place_a[i]
+        below = x - place_b[b[lo]] if lo >= 0 else 9.0
+        above = place_b[b[hi]] - x if hi < len(b) else 9.0
+        if lo >= 0 and below <= above:
+            heapq.heappush(heap, (below, i, b[lo], lo - 1, hi))
+        elif hi < len(b):
+            heapq.heappush(heap, (above, i, b[hi], lo, hi + 1))
+
+    heap: list[tuple[float, int, int, int, int]] = []
+    at = [place_b[w] for w in b]
+    for i in a:
+        if free_a(i):
+            k = bisect_left(at, place_a[i])
+            nearest(i, k - 1, k)
+    while heap:
+        d, i, j, lo, hi = heapq.heappop(heap)
+        if free_a(i):
+            if free_b(j):
+                yield d, i, j
+            if free_a(i):
+                nearest(i, lo, hi)
+
+
 def match(zh: list, en: list, zv: np.ndarray, ev: np.ndarray) -> list[tuple[int, int]]:
     """Numbers, from 1, of sentences that translate one another, wholly or in part."""
     return sorted((i + 1, j + 1) for a, b in match_windows(zh, en, zv, ev) for i in a for j in b)
@@ -213,49 +254,46 @@ def match_windows(zh: list, en: list, zv: np.ndarray, ev: np.ndarray, least: flo
     """Sets of sentences, by place from 0, that translate one another as a whole."""
     if not zh or not en:
         return []
-    z = np.stack([zv[t].sum(0) if (t := zh_terms(s)) else np.zeros(zv.shape[1], np.float32) for s in zh])
-    e = np.stack([ev[t].sum(0) if (t := en_terms(s)) else np.zeros(ev.shape[1], np.float32) for s in en])
+    tz, te = [zh_terms(s) for s in zh], [en_terms(s) for s in en]
+    z = np.stack([zv[t].sum(0) if t else np.zeros(zv.shape[1], np.float32) for t in tz])
+    e = np.stack([ev[t].sum(0) if t else np.zeros(ev.shape[1], np.float32) for t in te])
     zn, en_n = [set(_NUMBER.findall(s or "")) for s in zh], [set(_NUMBER.findall(s or "")) for s in en]
     wz, sz = _windows(z)
     we, se = _windows(e)
-    uz, ue = _unit(wz), _unit(we)
+    # equal windows are compared once
+    dz, cz = _distinct(sz, [tuple(t) for t in tz])
+    de, ce = _distinct(se, [tuple(t) for t in te])
+    uz, ue = _unit(wz[dz]), _unit(we[de])
+    lz, le = (np.array([x[w][1] - x[w][0] for w in d]) for x, d in ((sz, dz), (se, de)))
+    single_z, single_e = int((lz == 1).sum()), int((le == 1).sum())  # they come first
     # margins against the mean of the nearest single sentences, so that windows are told from chance likeness
     k = 4
-    iz, simz = _top(uz, ue, 12)
-    ie, sime = _top(ue, uz, 12)
-    nz, ne = _top(uz, ue[: len(en)], k)[1].mean(1), _top(ue, uz[: len(zh)], k)[1].mean(1)
-    pairs: dict[tuple[int, int], float] = {}
-    for a in range(len(uz)):
-        for b, s in zip(iz[a].tolist(), simz[a].tolist()):
-            pairs[(a, b)] = s
-    for b in range(len(ue)):
-        for a, s in zip(ie[b].tolist(), sime[b].tolist()):
-            pairs[(a, b)] = s
+    nz, ne = _top(uz, ue[:single_e], k)[1].mean(1), _top(ue, uz[:single_z], k)[1].mean(1)
     scored = []
-    for (a, b), s in pairs.items():
-        la, lb = sz[a][1] - sz[a][0], se[b][1] - se[b][0]
-        if la > 1 and lb > 1 or s < (least if la + lb == 2 else MERGED_COS):
-            continue
-        na, nb = set().union(*zn[slice(*sz[a])]), set().union(*en_n[slice(*se[b])])
-        if na and nb and not na & nb:
-            continue  # figures don't translate
-        margin = 2 * s / max(1e-6, float(nz[a] + ne[b]))
-        if margin < LEAST_MARGIN and min(len(zh), len(en)) > 2:
-            continue
-        place = abs(sz[a][0] / max(1, len(zh)) - se[b][0] / max(1, len(en)))
-        scored.append((-(s - ADDS * (la + lb - 2)), place, a, b))
+    for lo, hi, width in [*((x, min(x + BLOCK, single_z), len(ue)) for x in range(0, single_z, BLOCK)), *((x, min(x + BLOCK, len(uz)), single_e) for x in range(single_z, len(uz), BLOCK))]:
+        sims = uz[lo:hi] @ ue[:width].T
+        enough = sims >= np.where(lz[lo:hi, None] + le[None, :width] == 2, least, MERGED_COS)
+        if min(single_z, single_e) > 2:
+            enough &= 2 * sims >= LEAST_MARGIN * np.maximum(1e-6, nz[lo:hi, None] + ne[None, :width])
+        for a, b in zip(*(x.tolist() for x in np.nonzero(enough))):
+            na, nb = set().union(*zn[slice(*sz[dz[lo + a]])]), set().union(*en_n[slice(*se[de[b]])])
+            if na and nb and not na & nb:
+                continue  # figures don't translate
+            scored.append((-(float(sims[a, b]) - ADDS * int(lz[lo + a] + le[b] - 2)), lo + a, b))
     scored.sort()
     of_z, of_e = [-1] * len(zh), [-1] * len(en)
+    place_z, place_e = [a / len(zh) for a, _ in sz], [a / len(en) for a, _ in se]
+    free_z = lambda w: all(of_z[i] < 0 for i in range(*sz[w]))
+    free_e = lambda w: all(of_e[j] < 0 for j in range(*se[w]))
     out: list[tuple[list[int], list[int]]] = []
-    for _, _, a, b in scored:
-        ra, rb = range(*sz[a]), range(*se[b])
-        if any(of_z[i] >= 0 for i in ra) or any(of_e[j] >= 0 for j in rb):
-            continue
-        for i in ra:
-            of_z[i] = len(out)
-        for j in rb:
-            of_e[j] = len(out)
-        out.append((list(ra), list(rb)))
+    for _, x, y in scored:
+        for _, a, b in _by_place(cz[x], ce[y], place_z, place_e, free_z, free_e):
+            ra, rb = range(*sz[a]), range(*se[b])
+            for i in ra:
+                of_z[i] = len(out)
+            for j in rb:
+                of_e[j] = len(out)
+            out.append((list(ra), list(rb)))
     # sentences left over join a match that they make better
     for side, of, mine, other in (("z", of_z, z, e), ("e", of_e, e, z)):
         for i in range(len(of)):

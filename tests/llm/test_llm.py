@@ -138,6 +138,28 @@ def test_alignment_learns(spark):
     assert bitext.match([], ["x"], *v) == [] and bitext.match([None, ""], ["He sold the tea."], *v) == []
 
 
+def word_vectors(pairs):
+    """Vectors of terms that stand for one another, each along its own axis."""
+    zv, ev = np.zeros((bitext.TERMS, 64), np.float32), np.zeros((bitext.TERMS, 64), np.float32)
+    for k, (zh, en) in enumerate(pairs):
+        zv[bitext.zh_terms(zh), k], ev[bitext.en_terms(en), k] = 1, 1
+    return zv, ev
+
+
+@pytest.mark.parametrize("n", [2, 4, 7, 40])
+def test_refrains_match_by_place(n):
+    words = [("甲", "alder"), ("乙", "birch"), ("丙", "cedar"), ("丁", "dogwood"), ("戊", "elm")]
+    v = word_vectors([("是", "yes"), *words])
+    zh, en = [], []
+    for i in range(n):
+        zh += ["是。", words[i % 5][0] if i < 5 else "是。"]
+        en += ["Yes.", words[i % 5][1] if i < 5 else "Yes."]
+    assert bitext.match(zh, en, *v) == [(i + 1, i + 1) for i in range(2 * n)]
+    assert bitext.match(["是。"] * n, ["Yes."] * n, *v) == [(i + 1, i + 1) for i in range(n)]
+    # one copy has no counterpart
+    assert len(bitext.match(zh, en[1:], *v)) == 2 * n - 1
+
+
 # ---- 6 splits ----
 
 
