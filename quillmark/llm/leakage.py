@@ -2,12 +2,13 @@
 
 Method: a distributed positional inverted index. Both sides are reduced to tokens (words, single characters of scripts
 without blanks) without case, width and punctuation; the index holds, for every run of three tokens in a document that is rare
-among the test items, its places. The lists of the rarest runs of each item are intersected by item and document; documents
-with enough of them are aligned with the item token by token, and the share of the passage that lies in dense stretches of the
+among the distinct passages of the test items, its places; of a passage with too few rare runs it holds all runs. The lists of
+these runs are intersected by passage and document; documents
+with enough of them are aligned with the passage token by token, and the share of the passage that lies in dense stretches of the
 alignment, and the share of its telling runs (those with names and figures) there, decide.
 
 Cases: instruction and question lines are no part of a passage; null and empty documents hold nothing; items shorter than three
-tokens can't leak; equal documents under different ids each count; an item that equals another leaks wherever it does.
+tokens can't leak; equal documents under different ids each count; an item that equals another leaks wherever it does, however many are equal.
 The test items are small and are broadcast only while their runs, which are counted, number fewer than ``BROADCAST_RUNS``.
 """
 
@@ -23,13 +24,15 @@ from quillmark.llm.grouping import widths
 from quillmark.session import checkpoint
 
 RUN = 3
-#: A run of tokens tells items apart if no more items than this have it; how many of them, and which share of an item's, a
+#: A run of tokens tells passages apart if no more distinct passages than this have it; how many of them, and which share of an item's, a
 #: document must have at like offsets before it is aligned; how far offsets may drift apart.
 RARE_ITEMS, LEAST_RUNS, LEAST_RUN_SHARE, DRIFT = 2, 3, 0.08, 64
+#: A passage with a smaller share of rare runs than this is searched by all of its runs.
+FEW_SHARE = 0.2
 #: The share of a passage, its density in the covered stretches and the share of telling runs there; the widest gap.
 SHARE, DENSITY, TELLING, GAP = 0.4, 0.55, 0.45, 8
 BROADCAST_RUNS = 2_000_000
-#: A line that this many items have is an instruction.
+#: A line that stands beside so many different longer lines is an instruction.
 COMMON_LINE = 3
 
 _TOKEN = r"[0-9⺀-ヿ㐀-鿿豈-﫿฀-๿]|[a-zÀ-ɏͰ-ӿ֐-෿Ḁ-῿]+"
@@ -42,15 +45,23 @@ def tokens(text: Column | str) -> Column:
 
 
 def passages(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """``(key, tokens)``: each item without the lines that many items share and without a closing question."""
+    """``(key, tokens)``: each item without instruction lines and without a closing question.
+
+    A passage that many items hold, with one question or several, is no instruction: it is the longest line, or stands beside the
+    same longest line in all of them.
+    """
     lines = items.select(F.col(key).alias("k"), F.posexplode(F.split(F.col(text), r"\r\n|\r|\n")).alias("at", "line")).filter(F.trim("line") != "")
-    common = lines.groupBy("line").agg(F.countDistinct("k").alias("n")).filter(F.col("n") >= COMMON_LINE).select("line")
-    kept = lines.join(common, "line", "left_anti")
-    packed = kept.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("l"))
-    whole = F.transform("l", lambda x: x["line"])
-    asks = F.element_at(whole, -1).rlike(r"[?？]\s*$") & (F.size(whole) > 1)
-    body = F.when(asks, F.slice(whole, 1, F.size(whole) - 1)).otherwise(whole)
-    return packed.select(F.col("k").alias(key), tokens(F.array_join(body, "\n")).alias("tokens"))
+    packed = lines.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("l")).select("k", F.transform("l", lambda x: x["line"]).alias("whole"))
+    asks = lambda x: F.element_at(x, -1).rlike(r"[?？]\s*$") & (F.size(x) > 1)
+    told = lambda x: F.when(asks(x), F.slice(x, 1, F.size(x) - 1)).otherwise(x)
+    longest = F.array_max(F.transform("body", lambda x: F.struct(F.length(x).alias("n"), x.alias("line"))))["line"]
+    bodies = checkpoint(packed.withColumn("body", told(F.col("whole"))).withColumn("longest", longest))
+    beside = bodies.select("longest", F.explode("body").alias("line")).filter("line != longest")
+    common = beside.groupBy("line").agg(F.countDistinct("longest").alias("n")).filter(F.col("n") >= COMMON_LINE).select("line", F.lit(True).alias("common"))
+    split = bodies.select("k", "longest", (F.size("body") == 1).alias("alone"), F.posexplode("whole").alias("at", "line")).join(common, "line", "left")
+    kept = split.filter(F.col("common").isNull() | (F.col("line") == F.col("longest")) & ~F.col("alone"))
+    left = kept.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("l")).select("k", F.transform("l", lambda x: x["line"]).alias("left"))
+    return left.select(F.col("k").alias(key), tokens(F.array_join(told(F.col("left")), "\n")).alias("tokens"))
 
 
 def _runs(df: DataFrame, *keep: str) -> DataFrame:
@@ -85,7 +96,7 @@ def align(item: list[str], doc: list[str], telling: set[int], near: list[int]) -
                 spans.append([b.a, b.a + b.size, b.size])
             last = b
         hit = {b.a + k for b in blocks for k in range(b.size)}
-        good = [s for s in spans if s[1] - s[0] >= 6 and s[2] >= DENSITY * (s[1] - s[0])]
+        good = [s for s in spans if s[1] - s[0] >= min(6, n) and s[2] >= DENSITY * (s[1] - s[0])]
         cover = [p for s in good for p in range(s[0], s[1])]
         if not cover:
             continue
@@ -99,10 +110,13 @@ def align(item: list[str], doc: list[str], telling: set[int], near: list[int]) -
 
 def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
     """``(doc_key, item_key, share, density, telling)`` for every document that holds enough of an item's passage."""
-    parts = checkpoint(passages(items, item_key, text).withColumnRenamed(item_key, "item"))
-    runs = _runs(parts, "item")
+    # items with the same passage are searched as one
+    parts = checkpoint(passages(items, item_key, text).groupBy("tokens").agg(F.min(item_key).alias("item"), F.collect_set(item_key).alias("items")))
+    runs = checkpoint(_runs(parts, "item"))
     rare = runs.groupBy("run").agg(F.countDistinct("item").alias("items")).filter(F.col("items") <= RARE_ITEMS)
-    terms = checkpoint(runs.join(rare, "run").select("run", "item", F.col("at").alias("item_at")))
+    telling = runs.join(rare.select("run", F.lit(1).alias("rare")), "run", "left")
+    few = telling.groupBy("item").agg(F.count("rare").alias("n"), F.count(F.lit(1)).alias("all")).filter(F.col("n") < F.greatest(F.lit(LEAST_RUNS), FEW_SHARE * F.col("all"))).select("item", F.lit(1).alias("few"))
+    terms = checkpoint(telling.join(few, "item", "left").filter("rare = 1 or few = 1").select("run", "item", F.col("at").alias("item_at")))
     side = F.broadcast(terms) if terms.count() <= BROADCAST_RUNS else terms
     read = docs.select(F.col(doc_key).alias("doc"), tokens(text).alias("tokens"))
     postings = _runs(read, "doc").join(side, "run")
@@ -111,9 +125,9 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
     near = postings.withColumn("bucket", F.explode(F.array(bucket, bucket + 1)))
     met = near.groupBy("doc", "item", "bucket").agg(F.countDistinct("item_at").alias("runs"), F.collect_set("at").alias("at"))
     own = terms.groupBy("item").agg(F.collect_set("item_at").alias("telling"))
-    enough = met.join(own, "item").filter(F.col("runs") >= F.greatest(F.lit(LEAST_RUNS), LEAST_RUN_SHARE * F.size("telling")))
+    enough = met.join(own, "item").filter(F.col("runs") >= F.greatest(F.least(F.lit(LEAST_RUNS), SHARE * F.size("telling")), LEAST_RUN_SHARE * F.size("telling")))
     found = enough.groupBy("doc", "item").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("places"), F.first("telling").alias("telling"))
-    told = parts.withColumnRenamed("tokens", "item_tokens")
+    told = parts.select("item", F.col("tokens").alias("item_tokens"))
     pairs = found.join(told, "item").join(docs.select(F.col(doc_key).alias("doc"), F.col(text).alias("doc_text")), "doc").select("doc", "item", "places", "item_tokens", "telling", tokens("doc_text").alias("doc_tokens"))
 
     @F.pandas_udf("struct<share:double,density:double,telling:double>")
@@ -121,8 +135,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
         rows = [align(list(a), list(b), set(c), list(d)) for a, b, c, d in zip(item, doc, tell, near)]
         return pd.DataFrame(rows, columns=["share", "density", "telling"])
 
-    scored = pairs.select("doc", "item", compare("item_tokens", "doc_tokens", "telling", "places").alias("m")).select(F.col("doc").alias(doc_key), F.col("item").alias(item_key), "m.*")
-    return scored
+    scored = pairs.select("doc", "item", compare("item_tokens", "doc_tokens", "telling", "places").alias("m"))
+    return scored.join(parts.select("item", "items"), "item").select(F.col("doc").alias(doc_key), F.explode("items").alias(item_key), "m.*")
 
 
 def leaked(scored: DataFrame) -> DataFrame:

@@ -248,6 +248,19 @@ def test_leaks(spark):
     assert {(1, 0), (2, 1), (7, 3)} <= got and not {d for d, _ in got} & {3, 4, 5, 6}
 
 
+def test_leaks_of_passages_that_many_items_hold(spark):
+    one = "In register 107 the flood mark near Voraba fell into the keeping of Sekomi, and the seal of Tumari was cut off in the year that Nebiko left."
+    near = "The loom of Takena was copied twice and sealed by Risuvo, and nobody in Belomi dared to ask for the {} while the ferryman Kunate was away."
+    texts = [f"{one}\nQuestion: who held number {i}?" for i in range(4)] + [f"Read this.\n{one}\nQuestion: where?"] * 3
+    texts += [f"Read this.\nThe mill number {i} of Pona{i}ri burnt down before the miller Sato{i}mi had sold the wheel.\nQuestion: who?" for i in range(4)]
+    texts += ["Read this.\n" + near.format(x) + "\nQuestion: why?" for x in ("key", "map", "oar", "bell")]
+    texts += ["Read this.\nVelaru hid Tomike"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = spark.createDataFrame([(1, "Before. " + one + " After."), (2, "So. " + near.format("lamp")), (3, "Read this. Question: who held number 2?"), (4, "Then Velaru hid Tomike again."), (5, "Read this.")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.leaked(leakage.leaks(docs, items)).collect()}
+    assert got == {(1, i) for i in range(7)} | {(2, i) for i in range(11, 15)} | {(4, 15)}
+
+
 # ---- 10 cut texts ----
 
 
