@@ -18,6 +18,7 @@ import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -30,11 +31,32 @@ TERMS, RANK, REACH = 4096, 256, 2
 #: what a further sentence must add.
 FIRST_COS, LEAST_COS, MERGED_COS, LEAST_MARGIN, ADDS = 0.50, 0.62, 0.66, 1.05, 0.06
 BLOCK = 256
+#: What the similarity of two windows loses if both have figures and no value is the same.
+DIFFERS = 0.3
 
 _HAN = re.compile("[㐀-鿿豈-﫿]+")
 _LATIN = re.compile(r"[^\W\d_㐀-鿿豈-﫿]+|\d+(?:\.\d+)?")
 _SYLLABLE = re.compile(r"[^aeiou]*[aeiou]")
 _NUMBER = re.compile(r"\d+(?:\.\d+)?")
+#: A figure with its unit; full-width forms are replaced before.
+_FIGURE = re.compile(r"(\d{1,3}(?:,\d{3})+(?![\d])|\d+)(\.\d+)?(?:\s*(万亿|亿|万|千|百|(?:hundred|thousand|million|billion|trillion)(?![a-z])))?", re.I)
+_UNITS = {"百": 2, "千": 3, "万": 4, "亿": 8, "万亿": 12, "hundred": 2, "thousand": 3, "million": 6, "billion": 9, "trillion": 12}
+_NARROW = str.maketrans("０１２３４５６７８９，．", "0123456789,.")
+
+
+def figures(text: str | None) -> set[Decimal]:
+    """The values of the figures in a text, whatever their width, separators and units (3,000, ３０００; 300万, 3 million)."""
+    out: list[Decimal] = []
+    end, last = -1, 0
+    for m in _FIGURE.finditer((text or "").translate(_NARROW)):
+        unit = _UNITS.get((m[3] or "").lower(), 0)
+        value = Decimal(m[1].replace(",", "") + (m[2] or "")).scaleb(unit)
+        if m.start() == end and unit < last:  # 3亿5000万
+            out[-1] += value
+        else:
+            out.append(value)
+        end, last = m.end(), unit
+    return set(out)
 
 
 def _h(term: str) -> int:
@@ -257,7 +279,7 @@ def match_windows(zh: list, en: list, zv: np.ndarray, ev: np.ndarray, least: flo
     tz, te = [zh_terms(s) for s in zh], [en_terms(s) for s in en]
     z = np.stack([zv[t].sum(0) if t else np.zeros(zv.shape[1], np.float32) for t in tz])
     e = np.stack([ev[t].sum(0) if t else np.zeros(ev.shape[1], np.float32) for t in te])
-    zn, en_n = [set(_NUMBER.findall(s or "")) for s in zh], [set(_NUMBER.findall(s or "")) for s in en]
+    zn, en_n = [figures(s) for s in zh], [figures(s) for s in en]
     wz, sz = _windows(z)
     we, se = _windows(e)
     # equal windows are compared once
@@ -277,9 +299,12 @@ def match_windows(zh: list, en: list, zv: np.ndarray, ev: np.ndarray, least: flo
             enough &= 2 * sims >= LEAST_MARGIN * np.maximum(1e-6, nz[lo:hi, None] + ne[None, :width])
         for a, b in zip(*(x.tolist() for x in np.nonzero(enough))):
             na, nb = set().union(*zn[slice(*sz[dz[lo + a]])]), set().union(*en_n[slice(*se[de[b]])])
+            sim = float(sims[a, b])
             if na and nb and not na & nb:
-                continue  # figures don't translate
-            scored.append((-(float(sims[a, b]) - ADDS * int(lz[lo + a] + le[b] - 2)), lo + a, b))
+                sim -= DIFFERS
+                if sim < (least if lz[lo + a] + le[b] == 2 else MERGED_COS) or min(single_z, single_e) > 2 and 2 * sim < LEAST_MARGIN * float(nz[lo + a] + ne[b]):
+                    continue
+            scored.append((-(sim - ADDS * int(lz[lo + a] + le[b] - 2)), lo + a, b))
     scored.sort()
     of_z, of_e = [-1] * len(zh), [-1] * len(en)
     place_z, place_e = [a / len(zh) for a, _ in sz], [a / len(en) for a, _ in se]

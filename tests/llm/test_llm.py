@@ -160,6 +160,15 @@ def test_refrains_match_by_place(n):
     assert len(bitext.match(zh, en[1:], *v)) == 2 * n - 1
 
 
+@pytest.mark.parametrize("zh,en,same", [("3000", "3,000", True), ("３０００", "3000", True), ("300万", "3 million", True), ("1.5亿", "150 million", True), ("3亿5000万", "350 million", True), ("3000", "31", False), ("2.50", "2.5", True)])
+def test_figures_by_value(zh, en, same):
+    assert (bitext.figures(zh) == bitext.figures(en)) is same
+    v = word_vectors([("甲", "alder"), ("乙", "birch"), ("丙", "cedar"), ("丁", "dogwood")])
+    # figures that differ don't exclude a pair, but one with the like figure comes first
+    assert bitext.match([f"甲{zh}", "乙", "丙", "丁"], [f"Alder {en}", "Birch", "Cedar", "Dogwood"], *v) == [(i, i) for i in range(1, 5)]
+    assert ((1, 2) in bitext.match([f"甲{zh}", "乙", "丙"], ["Alder 77", f"Alder {en}", "Birch", "Cedar"], *v)) is same
+
+
 # ---- 6 splits ----
 
 
