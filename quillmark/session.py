@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,13 +12,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a folder of our own is used.
+    Only where the session names none a folder of our own is used, and only where executors share this machine.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf
     own = spark.conf.get("quillmark.checkpoint.dir", None)
     if own is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         own = "file://" + tempfile.mkdtemp(prefix="quillmark-")
         spark.conf.set("quillmark.checkpoint.dir", own)
     return own
@@ -33,19 +34,22 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet into the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of the test data, file or folder."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+#: A row group is read by one task, so a table of fewer bytes for each core may leave cores without rows.
+ROW_GROUP = 128 << 20
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores where the scan may have too few row groups for that; a larger input stays as it is scanned."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if size >= cores * ROW_GROUP else df.repartition(2 * cores, key)
+
+
 def once_per_key(df: DataFrame, key: str, *values: str | Column, order: str | Column | None = None) -> DataFrame:
     """Rows sent again count once: the earliest by ``order`` of each non-null ``key``.
 
