@@ -6,7 +6,7 @@ they are and reading the bytes in the encoding they were written in, and scores
 characters, character pairs and words in the whole corpus. A text is damaged where reading the bytes anew is likelier
 by far; twice damaged texts are decoded again.
 
-Corpus statistics count all rows, in tables of a fixed number of hashed cells, so what is broadcast (about 3 MB) doesn't grow.
+Corpus statistics count all rows, in tables of a fixed number of hashed cells, so what is broadcast (6.8 MB) doesn't grow.
 
 Cases: null, empty and plain ASCII texts are never damaged; a damaged spot that is all a quotation holds only mentions the
 characters and is left alone; a spot whose bytes are lost is damaged but keeps its replacement characters in the result.
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 ONE, TWO, WORDS, BLOCK = 1 << 16, 1 << 19, 1 << 18, 1 << 13
 _WORD = re.compile(r"[^\W\d_]*[^\W\d_a-zA-Z぀-ヿ㐀-鿿’][^\W\d_]*(?:[’'][^\W\d_]+)*|[^\W\d_]+’[^\W\d_]+")
 LOST = "�"
+#: A quotation of at most so many characters that is all wrong characters mentions them; a longer one is a damaged quotation.
+MENTION = 24
 #: Cost of taking a spot to be damaged: little where the bytes form UTF-8, which chance hardly does, or where the same channel
 #: damaged another spot of the text. Cost of a wildcard, of a byte that is missing without a trace; the least gain.
 ENTER_UTF8, ENTER, ENTER_AGAIN, WILD, MISSING, GAIN = 1.0, 3.0, 0.5, 1.0, 5.0, 1.5
@@ -128,9 +130,10 @@ class Model:
         self.one, self.two, self.words = counts[:ONE].astype(float), counts[ONE : ONE + TWO].astype(float), counts[ONE + TWO :].astype(float)
         self.total = max(1.0, self.one.sum())
         self._lp: dict[str, float] = {}
+        self._seen: dict[tuple[bytes, bytes], list[str]] = {}
         self._token: dict[tuple[str, frozenset], tuple[str, float, tuple[str, str] | None]] = {}
         high = [bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0x100)]
-        self.latin = sorted((c for c in high if c and self.one[ord(c)] > 0), key=lambda c: -self.one[ord(c)])[:40]
+        self.latin = [c for c in high if c and self.one[ord(c)] > 0]
 
     def lp(self, a: str, b: str) -> float:
         key = a + b
@@ -174,7 +177,7 @@ class Model:
                 if i + 1 < n and 0x80 <= data[i + 1] < 0xC0:
                     yield i + 2, [c for c in (bytes([lead, data[i + 1]]).decode("utf-8") for lead in range(0xC2, 0xC6)) if self.one[ord(c)] > 0], WILD + 1
                     if i + 2 < n and 0x80 <= data[i + 2] < 0xC0:
-                        yield i + 3, self._best([bytes([lead, data[i + 1], data[i + 2]]) for lead in (0xE2, 0xE3, 0xE4, 0xE5, 0xE6, 0xE7, 0xE8, 0xE9, 0xEF)]), WILD
+                        yield i + 3, self._known([bytes([lead, data[i + 1], data[i + 2]]) for lead in (0xE2, 0xE3, 0xE4, 0xE5, 0xE6, 0xE7, 0xE8, 0xE9, 0xEF)]), WILD
                 yield i + 1, [LOST], WILD + 2
                 return
             size = 2 if 0xC2 <= b < 0xE0 else 3 if 0xE0 <= b < 0xF0 else 4 if 0xF0 <= b < 0xF5 else 0
@@ -197,7 +200,7 @@ class Model:
                     full = part[:at] + [-1] + part[at:] if short and -1 not in part else part
                     if full.count(-1) != 1 or len(full) != size:
                         continue
-                    found = self._best([bytes([*full[:at], x, *full[at + 1 :]]) for x in range(0x80, 0xC0)])
+                    found = self._known([bytes([*full[:at], x, *full[at + 1 :]]) for x in range(0x80, 0xC0)])
                     if found:
                         yield j, found, MISSING if short else WILD
                 if part.count(-1) > 1 or short and -1 in part:
@@ -221,8 +224,13 @@ class Model:
             elif i + 1 < n and data[i + 1] == -1:
                 yield i + 2, [LOST], WILD
 
-    def _best(self, options: list[bytes], most: int = 4) -> list[str]:
-        out = []
+    def _known(self, options: list[bytes]) -> list[str]:
+        """The characters among the options, which differ in one byte, that the corpus has."""
+        key = (options[0], options[-1])
+        out = self._seen.get(key)
+        if out is not None:
+            return out
+        out = self._seen[key] = []
         for o in options:
             try:
                 c = o.decode("utf-8")
@@ -230,8 +238,7 @@ class Model:
                 continue
             if self.one[ord(c[0]) & (ONE - 1)] > 0:
                 out.append(c)
-        out.sort(key=lambda c: -self.one[ord(c[0]) & (ONE - 1)])
-        return out[:64] if len(options) <= 64 and most > 8 else out[:12]
+        return out
 
     def search(self, text: str, wrong: str, right: str, enter: float, spaced: bool) -> tuple[float, str, int] | None:
         """Best reading of ``text`` with spots decoded anew: (gain over leaving it, the reading, characters read anew)."""
@@ -253,16 +260,16 @@ class Model:
                 data.extend(b)
         n = len(data)
         starts[n] = len(text)
-        # beams: place -> {(damaged, last character): (score, parent, emitted, decoded units)}
+        # place -> {(damaged, last character): (score, parent, emitted, decoded units)}; all states are kept: they are bounded by the
+        # readings of one character
         beams: list[dict | None] = [None] * (n + 1)
         beams[0] = {(False, edge): (0.0, None, "", 0)}
         for i in range(n):
             here = beams[i]
             if not here:
                 continue
-            if len(here) > 6:
-                here = beams[i] = dict(sorted(here.items(), key=lambda x: -x[1][0])[:6])
             k = starts.get(i)
+            reads = None  # the same for all states
             for (damaged, last), (score, _, _, units) in here.items():
                 me = (i, damaged, last)
                 if k is not None:
@@ -272,9 +279,9 @@ class Model:
                         self._put(beams, j, False, ch, score + self.lp(last, ch), me, ch, units)
                 if data[i] == -2 or not damaged and k is None or not damaged and 0 <= data[i] < 0x80 and not (wrong in ("gb18030", "cp932", "big5hkscs") and k is None):
                     continue
-                for j, options, cost in self._reads(right, data, i):
-                    if any(x == -2 for x in data[i:j]):
-                        continue
+                if reads is None:
+                    reads = [r for r in self._reads(right, data, i) if -2 not in data[i : r[0]]]
+                for j, options, cost in reads:
                     base = score - cost - (0.0 if damaged else enter)
                     done = units + (1 if cost == 0 and options[0] >= "\x80" else 0) if options else units
                     for c in options:
@@ -308,16 +315,17 @@ class Model:
 
     def _fits(self, part: str, wrong: str, right: str) -> bool:
         """A quick test whether reading the bytes anew could give text at all."""
-        lost = LOST in part
+        if right == "cp1252" and LOST * 2 in part:
+            return False  # any letters at all could stand for several lost bytes in a row
         if wrong == "utf-8":
-            return lost and (LOST * 2 not in part and not _WIDE.search(part) if right == "cp1252" else len(part) > 2)
+            return LOST in part and (not _WIDE.search(part) if right == "cp1252" else len(part) > 2)
         wide = _WIDE.search(part) is not None
         if wide != (wrong in ("gb18030", "cp932", "big5hkscs", "euc_kr")):
             return False
         if wide:
             data = part.replace(LOST, "\x1a").encode(wrong, "ignore").replace(b"\x1a", b"\x80")
             if right == "utf-8":
-                return bool(_RUN_UTF8.search(data)) or bool(re.search("[A-Za-z0-9 ]", part) or len(part) < 3) and len(part) < 40 and bool(_SHORT_UTF8.search(data))
+                return bool(_RUN_UTF8.search(data)) or bool(re.search("[A-Za-z0-9 ]", part) or len(part) < 3) and bool(_SHORT_UTF8.search(data))
             return len(data) > 3 and self._likelier(part, data)
         data = b"".join(b"\x80" if ch == LOST else _bytes(wrong, ch) or b"?" for ch in part)
         if right == "utf-8":
@@ -338,7 +346,6 @@ class Model:
         if known is not None:
             return known
         best, gain, channel = part, 0.0, None
-        short = len(part) < 60
         spaced = not _WIDE.search(part) or bool(re.search("[A-Za-z]", part))
         for wrong, rights in CHANNELS:
             for right in rights:
@@ -356,8 +363,7 @@ class Model:
                     second = self.search(reading, wrong, right, 0.0, spaced)
                     if second is not None and second[0] > 0 and second[2]:
                         g, reading = g + second[0], second[1]
-                if short:
-                    g += max(-6.0, min(6.0, self._words(reading) - self._words(part)))
+                g += max(-6.0, min(6.0, self._words(reading) - self._words(part)))
                 if wrong == "utf-8" and right == "cp1252" and any(self.word(w) < 3 for w in _WORD.findall(reading)):
                     continue
                 if g > gain:
@@ -377,13 +383,14 @@ class Model:
         damaged = False
         out, again = text, frozenset()
         for _ in range(rounds):
-            pieces, used = [], set()
+            pieces, used, at = [], set(), 0
             for part in self._parts(out):
+                start, at = at, at + len(part)
                 if not part or part.isascii():
-                    pieces.append(part or "")
+                    pieces.append(part)
                     continue
                 reading, gain, channel = self.restore_part(part, again)
-                if gain > 0 and not self._mentioned(out, part, reading):
+                if gain > 0 and not self._mentioned(out, start, part, reading):
                     pieces.append(reading)
                     used.add(channel)
                 else:
@@ -402,7 +409,7 @@ class Model:
         return damaged, out
 
     def _agreed(self, text: str) -> frozenset:
-        parts = {p for p in self._parts(text) if not p.isascii() and len(p) < 40 and not _WIDE.search(p)}
+        parts = {p for p in self._parts(text) if not p.isascii() and not _WIDE.search(p)}
         if len(parts) > 1:
             for channel in (("mac_roman", "cp1252"), ("cp850", "cp1252"), ("cp437", "cp1252")):
                 one = frozenset({channel})
@@ -420,7 +427,8 @@ class Model:
             elif part:
                 yield part
 
-    def _mentioned(self, text: str, part: str, reading: str) -> bool:
+    @staticmethod
+    def _mentioned(text: str, at: int, part: str, reading: str) -> bool:
         """Whether all that changed is the whole of a quotation."""
         a = 0
         while a < min(len(part), len(reading)) and part[a] == reading[a]:
@@ -428,7 +436,6 @@ class Model:
         b = 0
         while b < min(len(part), len(reading)) - a and part[-1 - b] == reading[-1 - b]:
             b += 1
-        at = text.find(part)
         return _quoted(text, at + a, at + len(part) - b)
 
 
@@ -440,7 +447,7 @@ _BAD = re.compile("[\x80-\x84\x86-\x9f\ufffd]+|锟斤拷")
 
 
 def _quoted(text: str, a: int, b: int) -> bool:
-    return 0 < a and b < len(text) and b - a <= 24 and _QUOTES.get(text[a - 1]) == text[b]
+    return 0 < a and b < len(text) and b - a <= MENTION and _QUOTES.get(text[a - 1]) == text[b]
 
 
 def wrongly_decoded(texts: DataFrame, counts: np.ndarray, text: str = "text") -> DataFrame:
