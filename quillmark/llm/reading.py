@@ -1,39 +1,55 @@
 """Problem 3: how demanding a text is, on the scale of graded sample texts.
 
-Method: classic readability formulas (Flesch-Kincaid, Gunning fog, SMOG, Coleman-Liau, ARI, a familiar-words formula in the
-manner of Dale and Chall), from sentence length and syllables counted by hyphenation-style rules; for Chinese their
-counterparts by characters, clauses and familiar characters. Each estimate is brought to the scale of the samples, a
-sentence gets the median of its estimates, a text the median of its sentences weighted slightly by their length. So neither run-on
-sentences of easy words nor a few hard or easy sentences decide.
+Method: classic readability formulas (Flesch-Kincaid, Gunning fog, SMOG, Coleman-Liau, ARI, FORCAST, shares of long words), from
+clause length and syllables counted by hyphenation-style rules; for Chinese their counterparts from clause length, unbroken runs and the
+share of bookish characters. Sentences come from the operator of problem 2. The samples only say at which values a formula
+passes from one level to the next; no words are learnt from them. A sentence gets the median of its grade estimates, a text the median of
+its sentences weighted slightly by their length. Length is counted by clause, so neither run-on sentences of easy words
+nor a few hard or easy sentences decide.
 
-The samples that the scale and the familiar words are learnt from are bounded (``LABELLED`` rows); they are a fixed table.
+The samples that the boundaries are fitted on are bounded (``LABELLED`` rows); they are a fixed table.
 
 Cases: null and blank texts and texts without letters have no level; a text in another alphabet is measured like English by
-what letters it has; a mixed text by each sentence's own script; very long texts are measured whole.
+what letters it has; a mixed text by each sentence's own script; very long texts are measured whole; without samples of all four levels
+in a script its sentences aren't measured.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from bisect import bisect_right
+from collections.abc import Iterator
+from functools import lru_cache
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.llm import sentences
+
 LABELLED = 2_000
 #: A sentence weighs as its length to this power: one run-on sentence is still about one sentence.
 WEIGHT = 0.25
+#: Grades at an estimate's lowest typical value, its three boundaries between levels, its highest typical value.
+GRADES = (1.0, 1.5, 2.5, 3.5, 4.0)
 
-_SENTENCE = re.compile(r"[^.!?。！？…\n]*(?:[.!?。！？…]+[\"”’»」』）)]*|\n|$)")
 _WORD = re.compile(r"[^\W\d_㐀-鿿]+(?:['’-][^\W\d_㐀-鿿]+)*")
 _HAN = re.compile("[㐀-鿿]")
-_CLAUSE = re.compile("[，、；：,;:—]+")
+#: Where a clause ends; what "and then" strings together are clauses of their own.
+_CLAUSE = re.compile(r"[，、；：,;:—]+|\b(?:and|but) then\b")
 _VOWELS = re.compile(r"[aeiouyäöüéèêàâîïôûáíóúñ]+")
 _SPLIT = re.compile(r"(?:ia(?!n\b|l\b|ge\b)|io(?!n|us)|eo(?!us)|ua|uo|ui(?=t)|[aeiou]ing|iu|ier\b|ean\b|ology|isation|ization)")
 
+# Fixed values, closed classes of Chinese: function words of the literary language, endings of abstract nouns, everyday particles and
+# pronouns, and further function words that break up runs.
+LITERARY = set("之其而者也夫盖乎矣焉乃以于所则亦岂孰遂故且莫既曰余吾尔皆尝谓哉耳或弗勿兮惟")
+ABSTRACT = set("性论化制系义构诸")
+EVERYDAY = set("的了着过们吗呢吧啊这那个是在有没我你他她它")
+FUNCTION = EVERYDAY | LITERARY | set("不和都就还又把被让对从给向为一二三四五六七八九十两几上下里中来去到很只与及因由虽然可但如若")
+_BREAK = re.compile(rf"[^㐀-鿿]+|[{''.join(sorted(FUNCTION))}]+")
+
 
+@lru_cache(maxsize=1 << 16)
 def syllables(word: str) -> int:
     """Syllables by rule: vowel groups, less silent endings, plus vowels that are spoken apart."""
     w = word.lower()
@@ -49,83 +65,97 @@ def syllables(word: str) -> int:
     return max(1, n)
 
 
-def units(text: str | None) -> list[tuple[str, str, list[str]]]:
+def units(text: str | None) -> Iterator[tuple[str, str, list[str]]]:
     """(script, sentence, its words or characters) for each sentence."""
-    out = []
-    for m in _SENTENCE.finditer(text or ""):
-        s = m.group()
+    a = 0
+    for b in sentences.ends(text):
+        s = text[a:b]
+        a = b
         han, words = _HAN.findall(s), _WORD.findall(s)
         if len(han) > 2 * len(words):
-            out.append(("zh", s, han))
+            yield "zh", s, han
         elif words:
-            out.append(("en", s, words))
-    return out
+            yield "en", s, words
 
 
-def estimates(script: str, sentence: str, words: list[str], familiar: dict) -> list[float]:
-    """Raw estimates of one sentence. Those that only look at words outnumber those that look at its length."""
+def estimates(script: str, sentence: str, words: list[str]) -> list[float]:
+    """Raw values of the formulas for one sentence."""
     n = len(words)
-    table = familiar.get(script, {})
+    letter = _HAN if script == "zh" else _WORD
+    clause = n / max(1, sum(letter.search(c) is not None for c in _CLAUSE.split(sentence)))
     if script == "zh":
-        clauses = [c for c in _CLAUSE.split(sentence) if _HAN.search(c)]
-        chars = [table.get(c) for c in words]
-        pairs = [table.get(a + b) for a, b in zip(words, words[1:])]
-        known, known2 = [x for x in chars if x is not None], [x for x in pairs if x is not None]
-        rare = sum(x is None for x in chars) / n
-        return [float(n), n / max(1, len(clauses)), float(np.mean(known)) if known else 4.0, float(np.mean(known2)) if known2 else 2.5, float(np.percentile(known, 75)) + rare if known else 4.0]
+        bookish = sum(c in LITERARY or c in ABSTRACT for c in words) / n
+        everyday = sum(c in EVERYDAY for c in words) / n
+        runs = [len(r) for r in _BREAK.split(sentence) if r]
+        long = sum(r for r in runs if r >= 5) / n
+        return [
+            0.39 * clause + 118 * (bookish + long / 4),
+            0.4 * (clause + 100 * bookish),
+            1.043 * (30 * bookish) ** 0.5 + 3.1291 + 0.1 * clause,
+            100 * bookish,
+            100 * (bookish - everyday) + 0.5 * clause,
+            clause + 10 * clause * (bookish - everyday),
+            sum(runs) / max(1, len(runs)) + 20 * bookish,
+            100 * (long + 2 * bookish),
+        ]
     syl = [syllables(w) for w in words]
-    letters = sum(map(len, words))
+    letters, per = sum(map(len, words)), sum(syl) / n
     hard = sum(s >= 3 for s in syl)
-    per = sum(syl) / n
-    told = [table.get(w.lower()) for w in words]
-    guess = [x if x is not None else 1.0 + min(3.0, 0.75 * (s - 1)) if w[0].islower() else 2.0 for x, s, w in zip(told, syl, words)]
     return [
-        0.39 * n + 11.8 * per - 15.59,
-        0.4 * (n + 100 * hard / n),
-        1.043 * (30 * hard * min(1.0, 12 / n)) ** 0.5 + 3.1291,
-        0.0588 * 100 * letters / n - 0.296 * 100 / max(n, 8) - 15.8,
-        4.71 * letters / n + 0.5 * n - 21.43,
-        per,
-        float(np.mean(guess)),
-        float(np.percentile(guess, 80)),
+        0.39 * clause + 11.8 * per - 15.59,
+        0.4 * (clause + 100 * hard / n),
+        1.043 * (30 * hard / n * min(1.0, n / 8)) ** 0.5 + 3.1291,
+        5.88 * letters / n - 15.8,
+        4.71 * letters / n + 0.5 * clause - 21.43,
+        20 - 15 * sum(s == 1 for s in syl) / n,
+        100 * sum(len(w) > 6 for w in words) / n + clause,
+        100 * sum(len(w) > 9 for w in words) / n + clause,
     ]
 
 
-def weighted_median(values: np.ndarray, weights: np.ndarray) -> float:
-    order = np.argsort(values, kind="stable")
-    c = np.cumsum(weights[order])
-    return float(values[order][np.searchsorted(c, c[-1] / 2)])
+def median(values: list[float]) -> float:
+    v = sorted(values)
+    k = len(v) // 2
+    return v[k] if len(v) % 2 else (v[k - 1] + v[k]) / 2
+
+
+def weighted_median(values: list[float], weights: list[float]) -> float:
+    half, run = sum(weights) / 2, 0.0
+    for v, w in sorted(zip(values, weights)):
+        run += w
+        if run >= half:
+            return v
+    return max(values)
+
+
+def grade(x: float, at: list[float]) -> float:
+    """An estimate on the scale of the samples: between the boundaries in proportion."""
+    k = bisect_right(at, x)
+    if k == 0 or k == len(at):
+        return GRADES[0 if k == 0 else -1]
+    return GRADES[k - 1] + (GRADES[k] - GRADES[k - 1]) * (x - at[k - 1]) / (at[k] - at[k - 1])
 
 
 class Scale:
-    """Familiar words, and each estimate's typical value at each level, learnt from graded samples."""
+    """At which values each formula passes from level to level, from graded samples."""
 
     def __init__(self, samples: list[tuple[int, str]]) -> None:
-        seen: dict[str, dict[str, np.ndarray]] = {"en": defaultdict(lambda: np.zeros(4)), "zh": defaultdict(lambda: np.zeros(4))}
-        for level, text in samples:
-            here: set[tuple[str, str]] = set()
-            for script, _, words in units(text):
-                terms = [w.lower() for w in words] if script == "en" else [*words, *(a + b for a, b in zip(words, words[1:]))]
-                here.update((script, t) for t in terms)
-            for script, t in here:
-                seen[script][t][level - 1] += 1
-        levels = np.arange(1, 5)
-        size = np.maximum(1.0, np.bincount([x for x, _ in samples], minlength=5)[1:])
-        #: a word's grade: the mean level of the samples that have it, evened out by how many samples a level has
-        self.familiar = {s: {t: float(((c / size) @ levels) / (c / size).sum()) for t, c in d.items() if c.sum() > 0} for s, d in seen.items()}
         points: dict[str, list[list[list[float]]]] = {"en": [[], [], [], []], "zh": [[], [], [], []]}
         for level, text in samples:
-            us = units(text)
-            for script in ("en", "zh"):
-                rows = [(estimates(s, t, w, self.familiar), len(w)) for s, t, w in us if s == script]
-                if rows:
-                    e, w = np.array([r for r, _ in rows]), np.array([float(x) for _, x in rows])
-                    points[script][level - 1].append([weighted_median(e[:, k], w) for k in range(e.shape[1])])
-        self.typical: dict[str, np.ndarray] = {}
+            us = list(units(text))
+            for script in points:
+                rows = [(estimates(s, t, w), len(w) ** WEIGHT) for s, t, w in us if s == script]
+                if rows and 2 * len(rows) >= len(us):
+                    points[script][level - 1].append([weighted_median([r[k] for r, _ in rows], [w for _, w in rows]) for k in range(len(rows[0][0]))])
+        self.at: dict[str, list[list[float]]] = {}
         for script, by in points.items():
             if all(by):
-                mid = np.array([np.median(np.array(rows), axis=0) for rows in by])
-                self.typical[script] = np.maximum.accumulate(mid + np.arange(4)[:, None] * 1e-6, axis=0)
+                self.at[script] = []
+                for k in range(len(by[0][0])):
+                    v = [[row[k] for row in rows] for rows in by]
+                    cuts = [self._cut(sum(v[:j], []), sum(v[j:], []), 0.0) for j in (1, 2, 3)]
+                    at = sorted([median(v[0]), *cuts, median(v[3])])
+                    self.at[script].append([x + i * 1e-9 for i, x in enumerate(at)])
         scored = [(level, s) for level, text in samples if (s := self.score(text)) is not None]
         self.cuts = [self._cut([s for x, s in scored if x <= k], [s for x, s in scored if x > k], k + 0.5) for k in (1, 2, 3)]
 
@@ -142,22 +172,11 @@ class Scale:
         """A text's place on the scale; null without letters."""
         values, weights = [], []
         for script, sentence, words in units(text):
-            typical = self.typical.get(script)
-            if typical is None:
-                continue
-            e = estimates(script, sentence, words, self.familiar)
-            grades = []
-            for k, x in enumerate(e):
-                t = typical[:, k]
-                g = np.interp(x, t, [1, 2, 3, 4])
-                if x > t[3]:
-                    g = 4 + min(1.0, (x - t[3]) / max(1e-9, t[3] - t[2]) / 2)
-                elif x < t[0]:
-                    g = 1 - min(1.0, (t[0] - x) / max(1e-9, t[1] - t[0]) / 2)
-                grades.append(g)
-            values.append(float(np.median(grades)))
-            weights.append(float(len(words)) ** WEIGHT)
-        return weighted_median(np.array(values), np.array(weights)) if values else None
+            at = self.at.get(script)
+            if at is not None:
+                values.append(median([grade(x, a) for x, a in zip(estimates(script, sentence, words), at)]))
+                weights.append(len(words) ** WEIGHT)
+        return weighted_median(values, weights) if values else None
 
     def level(self, score: float | None) -> int | None:
         return None if score is None else 1 + sum(score >= c for c in self.cuts)
@@ -170,7 +189,7 @@ def learn_scale(samples: DataFrame, key: str = "sample_id", level: str = "level"
 
 def reading_level(texts: DataFrame, scale: Scale, text: str = "text") -> Column:
     """A column with ``score`` and ``level`` of each text."""
-    sent = texts.sparkSession.sparkContext.broadcast((dict(scale.__dict__)))
+    sent = texts.sparkSession.sparkContext.broadcast(scale.__dict__)
 
     @F.pandas_udf("struct<score:double,level:int>")
     def measure(batch: pd.Series) -> pd.DataFrame:
