@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.grouping import widths
-from quillmark.session import checkpoint
+from quillmark.session import checkpoint, spread
 
 RUN = 3
 #: A run of tokens tells passages apart if no more distinct passages than this have it; how many of them, and which share of an item's, a
@@ -32,6 +32,8 @@ FEW_SHARE = 0.2
 #: The share of a passage, its density in the covered stretches and the share of telling runs there; the widest gap.
 SHARE, DENSITY, TELLING, GAP = 0.4, 0.55, 0.45, 8
 BROADCAST_RUNS = 2_000_000
+#: Ids of the documents to be aligned are broadcast up to this number, so that only their texts leave the scan.
+BROADCAST_IDS = 4_000_000
 #: A line that stands beside so many different longer lines is an instruction.
 COMMON_LINE = 3
 
@@ -118,7 +120,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
     few = telling.groupBy("item").agg(F.count("rare").alias("n"), F.count(F.lit(1)).alias("all")).filter(F.col("n") < F.greatest(F.lit(LEAST_RUNS), FEW_SHARE * F.col("all"))).select("item", F.lit(1).alias("few"))
     terms = checkpoint(telling.join(few, "item", "left").filter("rare = 1 or few = 1").select("run", "item", F.col("at").alias("item_at")))
     side = F.broadcast(terms) if terms.count() <= BROADCAST_RUNS else terms
-    read = docs.select(F.col(doc_key).alias("doc"), tokens(text).alias("tokens"))
+    read = spread(docs.select(F.col(doc_key).alias("doc"), F.col(text).alias("text")), "doc").select("doc", tokens("text").alias("tokens"))
     postings = _runs(read, "doc").join(side, "run")
     # intersect by offset: buckets overlap by half, so places that drift by less than that share one
     bucket = F.floor((F.col("at") - F.col("item_at")) / (DRIFT // 2))
@@ -126,9 +128,12 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
     met = near.groupBy("doc", "item", "bucket").agg(F.countDistinct("item_at").alias("runs"), F.collect_set("at").alias("at"))
     own = terms.groupBy("item").agg(F.collect_set("item_at").alias("telling"))
     enough = met.join(own, "item").filter(F.col("runs") >= F.greatest(F.least(F.lit(LEAST_RUNS), SHARE * F.size("telling")), LEAST_RUN_SHARE * F.size("telling")))
-    found = enough.groupBy("doc", "item").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("places"), F.first("telling").alias("telling"))
+    found = checkpoint(enough.groupBy("doc", "item").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("places"), F.first("telling").alias("telling")))
     told = parts.select("item", F.col("tokens").alias("item_tokens"))
-    pairs = found.join(told, "item").join(docs.select(F.col(doc_key).alias("doc"), F.col(text).alias("doc_text")), "doc").select("doc", "item", "places", "item_tokens", "telling", tokens("doc_text").alias("doc_tokens"))
+    ids = found.select("doc").distinct()
+    ids = F.broadcast(ids) if found.count() <= BROADCAST_IDS else ids
+    texts = spread(docs.select(F.col(doc_key).alias("doc"), F.col(text).alias("doc_text")).join(ids, "doc", "left_semi"), "doc").select("doc", tokens("doc_text").alias("doc_tokens"))
+    pairs = found.join(told, "item").join(texts, "doc").select("doc", "item", "places", "item_tokens", "telling", "doc_tokens")
 
     @F.pandas_udf("struct<share:double,density:double,telling:double>")
     def compare(item: pd.Series, doc: pd.Series, tell: pd.Series, near: pd.Series) -> pd.DataFrame:
