@@ -60,19 +60,20 @@ def _whole(pattern: str) -> str:
 
 
 def _ends(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """How each text ends."""
+    """How each text ends, and the text itself."""
     blanks = F.lit(_BLANKS)
     # patterns only look at the tail; what precedes it can't decide, and texts may be very long
     mark = F.regexp_extract(F.substring("t", -12, 12), _MARK, 0)
     line = F.ltrim(F.substring_index(F.translate("body", "\r\u2028\u2029\x85", "\n\n\n\n"), "\n", -1), blanks)
     return (
-        docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.rtrim(text, blanks).alias("t"), F.length(text).alias("chars"), F.octet_length(text).alias("bytes"))
+        docs.select(F.col(text).alias("text"), F.col(key).alias("key"), F.col(source).alias("source"), F.rtrim(text, blanks).alias("t"), F.length(text).alias("chars"), F.octet_length(text).alias("bytes"))
         .withColumn("tail", F.substring("t", -120, 120))
         .withColumn("mark", mark)
         .withColumn("body", F.rtrim(F.substring("t", F.lit(1), F.length("t") - F.length("mark")), blanks))
         .withColumn("line", line)
         .withColumn("end", F.substring("body", -60, 60))
         .select(
+            "text",
             "key",
             "source",
             "chars",
@@ -92,15 +93,38 @@ def _ends(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
             F.lower(F.regexp_extract("end", rf"({_WORD})$", 1)).alias("token"),
             F.substring("body", -1, 1).alias("last"),
         )
-        .filter("speaks")
     )
 
 
-def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(word, n)``: every word of the corpus but the final one of each text, which may be a fragment."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
-    inner = F.when(F.size(words) > 1, F.slice(words, 1, F.size(words) - 1))
-    return docs.select(F.explode(inner).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+#: Kinds of rows that one pass over the corpus gives.
+END, WORD, ELLIPSIS = 0, 1, 2
+
+
+def one_pass(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    """``(kind, token, n, ...)``: how each text ends, with its final token; every word of the corpus but the final one of each text, which
+    may be a fragment, with a blank or comma behind it if one follows; words and Han characters before an ellipsis that closes a
+    sentence within a text. Words are counted before they are shuffled.
+    """
+    ends = _ends(docs.filter(F.col(text).isNotNull()), key, text, source)
+    low = F.lower("text")
+    words = F.regexp_extract_all(low, F.lit(rf"{_WORD}[ ,]?"), F.lit(0))
+    before = F.regexp_extract_all(low, F.lit(rf"({_WORD}|\p{{IsHan}})(?:\.{{3}}|…+)(?={_WS}*[^{_WS[1:-1]}.…])"), F.lit(1))
+    none = F.array().cast("array<string>")
+    lists = ends.withColumn("words", words).withColumn("before", F.when(F.col("text").contains("...") | F.col("text").contains("…"), before).otherwise(none))
+    kinds = F.array(
+        F.struct(F.lit(END).alias("kind"), F.array("token").alias("tokens")),
+        F.struct(F.lit(WORD).alias("kind"), F.when(F.size("words") > 1, F.slice("words", 1, F.size("words") - 1)).otherwise(none).alias("tokens")),
+        F.struct(F.lit(ELLIPSIS).alias("kind"), F.col("before").alias("tokens")),
+    )
+    of_end = [c for c in ends.columns if c not in ("text", "token")]
+    rows = lists.select(*of_end, F.explode(kinds).alias("k")).select(*of_end, "k.kind", F.explode("k.tokens").alias("token"))
+    return rows.groupBy("kind", "token", *(F.when(F.col("kind") == END, F.col(c)).alias(c) for c in of_end)).agg(F.count(F.lit(1)).alias("n"))
+
+
+def vocabulary(rows: DataFrame) -> DataFrame:
+    """``(word, n, goes_on)``: each known word, how often it occurs and how often its sentence goes on after it."""
+    word = F.rtrim(F.col("token"), F.lit(" ,"))
+    return rows.filter(F.col("kind") == WORD).groupBy(word.alias("word")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("token").endswith(" ") | F.col("token").endswith(","), F.col("n")).otherwise(0)).alias("goes_on"))
 
 
 def trie(words: DataFrame) -> DataFrame:
@@ -110,17 +134,11 @@ def trie(words: DataFrame) -> DataFrame:
     return long.select(step.alias("prefix")).groupBy("prefix").agg(F.count(F.lit(1)).alias("words"))
 
 
-def closing_ellipses(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(token, n)``: words and Han characters before an ellipsis that closes a sentence within a text."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(rf"({_WORD}|\p{{IsHan}})(?:\.{{3}}|…+)(?={_WS}*[^{_WS[1:-1]}.…])"), F.lit(1))
-    return docs.filter(F.col(text).contains("...") | F.col(text).contains("…")).select(F.explode(found).alias("before")).groupBy("before").agg(F.count(F.lit(1)).alias("ellipses"))
-
-
 def find_cut(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``(key, source, cut, reason)`` for each non-blank text."""
-    ends = _ends(docs.filter(F.col(text).isNotNull()), key, text, source)
+    rows = checkpoint(one_pass(docs, key, text, source))
     is_open: Column = F.col("marked") & ~F.col("closed_before") | ~F.col("closed") & ~F.col("closing_line")
-    ends = checkpoint(ends.withColumn("open", is_open))
+    ends = rows.filter((F.col("kind") == END) & F.col("speaks")).drop("kind", "n").withColumn("open", is_open)
     # length evidence, by characters and by bytes
     for unit in ("chars", "bytes"):
         at = F.count(F.when(F.col("open"), 1)).alias("here")
@@ -128,15 +146,18 @@ def find_cut(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
         total = F.sum("here").over(Window.partitionBy("source"))
         limits = counts.withColumn("all", total).filter((F.col("here") >= LIMIT_ROWS) & (F.col("here") >= LIMIT_SHARE * F.col("all"))).select(F.col("source").alias("s"), F.col(unit).alias("u"), F.lit(True).alias(f"at_{unit}"))
         ends = ends.join(limits, ends["source"].eqNullSafe(limits["s"]) & (ends[unit] == limits["u"]), "left").drop("s", "u")
-    words = checkpoint(vocabulary(docs, text))
-    known = words.select(F.col("word").alias("token"), F.col("n").alias("known"))
+    words = vocabulary(rows)
+    known = words.select(F.col("word").alias("token"), F.col("n").alias("known"), "goes_on")
     deeper = trie(words).select(F.col("prefix").alias("token"), F.col("words").alias("deeper"))
+    ellipses = rows.filter(F.col("kind") == ELLIPSIS).select(F.col("token").alias("before"), F.col("n").alias("ellipses"))
     # only tokens that end some text are looked up
     tokens = ends.filter("token <> ''").select("token").distinct().join(known, "token", "left").join(deeper, "token", "left")
     before = F.when(F.col("token") == "", F.col("last")).otherwise(F.col("token"))
-    full = ends.join(tokens, "token", "left").withColumn("before", before).join(closing_ellipses(docs, text), "before", "left")
+    full = ends.join(tokens, "token", "left").withColumn("before", before).join(ellipses, "before", "left")
     limit = F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False))
     fragment = (F.col("token") != "") & F.col("known").isNull() & F.col("deeper").isNotNull()
+    # a known word that neither a sentence of the corpus nor a longer word goes on from may well close a text
+    goes_on = F.col("known").isNull() | (F.col("goes_on") > 0) | F.col("deeper").isNotNull()
     usual_ellipsis = F.coalesce("ellipses", F.lit(0)) > 0
     reason = (
         F.when(F.col("broken"), "broken character")
@@ -146,6 +167,6 @@ def find_cut(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
         .when(F.col("closing_line"), None)
         .when(F.col("list_line") & ~F.col("open_quote"), F.when(fragment, "word in list").when(limit, "list at limit"))
         .when(fragment, "word")
-        .otherwise("sentence")
+        .when(goes_on | limit | F.col("open_quote"), "sentence")
     )
     return full.select(F.col("key").alias(key), "source", reason.isNotNull().alias("cut"), reason.alias("reason"))
