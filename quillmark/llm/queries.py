@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import bitext, encoding, grouping, leakage, neighbours, reading, sentences, splitting, tokenizing, truncation
-from quillmark.session import checkpoint, once_per_key, table
+from quillmark.session import checkpoint, once_per_key, spread, table
 
 
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,22 +45,28 @@ def p2_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("sentence_id", (F.col("at") + 1).alias("sentence_no"), "end_pos", "lang", unit.alias("sentence"))
 
 
-def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once_per_key(table(spark, sf_dir, "history"), "id", "input_text", order="arrived_at").filter("input_text is not null").select(F.col("id").alias("history_id"), F.col("input_text").alias("text"))
+
+
+def _levels(texts: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reading level of every text of history."""
     scale = reading.learn_scale(table(spark, sf_dir, "reading_levels"))
-    once = once_per_key(table(spark, sf_dir, "history"), "id", "input_text", order="arrived_at").filter("input_text is not null")
-    texts = once.repartition(_tasks(spark), "id")
-    return texts.withColumn("r", reading.reading_level(texts, scale, "input_text")).select(F.col("id").alias("history_id"), "r.score", "r.level")
+    return texts.withColumn("r", reading.reading_level(texts, scale, "text")).select("history_id", "text", "r.score", "r.level")
 
 
 def p3_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _levels(spark, sf_dir)
+    return _levels(spread(_history(spark, sf_dir), "history_id"), spark, sf_dir).drop("text")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # a wrongly decoded text has the level of its garbage; such texts are another problem's cases
-    damaged = _read_anew(spark, sf_dir, ("history",)).filter("damaged").select(F.col("row_id").alias("history_id"))
-    return _levels(spark, sf_dir).filter("level = 4").select("history_id").join(damaged, "history_id", "left_anti")
+    # a wrongly decoded text has the level of its garbage; such texts are another problem's cases. They are looked for among the
+    # texts of this level only, by the statistics of all texts.
+    texts = checkpoint(spread(_history(spark, sf_dir), "history_id"))
+    counts = encoding.corpus_counts(texts.select("text").union(_paths(spark, sf_dir).select("text")))
+    hard = checkpoint(_levels(texts, spark, sf_dir).filter("level = 4").select("history_id", "text"))
+    odd = F.col("text").rlike(NOT_ASCII)
+    return hard.filter(~odd).select("history_id").union(encoding.wrongly_decoded(hard.filter(odd), counts).filter("not damaged").select("history_id"))
 
 
 FEATURES = 50
@@ -70,7 +76,7 @@ def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 most similar other vectors of every usable vector."""
     once = once_per_key(table(spark, sf_dir, "feature_vectors"), "vec_id", "function_word_freq", order="arrived_at")
     # read twice: for the fit and for the index
-    once = checkpoint(once.repartition(_tasks(spark), "vec_id"))
+    once = checkpoint(spread(once, "vec_id"))
     return neighbours.most_similar(once, "vec_id", "function_word_freq", FEATURES)
 
 
@@ -83,7 +89,7 @@ def _bitexts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Bitexts once with both sides as lists in order; pairs of sentences that translate one another."""
     once = once_per_key(table(spark, sf_dir, "alignments"), "bitext_id", "pairs", "unmatched_zh", "unmatched_en", order="arrived_at")
     side = lambda name: F.concat(F.coalesce(F.col(f"pairs.{name}"), F.array().cast("array<string>")), F.coalesce(f"unmatched_{name}", F.array().cast("array<string>")))
-    texts = checkpoint(once.select("bitext_id", side("zh").alias("zh"), side("en").alias("en")).repartition(_tasks(spark), "bitext_id"))
+    texts = checkpoint(spread(once.select("bitext_id", side("zh").alias("zh"), side("en").alias("en")), "bitext_id"))
     # the word list counts as short documents; its wrong entries are outvoted by the texts
     words = table(spark, sf_dir, "glossary").select(F.array_repeat("zh_term", 3).alias("zh"), F.array_repeat("en_term", 3).alias("en"))
     learnt = texts.select("zh", "en").union(words)
@@ -115,14 +121,22 @@ def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.split_related(grouping.tied(table(spark, sf_dir, "nn_predictions")))
 
 
-def _read_anew(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = ("history", "batch_items")) -> DataFrame:
+#: Only texts with other than ASCII characters can show that they were wrongly decoded.
+NOT_ASCII = "[^\\x00-\\x7f]"
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once_per_key(table(spark, sf_dir, "batch_items"), "item_id", "path", order="arrived_at").filter("path is not null").select("item_id", F.col("path").alias("text"))
+
+
+def _read_anew(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every non-null text of history and path of batch_items once, with what its bytes say when read anew."""
-    rows = once_per_key(table(spark, sf_dir, "history"), "id", "input_text", order="arrived_at").select(F.lit("history").alias("tbl"), F.col("id").alias("row_id"), F.col("input_text").alias("text"))
-    paths = once_per_key(table(spark, sf_dir, "batch_items"), "item_id", "path", order="arrived_at").select(F.lit("batch_items"), F.col("item_id").cast("string"), F.col("path"))
-    # written out once: the statistics and the search both read it, and the search wants even parts
-    texts = checkpoint(rows.union(paths).filter("text is not null").repartition(_tasks(spark), "row_id"))
+    rows = _history(spark, sf_dir).select(F.lit("history").alias("tbl"), F.col("history_id").alias("row_id"), "text")
+    paths = _paths(spark, sf_dir).select(F.lit("batch_items"), F.col("item_id").cast("string"), "text")
+    # written out once: the statistics and the search both read it
+    texts = checkpoint(spread(rows.union(paths), "row_id"))
     counts = encoding.corpus_counts(texts)
-    return encoding.wrongly_decoded(texts.filter(F.col("tbl").isin(*tables) & F.col("text").rlike("[^\\x00-\\x7f]")), counts)
+    return encoding.wrongly_decoded(texts.filter(F.col("text").rlike(NOT_ASCII)), counts)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,12 +150,11 @@ def p7_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # One row group may hold the whole table: spread the texts before Python sees them.
-    return docs.repartition(_tasks(spark), "doc_id").select("doc_id", tokenizing.token_ids("text").alias("ids"))
+    return spread(docs, "doc_id").select("doc_id", tokenizing.token_ids("text").alias("ids"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(_tasks(spark), "doc_id")
+    docs = table(spark, sf_dir, "documents")
     return leakage.leaked(leakage.leaks(docs, table(spark, sf_dir, "eval_items"))).select("doc_id", "item_id")
 
 
@@ -158,10 +171,6 @@ def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.join(cut, total["source"].eqNullSafe(cut["source"]), "left").select(total["source"], "n_documents", n.alias("n_cut"), (n / F.col("n_documents")).alias("share_cut"))
 
 
-def _tasks(spark: SparkSession) -> int:
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_sentences, p3_found, p3_levels, p4_found, p4_neighbours, p5_found, p5_unmatched, p6_found, p6_splits, p7_found, p7_restored, p8_ids, p9_found, p10_found, p10_sources)}
 
 ORACLE: dict[str, str] = {

@@ -80,6 +80,9 @@ def test_reading_levels_held_out(spark):
     random.Random(3).shuffle(rows)
     scale = reading.Scale(rows[40:])
     assert sum(scale.level(scale.score(t)) == v for v, t in rows[:40]) >= 37
+    # run-on sentences of easy words stay easy
+    easy = "The dog ran to the tree and then the cat sat on the mat and then dad had a nap"
+    assert scale.level(scale.score(easy + " and then " + easy + ".")) <= 2
     assert scale.score("") is None and scale.score(None) is None and scale.score("123 …") is None
 
 
@@ -109,12 +112,29 @@ def test_router_recall_over_parts():
     rng = np.random.default_rng(1)
     x = neighbours.unit(np.repeat(rng.random((60, 12)), 100, 0) + rng.normal(0, 0.02, (6000, 12)))
     router, parts = neighbours.fit(x, 20000)
-    to = neighbours.routes(router.probabilities(x.astype(np.float32)))
-    home = np.array([t[0] for t in to])
+    p = router.probabilities(x.astype(np.float32))
+    q, part = neighbours.routes(p)
+    to, home = [part[q == i] for i in range(300)], p.argmax(1)
     s = x[:300] @ x.T
     s[np.arange(300), np.arange(300)] = -1
     top = np.argsort(-s, axis=1)[:, :5]
     assert parts > 1 and np.mean([home[j] in set(to[i].tolist()) for i in range(300) for j in top[i]]) >= 0.9
+    assert len(neighbours.routes(p, None)[0]) == parts * len(x)
+
+
+@pytest.mark.parametrize("routed,least", [(neighbours.ROUTED, 0.9), (None, 1.0)])
+def test_neighbours_over_two_levels(spark, monkeypatch, routed, least):
+    monkeypatch.setattr(neighbours, "PART", 60)
+    monkeypatch.setattr(neighbours, "PARTS", 4)
+    rng = np.random.default_rng(2)
+    x = neighbours.unit(np.repeat(rng.random((50, 8)), 40, 0) + rng.normal(0, 0.02, (2000, 8)))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, v array<double>")
+    got = {}
+    for r in neighbours.most_similar(df, "id", "v", 8, routed=routed).collect():
+        got.setdefault(r["query"], set()).add(r["neighbour"])
+    s = np.rint(x @ x.T * 1e9)
+    np.fill_diagonal(s, -9e18)
+    assert np.mean([len(got[i] & set(np.argsort(-s[i], kind="stable")[:5].tolist())) / 5 for i in range(2000)]) >= least
 
 
 # ---- 5 bitexts ----
@@ -204,6 +224,22 @@ def test_names_and_splits(spark):
     assert set(s) == {1, 2, 3, 4, 5} and s[1] == s[2] and s[3] == s[5]
 
 
+def test_closest_totals_against_all_plans():
+    from collections import Counter
+    from fractions import Fraction
+    from itertools import product
+
+    shares = [Fraction(8, 10), Fraction(1, 10), Fraction(1, 10)]
+    for seed in range(100):
+        r = random.Random(seed)
+        xs = [r.choice([1, 1, 2, 3, 5, 8, 13, r.randrange(1, 60)]) for _ in range(r.randrange(1, 8))]
+        off = lambda plan: sum(abs(s * sum(xs) - t) for s, t in zip(shares, plan))
+        best = min(off([sum(x for x, c in zip(xs, cs) if c == k) for k in range(3)]) for cs in product(range(3), repeat=len(xs)))
+        plan = grouping.closest_totals(sorted(Counter(xs).items()))
+        assert sum((Counter(p) for p in plan), Counter()) == Counter(xs)
+        assert off([sum(s * n for s, n in p.items()) for p in plan]) == best, xs
+
+
 def test_closest_totals():
     plan = grouping.closest_totals([(1, 37), (7, 11), (50, 3), (300, 1)])
     sums = [sum(s * n for s, n in p.items()) for p in plan]
@@ -227,7 +263,13 @@ def test_restores_damage():
             assert restored == good, (right, wrong, restored)
     for good in (*clean[:2], clean[-1], "The page printed “Ã©” where an é belonged.", "屏幕上只剩下“锟斤拷”三个字。", "plain", "", None):
         assert m.restore(good)[0] is False, good
-    assert m.restore("couldn�t")[0]
+    assert m.restore("couldn�t") == (True, "couldn’t")
+    # a damaged spot is judged alike however long the text around it is
+    for n in (1, 40):
+        bad = "x" * n + "couldn’t".encode().decode("cp1252") + "x" * n
+        assert m.restore(bad)[1] == "x" * n + "couldn’t" + "x" * n
+    # the second mention isn't taken for the first, which is quoted
+    assert m.restore("He wrote “Ã©” and the cafÃ© by the river.")[1] == "He wrote “Ã©” and the café by the river."
 
 
 # ---- 8 tokens ----
