@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillmark.functions import text as T
 from quillmark.functions import words as W
 from quillmark.operators import frequencies as Q
-from quillmark.operators.pairs import block_pairs
+from quillmark.operators.pairs import block_pairs, moments_in_blocks
 
 DIMENSIONS = tuple(W.WEIGHTS)
 SIZES = {"function_words": 50, "char_ngrams": 100, "word_bigrams": 50, "punctuation": 20}
@@ -143,6 +143,19 @@ def similarities(feats: DataFrame, weights: dict[str, float] | None = None) -> D
     return pair_scores(feats).select("la", "lb", weighted(weights).alias("sim"))
 
 
+def moments(feats: DataFrame, weights: dict[str, float] | None = None, other_work: bool = False) -> DataFrame:
+    """``(same, n, s, q)`` of the similarities of all pairs, folded in blocks."""
+    w = W.WEIGHTS if weights is None else weights
+
+    def total(a: dict, b: dict) -> np.ndarray:
+        scores, out = dimension_scores(a, b), 0.0
+        for k, d in enumerate(DIMENSIONS):
+            out = out + scores[..., k] * float(w.get(d, 0.0))
+        return out[..., None]
+
+    return moments_in_blocks(feats, "label", COLUMNS, total, other_work)
+
+
 def centroids(feats: DataFrame, group: Column) -> DataFrame:
     """Element-wise means by group."""
     g = feats.withColumn("grp", group)

@@ -16,14 +16,18 @@ def exploded(corpus: DataFrame, tokenize: Callable[[str], Column] = T.tokens_pla
     return corpus.select(key, F.explode(tokenize(text)).alias("word"))
 
 
-def most_frequent(words: DataFrame, n: int = 100) -> DataFrame:
+def counted(words: DataFrame, key: str = "label") -> DataFrame:
+    """``(key, word, n)``: what everything below needs; tokens are counted before they are shuffled or written."""
+    return words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def most_frequent(counts: DataFrame, n: int = 100) -> DataFrame:
     """``(word, n)``: the n most frequent words, ties by alphabet. The result has n rows, so it may be broadcast."""
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(n)
+    return counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(n)
 
 
-def relative(words: DataFrame, features: DataFrame, key: str = "label") -> DataFrame:
+def relative(counts: DataFrame, features: DataFrame, key: str = "label") -> DataFrame:
     """``(key, word, f)`` for every key and feature; 0 where a word is missing, and everywhere if a key has no words."""
-    counts = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy(key).agg(F.sum("n").alias("total"))
     vocabulary = features.select("word")
     # counts of features by key as one map per key: the grid is built from small rows, not from a join of all with all

@@ -38,6 +38,23 @@ def group_effect(edges: DataFrame, value: str) -> DataFrame:
     return one.select("mean_same", "mean_cross", "n_same", "n_cross", d.alias("cohens_d"))
 
 
+def effect_of_moments(moments: DataFrame) -> DataFrame:
+    """The same from ``(same, n, s, q)``, as blocks of pairs send them."""
+    put = lambda c, flag: F.coalesce(F.sum(F.when(F.col("same") == flag, F.col(c))), F.lit(0))
+    one = moments.agg(*(put(c, flag).alias(f"{c}{int(flag)}") for c in "nsq" for flag in (True, False)))
+    mean = lambda k: F.when(F.col(f"n{k}") > 0, F.col(f"s{k}") / F.greatest(F.col(f"n{k}"), F.lit(1)))
+    sd = lambda k: F.when(F.col(f"n{k}") > 1, F.sqrt(F.greatest(F.lit(0.0), (F.col(f"q{k}") - F.col(f"s{k}") * F.col(f"s{k}") / F.col(f"n{k}")) / F.greatest(F.col(f"n{k}") - 1, F.lit(1))))).otherwise(0.0)
+    m = one.select(mean(1).alias("mean_same"), mean(0).alias("mean_cross"), sd(1).alias("sd_same"), sd(0).alias("sd_cross"), F.col("n1").alias("n_same"), F.col("n0").alias("n_cross"))
+    d = cohens_d(*(F.col(x) for x in ("mean_same", "mean_cross", "sd_same", "sd_cross", "n_same", "n_cross")))
+    return m.select("mean_same", "mean_cross", "sd_same", "sd_cross", "n_same", "n_cross", d.alias("cohens_d"))
+
+
+def within_across_of_moments(moments: DataFrame) -> DataFrame:
+    n, s, q = (F.col(c) for c in "nsq")
+    sd = F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (q - s * s / n) / F.greatest(n - 1, F.lit(1))))).otherwise(0.0)
+    return moments.filter("n > 0").select(F.col("same").alias("same_group"), (s / n).alias("mean"), sd.alias("sd"), "n")
+
+
 def effect_label(d: Column | str) -> Column:
     size = F.abs(d)
     return F.when(size >= 0.8, "large").when(size >= 0.5, "medium").when(size >= 0.2, "small").otherwise("negligible")
@@ -49,9 +66,10 @@ def nearest(edges: DataFrame, value: str = "d") -> DataFrame:
     return both.groupBy("label").agg(F.min(F.struct(F.round(value, 12).alias("d"), "other")).alias("m")).select("label", F.col("m.other").alias("nn_label"), F.col("m.d").alias("d"))
 
 
-def predictions(edges: DataFrame, value: str = "d") -> DataFrame:
+def predictions(near: DataFrame) -> DataFrame:
+    """Groups of each label and of its nearest, from :func:`nearest` or its counterpart in blocks."""
     group = lambda c: F.substring_index(c, "/", 1)
-    return nearest(edges, value).select("label", group("label").alias("true_group"), "nn_label", group("nn_label").alias("nn_group"), (group("label") == group("nn_label")).alias("hit"), "d")
+    return near.select("label", group("label").alias("true_group"), "nn_label", group("nn_label").alias("nn_group"), (group("label") == group("nn_label")).alias("hit"), "d")
 
 
 def accuracy(pred: DataFrame) -> DataFrame:
@@ -77,14 +95,18 @@ def competition(edges: DataFrame, value: str = "d") -> DataFrame:
     g = with_groups(edges)
     same_work = g.filter("wa = wb and ga <> gb").select("wa", F.least("ga", "gb").alias("g1"), F.greatest("ga", "gb").alias("g2"), F.col(value).alias("x"))
     cross = same_work.groupBy(F.col("wa").alias("work"), "g1", "g2").agg(F.avg("x").alias("cross"))
-    within = g.filter("ga = gb and wa <> wb").select("ga", F.explode(F.array("wa", "wb")).alias("w"), F.col(value).alias("x")).groupBy(F.col("ga").alias("g"), "w").agg(F.avg("x").alias("within"))
-    a = within.select(F.col("g").alias("g1"), F.col("w").alias("work"), F.col("within").alias("within_1"))
-    b = within.select(F.col("g").alias("g2"), F.col("w").alias("work"), F.col("within").alias("within_2"))
-    both = cross.join(a, ["g1", "work"], "left").join(b, ["g2", "work"], "left").filter("within_1 is not null or within_2 is not null")
+    within = g.filter("ga = gb and wa <> wb").select("ga", F.explode(F.array("wa", "wb")).alias("w"), F.col(value).alias("x")).groupBy(F.col("ga").alias("g"), F.col("w").alias("work")).agg(F.avg("x").alias("within"))
+    return decided(cross, within).select("work", "g1", "g2", "cross", "within_1", "within_2", "same", "winner")
+
+
+def decided(cross: DataFrame, within: DataFrame, *by: str) -> DataFrame:
+    """Whether the distance across (work, g1, g2) or the mean of those within (g, work) is smaller, for each ``by``."""
+    a = within.select(*by, F.col("g").alias("g1"), "work", F.col("within").alias("within_1"))
+    b = within.select(*by, F.col("g").alias("g2"), "work", F.col("within").alias("within_2"))
+    both = cross.join(a, [*by, "g1", "work"], "left").join(b, [*by, "g2", "work"], "left").filter("within_1 is not null or within_2 is not null")
     mean = F.when(F.col("within_1").isNull(), F.col("within_2")).when(F.col("within_2").isNull(), F.col("within_1")).otherwise((F.col("within_1") + F.col("within_2")) / 2)
-    out = both.withColumn("same", mean)
     c, s = F.round("cross", 12), F.round("same", 12)
-    return out.select("work", "g1", "g2", "cross", "within_1", "within_2", "same", F.when(c < s, "original").when(c > s, "translator").otherwise("tie").alias("winner"))
+    return both.withColumn("same", mean).withColumn("winner", F.when(c < s, "original").when(c > s, "translator").otherwise("tie"))
 
 
 def sign_test(k: Column, n: Column) -> Column:

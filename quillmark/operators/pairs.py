@@ -1,4 +1,4 @@
-"""All unordered pairs of labelled vectors, in blocks."""
+"""All unordered pairs of labelled vectors, in blocks: as edges, or folded where a task has its block."""
 
 from __future__ import annotations
 
@@ -13,13 +13,15 @@ from quillmark.session import checkpoint
 
 #: Rows in a block; a task compares two blocks.
 BLOCK = 512
+#: Decimals to which values count as equal.
+TIES = 12
 
 
-def block_pairs(rows: DataFrame, key: str, columns: list[str], compare: Callable[[dict, dict], np.ndarray], names: list[str], block: int = BLOCK) -> DataFrame:
-    """``(la, lb, *names)`` with la < lb for all pairs of keys.
+def fold_blocks(rows: DataFrame, key: str, columns: list[str], fold: Callable[[np.ndarray, np.ndarray, dict, dict, bool], pd.DataFrame], schema: str, block: int = BLOCK) -> DataFrame:
+    """What ``fold(keys a, keys b, columns a, columns b, whether b is a)`` gives for every two blocks of rows.
 
-    ``compare`` gets the columns of two blocks as arrays and returns (rows a, rows b, values). Every pair is wanted, so the
-    work is quadratic; but it runs in tasks of bounded size, and each row is sent once per block, not once per pair.
+    The work is quadratic, but it runs in tasks of bounded size, and each row is sent once per block, not once per pair. Keys
+    are sorted by code points within a block.
     """
     rows = checkpoint(rows.select(key, *columns))
     n = rows.count()
@@ -27,24 +29,93 @@ def block_pairs(rows: DataFrame, key: str, columns: list[str], compare: Callable
     own = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
     placed = rows.withColumn("own", own)
     met = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).select(F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", key, *columns)
-    schema = "la string, lb string, " + ", ".join(f"{x} double" for x in names)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         bi, bj = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
-        a = pdf[pdf["own"] == bi].drop_duplicates(key).sort_values(key)
-        b = a if bi == bj else pdf[pdf["own"] == bj].drop_duplicates(key).sort_values(key)
+        part = lambda k: (d := pdf[pdf["own"] == k].drop_duplicates(key)).iloc[np.argsort(d[key].map(lambda x: x.encode()).to_numpy(), kind="stable")]
+        a = part(bi)
+        b = a if bi == bj else part(bj)
         if not len(a) or not len(b):
-            return pd.DataFrame(columns=["la", "lb", *names])
+            return pd.DataFrame(columns=[x.split()[0] for x in schema.split(", ")])
         put = lambda d: {c: np.stack([np.asarray(x, float) for x in d[c]]) if isinstance(d[c].iloc[0], (list, np.ndarray)) else d[c].to_numpy(float) for c in columns}
-        values = compare(put(a), put(b))
-        i, j = np.meshgrid(np.arange(len(a)), np.arange(len(b)), indexing="ij")
-        keep = (i < j) if bi == bj else np.ones_like(i, bool)
-        ka, kb = a[key].to_numpy()[i[keep]], b[key].to_numpy()[j[keep]]
-        swap = np.array([x.encode() > y.encode() for x, y in zip(ka, kb)], bool)
+        return fold(a[key].to_numpy(), b[key].to_numpy(), put(a), put(b), bi == bj)
+
+    return met.groupBy("bi", "bj").applyInPandas(run, schema)
+
+
+def _later(ka: np.ndarray, kb: np.ndarray) -> np.ndarray:
+    return np.array([x.encode() > y.encode() for x, y in zip(ka, kb)], bool)
+
+
+def block_pairs(rows: DataFrame, key: str, columns: list[str], compare: Callable[[dict, dict], np.ndarray], names: list[str], block: int = BLOCK) -> DataFrame:
+    """``(la, lb, *names)`` with la < lb for all pairs of keys. ``compare`` returns values by rows a and b."""
+    schema = "la string, lb string, " + ", ".join(f"{x} double" for x in names)
+
+    def edges(keys_a: np.ndarray, keys_b: np.ndarray, a: dict, b: dict, same: bool) -> pd.DataFrame:
+        values = compare(a, b)
+        i, j = np.meshgrid(np.arange(len(keys_a)), np.arange(len(keys_b)), indexing="ij")
+        keep = (i < j) if same else np.ones_like(i, bool)
+        ka, kb = keys_a[i[keep]], keys_b[j[keep]]
+        swap = _later(ka, kb)
         out = {"la": np.where(swap, kb, ka), "lb": np.where(swap, ka, kb)}
         return pd.DataFrame(out | {name: values[..., k][keep] for k, name in enumerate(names)})
 
-    return met.groupBy("bi", "bj").applyInPandas(run, schema)
+    return fold_blocks(rows, key, columns, edges, schema, block)
+
+
+def least_of(values: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(nearest b of each a, its value, nearest a of each b, its value) of one block; ties go to the first. A row isn't its own neighbour."""
+    v = np.round(values, TIES)
+    if same:
+        v = v.copy()
+        np.fill_diagonal(v, np.inf)
+    at, ta = v.argmin(1), v.argmin(0)
+    return at, v[np.arange(len(v)), at], ta, v[ta, np.arange(v.shape[1])]
+
+
+def nearest_in_blocks(rows: DataFrame, key: str, columns: list[str], compare: Callable[[dict, dict], np.ndarray], block: int = BLOCK) -> DataFrame:
+    """``(label, nn_label, d)``: each row's nearest other row. A block sends one candidate for each of its rows, no edges."""
+
+    def fold(ka: np.ndarray, kb: np.ndarray, a: dict, b: dict, same: bool) -> pd.DataFrame:
+        at, va, ta, vb = least_of(compare(a, b)[..., 0], same)
+        out = [pd.DataFrame({"label": ka, "other": kb[at], "d": va})]
+        if not same:
+            out.append(pd.DataFrame({"label": kb, "other": ka[ta], "d": vb}))
+        got = pd.concat(out)
+        return got[np.isfinite(got["d"])]
+
+    near = fold_blocks(rows, key, columns, fold, "label string, other string, d double", block)
+    return near.groupBy("label").agg(F.min(F.struct("d", "other")).alias("m")).select("label", F.col("m.other").alias("nn_label"), F.col("m.d").alias("d"))
+
+
+def moments_in_blocks(rows: DataFrame, key: str, columns: list[str], compare: Callable[[dict, dict], np.ndarray], other_work: bool = False, block: int = BLOCK) -> DataFrame:
+    """``(same, n, s, q)``: number, sum and sum of squares of all pairs within and across groups, from labels ``group/work``.
+
+    With ``other_work`` only pairs of different works count. A block sends two rows.
+    """
+
+    def fold(ka: np.ndarray, kb: np.ndarray, a: dict, b: dict, one: bool) -> pd.DataFrame:
+        v = compare(a, b)[..., 0]
+        keep = np.triu(np.ones_like(v, bool), 1) if one else np.ones_like(v, bool)
+        if other_work:
+            keep &= works(ka)[:, None] != works(kb)[None, :]
+        same = groups(ka)[:, None] == groups(kb)[None, :]
+        cells = [(flag, v[keep & (same == flag)]) for flag in (True, False)]
+        return pd.DataFrame([(flag, len(x), float(x.sum()), float((x * x).sum())) for flag, x in cells], columns=["same", "n", "s", "q"])
+
+    parts = fold_blocks(rows, key, columns, fold, "same boolean, n bigint, s double, q double", block)
+    return parts.groupBy("same").agg(*(F.sum(c).alias(c) for c in "nsq"))
+
+
+def groups(labels: np.ndarray) -> np.ndarray:
+    return np.array([x.split("/", 1)[0] for x in labels], object)
+
+
+def works(labels: np.ndarray) -> np.ndarray:
+    """The work in ``group/work__chunk001``, as :func:`quillmark.functions.text.work_of` has it."""
+    import re
+
+    return np.array([re.sub(r"__chunk[0-9]+$", "", re.sub("^[^/]*/", "", x)) for x in labels], object)
 
 
 def mean_absolute(a: dict, b: dict) -> np.ndarray:
@@ -59,6 +130,14 @@ def delta(vectors: DataFrame, key: str = "label") -> DataFrame:
     return block_pairs(vectors, key, ["v"], mean_absolute, ["d"])
 
 
+def delta_nearest(vectors: DataFrame, key: str = "label") -> DataFrame:
+    return nearest_in_blocks(vectors, key, ["v"], mean_absolute)
+
+
+def delta_moments(vectors: DataFrame, key: str = "label", other_work: bool = False) -> DataFrame:
+    return moments_in_blocks(vectors, key, ["v"], mean_absolute, other_work)
+
+
 def symmetric(edges: DataFrame, *values: str) -> DataFrame:
     """Both orientations, each pair once: ``(label, other, ...)``."""
     there = edges.select(F.col("la").alias("label"), F.col("lb").alias("other"), *values)

@@ -4,18 +4,17 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from quillmark.functions import text as T
 from quillmark.functions import words as W
-from quillmark.operators import metrics
-from quillmark.operators.fingerprint import DIMENSIONS
+from quillmark.operators import metrics, pairs
+from quillmark.operators.fingerprint import COLUMNS, DIMENSIONS, dimension_scores
 from quillmark.session import checkpoint
 
-#: Room for the place of a label: four million labels, of which all pairs could never be formed.
-PLACE_BITS = 22
-
 
 def _scaled(w: dict[str, float]) -> dict[str, float]:
     total = sum(w[d] for d in DIMENSIONS)
@@ -24,7 +23,7 @@ def _scaled(w: dict[str, float]) -> dict[str, float]:
     return {d: w[d] / total for d in DIMENSIONS}
 
 
-def variants(scheme: str = "all", draws: int = 20, seed: int = 20260817) -> list[tuple[str, dict[str, float]]]:
+def variants(scheme: str = "all", draws: int = 20, seed: int = 20260818) -> list[tuple[str, dict[str, float]]]:
     """Named weights: default, uniform, each dimension left out, each alone, random perturbations; or all of these."""
     families = {
         "default": lambda: [("default", dict(W.WEIGHTS))],
@@ -43,38 +42,84 @@ def table(spark: SparkSession, scheme: str = "all") -> DataFrame:
     return spark.createDataFrame([(v, d, float(w[d])) for v, w in variants(scheme) for d in DIMENSIONS], "variant string, dimension string, weight double")
 
 
-def sweep(scores: DataFrame, scheme: str = "all") -> DataFrame:
-    """``(variant, la, lb, sim)``: the eight scores of each pair are computed once and weighted by every variant."""
-    wide = table(scores.sparkSession, scheme).groupBy("variant").pivot("dimension", list(DIMENSIONS)).agg(F.first("weight")).select("variant", *(F.col(d).alias("w_" + d) for d in DIMENSIONS))
-    total = F.lit(0.0)
-    for d in DIMENSIONS:
-        total = total + F.col(d) * F.col("w_" + d)
-    return scores.crossJoin(F.broadcast(wide)).select("variant", "la", "lb", total.alias("sim"))
-
-
-def metrics_by_variant(swept: DataFrame, scores: DataFrame | None = None) -> DataFrame:
-    """Per variant: distances within and across groups, Cohen's d, accuracy of the nearest neighbour."""
-    g = metrics.with_groups(swept).withColumn("same", F.col("ga") == F.col("gb"))
-    s, c = F.when(F.col("same"), F.col("sim")), F.when(~F.col("same"), F.col("sim"))
-    one = g.groupBy("variant").agg(F.avg(1 - s).alias("within"), F.avg(1 - c).alias("between"), F.coalesce(F.stddev_samp(s), F.lit(0.0)).alias("ss"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias("sc"), F.count(s).alias("ns"), F.count(c).alias("nc"))
-    d = metrics.cohens_d(1 - F.col("within"), 1 - F.col("between"), F.col("ss"), F.col("sc"), F.col("ns"), F.col("nc"))
-    # The nearest neighbour as the least of one long per pair: the distance to 12 decimals, then the neighbour's place among the
-    # labels. Longs are hash-aggregated; a struct with a string would have to be sorted for every variant.
-    # the labels are those of the scores, which have a row per pair and not one per pair and variant
-    labels = (swept if scores is None else scores).select(F.explode(F.array("la", "lb")).alias("label")).distinct()
-    place = labels.select("label", (F.row_number().over(Window.orderBy("label")) - 1).cast("bigint").alias("at"))
-    place = checkpoint(place)
-    pa, pb = (place.select(F.col("label").alias("l" + x), F.col("at").alias("at_" + x)) for x in "ab")
-    far = F.greatest(F.round((1 - F.col("sim")) * 1e12).cast("bigint"), F.lit(0))
-    one_way = lambda me, other: F.struct(F.col(me).alias("me"), (F.shiftleft(far, PLACE_BITS) + F.col(other)).alias("k"))
-    keyed = swept.join(pa, "la").join(pb, "lb").select("variant", F.explode(F.array(one_way("at_a", "at_b"), one_way("at_b", "at_a"))).alias("x"))
-    near = keyed.groupBy("variant", F.col("x.me").alias("me")).agg(F.min("x.k").alias("k")).select("variant", "me", F.col("k").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("nn"))
-    group = place.select("at", F.substring_index("label", "/", 1).alias("g"))
-    own, theirs = group.select(F.col("at").alias("me"), F.col("g").alias("g1")), group.select(F.col("at").alias("nn"), F.col("g").alias("g2"))
-    hit = near.join(own, "me").join(theirs, "nn").groupBy("variant").agg(F.avg((F.col("g1") == F.col("g2")).cast("double")).alias("knn_accuracy"))
-    return one.withColumn("cohens_d", d).select("variant", "within", "between", "cohens_d").join(hit, "variant")
+#: Kinds of rows that a block sends.
+MOMENTS, NEAREST, WITHIN, ACROSS = 0, 1, 2, 3
+
+
+def sweep(feats: DataFrame, scheme: str = "all") -> DataFrame:
+    """What every weight variant needs of all pairs, folded in the block task: ``(kind, variant, label, other, n, s, q)``.
+
+    The eight scores of a pair are computed once and weighted by every variant. Sent are, for each variant, moments within and
+    across groups, each label's nearest, its sum of distances to other works of its group, and the pairs of one work in two groups.
+    """
+    named = variants(scheme)
+    weights = np.array([[w[d] for d in DIMENSIONS] for _, w in named])
+
+    def fold(ka: np.ndarray, kb: np.ndarray, a: dict, b: dict, one: bool) -> pd.DataFrame:
+        scores = dimension_scores(a, b)
+        pair = np.triu(np.ones(scores.shape[:2], bool), 1) if one else np.ones(scores.shape[:2], bool)
+        same = pairs.groups(ka)[:, None] == pairs.groups(kb)[None, :]
+        work = pairs.works(ka)[:, None] == pairs.works(kb)[None, :]
+        own, crossed = same & ~work, pair & work & ~same
+        i, j = np.nonzero(crossed)
+        out: list[pd.DataFrame] = []
+        put = lambda kind, v, label, other, n, s, q=0.0: out.append(pd.DataFrame({"kind": kind, "variant": v, "label": label, "other": other, "n": n, "s": s, "q": q}))
+        for (v, _), w in zip(named, weights):
+            sim = np.zeros(scores.shape[:2])
+            for k in range(len(DIMENSIONS)):
+                sim += scores[..., k] * w[k]
+            for flag in (True, False):
+                x = sim[pair & (same == flag)]
+                put(MOMENTS, v, [str(flag)], None, len(x), float(x.sum()), float((x * x).sum()))
+            d = 1.0 - sim
+            at, va, ta, vb = pairs.least_of(d, one)
+            put(NEAREST, v, ka, kb[at], 1, va)
+            put(WITHIN, v, ka, None, own.sum(1), (d * own).sum(1))
+            if not one:
+                put(NEAREST, v, kb, ka[ta], 1, vb)
+                put(WITHIN, v, kb, None, own.sum(0), (d * own).sum(0))
+            if len(i):
+                put(ACROSS, v, ka[i], kb[j], 1, d[i, j])
+        got = pd.concat(out)
+        return got[np.isfinite(got["s"]) & (got["n"] > 0)]
+
+    return pairs.fold_blocks(feats, "label", COLUMNS, fold, "kind int, variant string, label string, other string, n bigint, s double, q double")
+
+
+def metrics_by_variant(swept: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per variant: distances within and across groups, Cohen's d, how often two versions of a work lie closer than other works of
+    their group, accuracy of the nearest neighbour and share of the largest group."""
+    kind = lambda k: swept.filter(F.col("kind") == k)
+    group = lambda c: F.substring_index(c, "/", 1)
+    put = lambda c, flag: F.sum(F.when(F.col("label") == str(flag), F.col(c)).otherwise(0))
+    m = kind(MOMENTS).groupBy("variant").agg(*(put(c, flag).alias(f"{c}{int(flag)}") for c in "nsq" for flag in (True, False)))
+    mean = lambda k: F.col(f"s{k}") / F.greatest(F.col(f"n{k}"), F.lit(1))
+    sd = lambda k: F.when(F.col(f"n{k}") > 1, F.sqrt(F.greatest(F.lit(0.0), (F.col(f"q{k}") - F.col(f"s{k}") * F.col(f"s{k}") / F.col(f"n{k}")) / F.greatest(F.col(f"n{k}") - 1, F.lit(1))))).otherwise(0.0)
+    one = m.select("variant", (1 - mean(1)).alias("within"), (1 - mean(0)).alias("between"), metrics.cohens_d(mean(1), mean(0), sd(1), sd(0), F.col("n1"), F.col("n0")).alias("cohens_d"))
+    near = kind(NEAREST).groupBy("variant", "label").agg(F.min(F.struct("s", "other")).alias("m"))
+    hit = near.groupBy("variant").agg(F.avg((group("label") == group("m.other")).cast("double")).alias("knn_accuracy"))
+    within = kind(WITHIN).groupBy("variant", group("label").alias("g"), T.work_of("label").alias("work")).agg((F.sum("s") / F.sum("n")).alias("within"))
+    across = kind(ACROSS).select("variant", T.work_of("label").alias("work"), F.least(group("label"), group("other")).alias("g1"), F.greatest(group("label"), group("other")).alias("g2"), "s").groupBy("variant", "work", "g1", "g2").agg(F.avg("s").alias("cross"))
+    won = metrics.decided(across, within, "variant").groupBy("variant").agg(F.count(F.when(F.col("winner") == "original", 1)).alias("competition_wins"), F.count(F.lit(1)).alias("competition_pairs"))
+    by = labels.groupBy(group("label").alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    base = by.agg((F.max("n") / F.sum("n")).alias("knn_baseline"))
+    zero = F.lit(0).cast("bigint")
+    out = one.join(hit, "variant").join(won, "variant", "left").crossJoin(F.broadcast(base))  # one row
+    return out.select("variant", "within", "between", "cohens_d", F.coalesce("competition_wins", zero).alias("competition_wins"), F.coalesce("competition_pairs", zero).alias("competition_pairs"), "knn_accuracy", "knn_baseline")
+
+
+def over_scales(features: dict[str, DataFrame], scheme: str = "all") -> DataFrame:
+    """The metrics of every variant on every scale's features; two scales on the same features would give the same rows twice."""
+    if len({f.semanticHash() for f in features.values()}) < len(features):
+        raise ValueError("two scales have the same samples")
+    out = None
+    for scale, feats in features.items():
+        one = metrics_by_variant(checkpoint(sweep(feats, scheme)), feats.select("label")).select(F.lit(scale).alias("scale"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def summary(rows: DataFrame) -> DataFrame:
-    """The range of each measure over the variants."""
-    return rows.agg(*(f(c).alias(f"{n}_{c}") for c in ("cohens_d", "knn_accuracy") for n, f in (("min", F.min), ("max", F.max))), F.count(F.lit(1)).alias("variants"))
+    """The range of each measure over the variants of a scale."""
+    ranges = [f(c).alias(f"{n}_{c}") for c in ("cohens_d", "competition_wins", "knn_accuracy") for n, f in (("min", F.min), ("max", F.max))]
+    return rows.groupBy("scale").agg(*ranges, F.max("competition_pairs").alias("competition_pairs"), F.first("knn_baseline").alias("knn_baseline"), F.count(F.lit(1)).alias("variants"))

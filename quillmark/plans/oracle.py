@@ -200,13 +200,27 @@ def _side(x: str) -> str:
     return f"src_{x} AS (SELECT bitext_id AS key, coalesce(array_to_string(list_concat(coalesce(list_transform(pairs, lambda y: y.{x}), []), coalesce(unmatched_{x}, [])), chr(10)), '') AS text FROM (SELECT DISTINCT ON (bitext_id) * FROM alignments))"
 
 
-def _weights() -> list[str]:
+def _weights(source: str, *before: str) -> str:
+    """Rows of all variants on one set of samples, as a query by itself."""
     wide = "(VALUES " + ", ".join("('" + v + "', " + ", ".join(f"{w[d]!r}::DOUBLE" for d in DIMENSIONS) + ")" for v, w in _variants()) + ") t(variant, " + ", ".join("w_" + d for d in DIMENSIONS) + ")"
     total = " + ".join(f"{d} * w_{d}" for d in DIMENSIONS)
-    return [CORPUS, *scores(), f"sw AS (SELECT variant, la, lb, {_G('la')} = {_G('lb')} AS own, {total} AS sim FROM dims CROSS JOIN {wide})",
+    comp = competition().replace("GROUP BY ALL", "GROUP BY ALL")
+    for x in ("crs", "within", "comp"):
+        comp = comp.replace(f"{x} AS (SELECT ", f"{x} AS (SELECT variant, ")
+    comp = comp.replace("(SELECT ga, unnest", "(SELECT variant, ga, unnest").replace("SELECT variant, c.work", "SELECT c.variant, c.work").replace("ON a.g = g1", "ON a.variant = c.variant AND a.g = g1").replace("ON b.g = g2", "ON b.variant = c.variant AND b.g = g2")
+    return _with(*before, *scores(source), f"sw AS (SELECT variant, la, lb, {_G('la')} = {_G('lb')} AS own, {total} AS sim FROM dims CROSS JOIN {wide})",
+        grouped("(SELECT variant, la, lb, 1 - sim AS d FROM sw)"), comp, "wn AS (SELECT variant, count(*) FILTER (winner = 'original') AS competition_wins, count(*) AS competition_pairs FROM won GROUP BY variant)",
         "ef AS (SELECT variant, avg(1 - sim) FILTER (own) AS within, avg(1 - sim) FILTER (NOT own) AS between, stddev_samp(sim) FILTER (own) AS ss, stddev_samp(sim) FILTER (NOT own) AS sc, count(*) FILTER (own) AS ns, count(*) FILTER (NOT own) AS nc FROM sw GROUP BY variant)",
         f"nb AS (SELECT variant, label, arg_min(other, (d, other)) AS nn FROM (SELECT variant, la AS label, lb AS other, round(1 - sim, 12) AS d FROM sw UNION ALL SELECT variant, lb, la, round(1 - sim, 12) FROM sw) GROUP BY ALL), ac AS (SELECT variant, avg(({_G('label')} = {_G('nn')})::INT) AS knn_accuracy FROM nb GROUP BY variant)",
-        "ms AS (SELECT variant, within, between, CASE WHEN sqrt(((ns - 1) * ss * ss + (nc - 1) * sc * sc) / (ns + nc - 2)) < 1e-12 THEN 0 ELSE (between - within) / sqrt(((ns - 1) * ss * ss + (nc - 1) * sc * sc) / (ns + nc - 2)) END AS cohens_d, knn_accuracy FROM ef JOIN ac USING (variant))"]
+        f"kb AS (SELECT max(n) / sum(n) AS knn_baseline FROM (SELECT count(*) AS n FROM {source} GROUP BY {_G('label')}))",
+        "SELECT ef.variant, within, between, CASE WHEN sqrt(((ns - 1) * ss * ss + (nc - 1) * sc * sc) / (ns + nc - 2)) < 1e-12 THEN 0 ELSE (between - within) / sqrt(((ns - 1) * ss * ss + (nc - 1) * sc * sc) / (ns + nc - 2)) END AS cohens_d, coalesce(competition_wins, 0) AS competition_wins, coalesce(competition_pairs, 0) AS competition_pairs, knn_accuracy, knn_baseline FROM ef JOIN ac USING (variant) LEFT JOIN wn USING (variant) CROSS JOIN kb")
+
+
+def _scales() -> str:
+    return " UNION ALL ".join(f"SELECT '{scale}' AS scale, * FROM ({_weights('chunks', CORPUS, _chunks(size))})" for scale, size in (("1k", 100), ("2k", 200), ("4k", 400)))
+
+
+_SIX = "round(within, 6) AS within, round(between, 6) AS between, round(cohens_d, 6) AS cohens_d, competition_wins, competition_pairs, round(knn_accuracy, 6) AS knn_accuracy, round(knn_baseline, 6) AS knn_baseline"
 
 
 def _chunks(size: int) -> str:
@@ -249,8 +263,9 @@ def sql() -> dict[str, str]:
         "kwic_table": _with(DOCS, _KWIC, "SELECT key AS doc_id, position, repeat(' ', (SELECT max(length(\"left\")) FROM kw) - length(\"left\")) || \"left\" || '  [' || keyword || ']  ' || \"right\" AS line FROM kw"),
         "align_by_place": _with(_side("zh"), _side("en"), sentences("src_zh", "key", "sz"), sentences("src_en", "key", "se"), rf"""pr AS (SELECT z.key, z.pos, z.sentence AS zs, e.sentence AS es, {_bare('z.sentence')} / greatest(1, len(list_filter(regexp_split_to_array(e.sentence, '[\s\p{{Z}}]+'), lambda x: x <> ''))) AS ratio FROM sz z JOIN se e ON z.key = e.key AND z.pos = e.pos),
             pk AS (SELECT * FROM pr WHERE ratio > 0.3 AND ratio < 4.0), np AS (SELECT k.key, count(pk.pos) AS n FROM src_zh k LEFT JOIN pk ON pk.key = k.key GROUP BY k.key)""", "SELECT np.key AS bitext_id, n AS n_pairs, coalesce((SELECT string_agg(zs || '|' || es, chr(10) ORDER BY pos) FROM pk WHERE pk.key = np.key), '') AS pairs, greatest(0, (SELECT count(*) FROM sz WHERE sz.key = np.key) - n) AS left_zh, greatest(0, (SELECT count(*) FROM se WHERE se.key = np.key) - n) AS left_en FROM np"),
-        "weight_sensitivity": _with(*_weights(), "SELECT variant, round(within, 6) AS within, round(between, 6) AS between, round(cohens_d, 6) AS cohens_d, round(knn_accuracy, 6) AS knn_accuracy FROM ms"),
-        "weight_summary": _with(*_weights(), "SELECT round(min(cohens_d), 6) AS min_cohens_d, round(max(cohens_d), 6) AS max_cohens_d, round(min(knn_accuracy), 6) AS min_knn_accuracy, round(max(knn_accuracy), 6) AS max_knn_accuracy, count(*) AS variants FROM ms"),
+        "weight_sensitivity": f"SELECT scale, variant, {_SIX} FROM ({_scales()})",
+        "weight_sensitivity_works": f"SELECT variant, {_SIX} FROM ({_weights('corpus', CORPUS)})",
+        "weight_summary": f"SELECT scale, round(min(cohens_d), 6) AS min_cohens_d, round(max(cohens_d), 6) AS max_cohens_d, min(competition_wins) AS min_competition_wins, max(competition_wins) AS max_competition_wins, round(min(knn_accuracy), 6) AS min_knn_accuracy, round(max(knn_accuracy), 6) AS max_knn_accuracy, max(competition_pairs) AS competition_pairs, round(any_value(knn_baseline), 6) AS knn_baseline, count(*) AS variants FROM ({_scales()}) GROUP BY scale",
         "equal_chunk_metrics": _with(CORPUS, _chunks(100), delta_chain(source="chunks", p="_c"), "c AS (SELECT work, grp, count(*) AS n FROM chunks GROUP BY ALL), k AS (SELECT work, min(n) AS k FROM c GROUP BY work HAVING count(*) >= 2), kept AS (SELECT label FROM (SELECT c.*, k.k, row_number() OVER (PARTITION BY c.work, grp ORDER BY chunk_no, label) AS r FROM chunks c JOIN k ON k.work = c.work) WHERE r <= k), edges AS (SELECT * FROM edges_c WHERE la IN (FROM kept) AND lb IN (FROM kept))", grouped(), competition(), wins(), effect("d"), "SELECT win.*, round(mean_same, 6) AS mean_same, round(mean_cross, 6) AS mean_cross, n_same, n_cross, round(cohens_d, 6) AS cohens_d FROM win CROSS JOIN cohen"),
         "story_diffs": _with(CORPUS, _chunks(100), *scores("chunks"), SIMS, _STORY, "SELECT work, round(same, 6) AS same, round(crossed, 6) AS \"cross\", round(diff, 6) AS diff FROM sd"),
         "story_wilcoxon": _with(CORPUS, _chunks(100), *scores("chunks"), SIMS, _STORY, WILCOXON, "SELECT n, round(w_plus, 6) AS w_plus, round(w_minus, 6) AS w_minus, round(CASE WHEN n >= 3 THEN (least(w_plus, w_minus) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24) ELSE 0 END, 6) AS z, round(CASE WHEN w_plus + w_minus > 0 THEN (w_plus - w_minus) / (w_plus + w_minus) ELSE 0 END, 6) AS r FROM ws"),
@@ -271,7 +286,7 @@ def sql() -> dict[str, str]:
         "signal_wins": _with(*delta, competition(), wins(), "SELECT * FROM win"),
         "orphans": _with(CORPUS, "SELECT work FROM corpus GROUP BY work HAVING count(DISTINCT grp) < 2"),
         "delta_excl_same_story": _with(*delta, "h AS (SELECT * FROM g WHERE wa <> wb)", effect("d", "h"), _COHEN),
-        "mfw_sensitivity": _with(CORPUS, *(x for n in (50, 100, 200, 500) for x in (delta_chain(n, p=f"_{n}"), grouped(f"edges_{n}", f"_{n}"), competition(f"_{n}"), wins(f"_{n}"))), " UNION ALL ".join(f"SELECT *, {n}::BIGINT AS top_n FROM win_{n}" for n in (50, 100, 200, 500))),
+        "mfw_sensitivity": " UNION ALL ".join(f"SELECT '{scale}' AS scale, {n}::BIGINT AS top_n, * FROM ({_with(CORPUS, _chunks(size), delta_chain(n, source='chunks'), grouped(), competition(), wins(), 'SELECT * FROM win')})" for scale, size in (("1k", 100), ("2k", 200), ("4k", 400)) for n in (50, 100, 200, 500)),
         "feat_wordlen": _with(CORPUS, *base(), "SELECT label, bin - 1 AS bin, round(f, 6) AS f FROM wl"),
         "feat_sentlen": _with(CORPUS, *base(), "SELECT label, round(sent_mean, 6) AS sent_mean, round(sent_sd, 6) AS sent_sd FROM sm"),
         "feat_ttr_hapax": _with(CORPUS, *base(), "SELECT label, round(ttr, 6) AS ttr, round(hapax, 6) AS hapax FROM th"),

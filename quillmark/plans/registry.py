@@ -230,18 +230,30 @@ def _words(spark: SparkSession, sf: str, tokenize: Callable = T.tokens_plain) ->
     return frequencies.exploded(C.corpus(spark, sf), tokenize)
 
 
+def _counted(texts: DataFrame, tokenize: Callable = T.tokens_plain) -> DataFrame:
+    """Counts by label and word, made once: they feed the vocabulary, the shares and the scores."""
+    return checkpoint(frequencies.counted(frequencies.exploded(texts, tokenize)))
+
+
 def _freq(spark: SparkSession, sf: str, n: int = 100, tokenize: Callable = T.tokens_plain) -> DataFrame:
-    # tokenized once: the counts feed the vocabulary, the shares and the scores
-    words = checkpoint(_words(spark, sf, tokenize))
-    return frequencies.relative(words, frequencies.most_frequent(words, n))
+    counts = _counted(C.corpus(spark, sf), tokenize)
+    return frequencies.relative(counts, frequencies.most_frequent(counts, n))
 
 
 def _z(spark: SparkSession, sf: str, n: int = 100, tokenize: Callable = T.tokens_plain) -> DataFrame:
     return frequencies.z_scores(checkpoint(_freq(spark, sf, n, tokenize)))
 
 
+def _vectors(spark: SparkSession, sf: str, n: int = 100, tokenize: Callable = T.tokens_plain) -> DataFrame:
+    return frequencies.vectors(_z(spark, sf, n, tokenize))
+
+
+def _vectors_of(counts: DataFrame, n: int = 100) -> DataFrame:
+    return frequencies.vectors(frequencies.z_scores(checkpoint(frequencies.relative(counts, frequencies.most_frequent(counts, n)))))
+
+
 def _delta(spark: SparkSession, sf: str, n: int = 100, tokenize: Callable = T.tokens_plain) -> DataFrame:
-    return pairs.delta(frequencies.vectors(_z(spark, sf, n, tokenize)))
+    return pairs.delta(_vectors(spark, sf, n, tokenize))
 
 
 def _kept(spark: SparkSession, sf: str) -> DataFrame:
@@ -250,7 +262,7 @@ def _kept(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def mfw_top100(spark: SparkSession, sf: str) -> DataFrame:
-    return frequencies.most_frequent(_words(spark, sf))
+    return frequencies.most_frequent(frequencies.counted(_words(spark, sf)))
 
 
 @query
@@ -283,31 +295,35 @@ def delta_control(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def delta_groups_wide(spark: SparkSession, sf: str) -> DataFrame:
     """The square matrix between groups, as rows of a wide table turned to long form again."""
-    words = checkpoint(frequencies.exploded(C.groups(spark, sf)))
-    z = frequencies.z_scores(checkpoint(frequencies.relative(words, frequencies.most_frequent(words))))
-    wide = sinks.matrix_wide(checkpoint(pairs.delta(frequencies.vectors(z))))
+    # counted by group: the texts of a group are never joined
+    counts = checkpoint(frequencies.counted(frequencies.exploded(C.corpus(spark, sf), key="grp").withColumnRenamed("grp", "label")))
+    wide = sinks.matrix_wide(checkpoint(pairs.delta(_vectors_of(counts))))
     cells = [F.struct(F.lit(c).alias("lb"), F.col(f"`{c}`").alias("d")) for c in wide.columns[1:]]
     return rounded(wide.select("la", F.explode(F.array(*cells)).alias("c")).select("la", "c.lb", "c.d"))
 
 
 @query
 def delta_within_cross(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(metrics.within_across(_delta(spark, sf)))
+    return rounded(metrics.within_across_of_moments(pairs.delta_moments(_vectors(spark, sf))))
+
+
+def _predicted(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.predictions(pairs.delta_nearest(_vectors(spark, sf)))
 
 
 @query
 def nn_loo(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(metrics.predictions(_delta(spark, sf)))
+    return rounded(_predicted(spark, sf))
 
 
 @query
 def nn_accuracy(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(metrics.accuracy(metrics.predictions(_delta(spark, sf))))
+    return rounded(metrics.accuracy(_predicted(spark, sf)))
 
 
 @query
 def nn_structure(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(metrics.structure(metrics.predictions(_delta(spark, sf))))
+    return rounded(metrics.structure(_predicted(spark, sf)))
 
 
 @query
@@ -327,17 +343,18 @@ def orphans(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def delta_excl_same_story(spark: SparkSession, sf: str) -> DataFrame:
-    g = metrics.with_groups(_delta(spark, sf)).filter("wa <> wb").select("la", "lb", "d")
-    return rounded(metrics.group_effect(g, "d"))
+    return rounded(metrics.effect_of_moments(pairs.delta_moments(_vectors(spark, sf), other_work=True)).drop("sd_same", "sd_cross"))
 
 
 @query
 def mfw_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
-    """The competition for four numbers of words."""
+    """The competition for four numbers of words on three scales of chunks."""
     out = None
-    for n in (50, 100, 200, 500):
-        one = metrics.wins(metrics.competition(checkpoint(_delta(spark, sf, n)))).withColumn("top_n", F.lit(n))
-        out = one if out is None else out.unionByName(one)
+    for scale in C.SIZES:
+        counts = _counted(C.chunks(spark, sf, scale))
+        for n in (50, 100, 200, 500):
+            one = metrics.wins(metrics.competition(checkpoint(pairs.delta(_vectors_of(counts, n))))).select(F.lit(scale).alias("scale"), F.lit(n).alias("top_n"), "*")
+            out = one if out is None else out.unionByName(one)
     return rounded(out)
 
 
@@ -435,13 +452,12 @@ def _sims(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def fp_same_cross_d(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(metrics.group_effect(_sims(spark, sf), "sim").withColumn("effect", metrics.effect_label("cohens_d")))
+    return rounded(metrics.effect_of_moments(fingerprint.moments(_features(spark, sf))).drop("sd_same", "sd_cross").withColumn("effect", metrics.effect_label("cohens_d")))
 
 
 @query
 def d_excl_same_story(spark: SparkSession, sf: str) -> DataFrame:
-    g = metrics.with_groups(_sims(spark, sf)).filter("wa <> wb").select("la", "lb", "sim")
-    return rounded(metrics.group_effect(g, "sim"))
+    return rounded(metrics.effect_of_moments(fingerprint.moments(_features(spark, sf), other_work=True)).drop("sd_same", "sd_cross"))
 
 
 @query
@@ -486,10 +502,9 @@ def equal_chunk(spark: SparkSession, sf: str) -> DataFrame:
 def equal_chunk_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Competition and effect size on equal numbers of chunks."""
     c = C.chunks(spark, sf, "1k").select("label", "text")
-    words = checkpoint(frequencies.exploded(c))
-    z = frequencies.z_scores(checkpoint(frequencies.relative(words, frequencies.most_frequent(words))))
     kept = checkpoint(metrics.equal_chunks(c.select("label")))
-    edges = checkpoint(metrics.restricted(pairs.delta(frequencies.vectors(z)), kept))
+    # vectors are those of all chunks, edges only those between kept ones
+    edges = checkpoint(pairs.delta(_vectors_of(_counted(c)).join(kept.select("label"), "label", "left_semi")))
     return rounded(metrics.wins(metrics.competition(edges)).crossJoin(metrics.group_effect(edges, "d")))
 
 
@@ -515,15 +530,22 @@ def weight_variants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _by_variant(spark: SparkSession, sf: str) -> DataFrame:
-    scores = checkpoint(fingerprint.pair_scores(_features(spark, sf)))
-    return sensitivity.metrics_by_variant(sensitivity.sweep(scores), scores)
+    lists = lambda scale: checkpoint(fingerprint._lists(C.chunks(spark, sf, scale).select("label", "text"), "en"))
+    return sensitivity.over_scales({scale: checkpoint(fingerprint.features(lists(scale))) for scale in C.SIZES})
 
 
 @query
 def weight_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
+    """38 weight variants on three scales of chunks: 114 rows."""
     return rounded(_by_variant(spark, sf))
 
 
+@query
+def weight_sensitivity_works(spark: SparkSession, sf: str) -> DataFrame:
+    """The variants on whole works."""
+    return rounded(sensitivity.over_scales({"works": _features(spark, sf)}).drop("scale"))
+
+
 @query
 def weight_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(sensitivity.summary(_by_variant(spark, sf)))
