@@ -182,15 +182,19 @@ def likeness_column(a: Column, b: Column) -> Column:
     return F.when(top < 1e-12, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(a - b) / F.when(top < 1e-12, 1.0).otherwise(top)))
 
 
-def to_centroid(feats: DataFrame, centres: DataFrame, group: Column) -> DataFrame:
-    """Eight scores and the weighted total of each label against the centroid of its own group."""
-    c = centres.select("grp", *(F.col(x).alias("c_" + x) for x in COLUMNS))
-    j = feats.withColumn("grp", group).join(c, "grp")
+def against(joined: DataFrame) -> DataFrame:
+    """Add the eight scores of each row's features against those of a centroid in columns ``c_...``."""
     score = {k: cosine_column(F.col(k), F.col("c_" + k)) for k in ("word_length", *SIZES)}
     like = lambda x: likeness_column(F.col(x), F.col("c_" + x))
     score |= {"sentence_stats": (like("sent_mean") + like("sent_sd")) / 2, "ttr": like("ttr"), "hapax": like("hapax")}
-    out = j.select("label", "grp", *(score[d].alias(d) for d in DIMENSIONS))
-    return out.withColumn("total", weighted())
+    keep = [c for c in joined.columns if c not in COLUMNS and not c.startswith("c_")]
+    return joined.select(*keep, *(score[d].alias(d) for d in DIMENSIONS))
+
+
+def to_centroid(feats: DataFrame, centres: DataFrame, group: Column) -> DataFrame:
+    """Eight scores and the weighted total of each label against the centroid of its own group."""
+    c = centres.select("grp", *(F.col(x).alias("c_" + x) for x in COLUMNS))
+    return against(feats.withColumn("grp", group).join(c, "grp")).select("label", "grp", *DIMENSIONS).withColumn("total", weighted())
 
 
 def verdict(highest: Column, p: Column, d: Column) -> Column:

@@ -2,29 +2,34 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from quillmark.operators.metrics import cohens_d
+from quillmark.session import checkpoint
 
 
-def signed_ranks(diffs: DataFrame, value: str = "diff") -> DataFrame:
+def signed_ranks(diffs: DataFrame, value: str = "diff", by: tuple[str, ...] = ()) -> DataFrame:
     """Mean ranks of the absolute non-zero differences. The differences are one per work or label, few enough to sort."""
-    nz = diffs.filter(F.col(value) != 0).select(F.col(value).alias("d"), F.round(F.abs(value), 12).alias("a"))
-    w = Window.orderBy("a")
-    return nz.select("d", (F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy("a")) - 1) / 2).alias("rank"))
+    nz = diffs.filter(F.col(value) != 0).select(*by, F.col(value).alias("d"), F.round(F.abs(value), 12).alias("a"))
+    w = Window.partitionBy(*by).orderBy("a")
+    return nz.select(*by, "d", (F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(*by, "a")) - 1) / 2).alias("rank"))
 
 
-def wilcoxon(diffs: DataFrame, value: str = "diff") -> DataFrame:
-    """One row: W+ and W-, z by normal approximation without corrections, two-sided p (1 below three differences), r."""
-    r = signed_ranks(diffs, value)
+def wilcoxon(diffs: DataFrame, value: str = "diff", by: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each ``by``: W+ and W-, z by normal approximation without corrections, two-sided p (1 below three differences), r."""
+    r = signed_ranks(diffs, value, by)
     plus, minus = F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("rank"))), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("rank"))), F.lit(0.0))
-    one = r.agg(F.count(F.lit(1)).alias("n"), plus.alias("w_plus"), minus.alias("w_minus"))
+    one = r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), plus.alias("w_plus"), minus.alias("w_minus"))
     n = F.col("n")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24)
     z = F.when(n >= 3, (F.least("w_plus", "w_minus") - n * (n + 1) / 4) / F.when(n >= 3, sd).otherwise(1.0)).otherwise(0.0)
@@ -51,6 +56,12 @@ def permutation(own: list[float], others: list[float], n: int = 10_000, seed: in
     return (hits + 1) / (n + 1)
 
 
+@F.pandas_udf(DoubleType())
+def permuted(own: pd.Series, other: pd.Series) -> pd.Series:
+    """p of :func:`permutation` for two lists of values."""
+    return pd.Series([permutation(list(a), list(b)) for a, b in zip(own, other)])
+
+
 def _unit(seed: int, *parts: Column) -> Column:
     """A reproducible number in [0, 2^32) from md5, the same in any engine."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("bigint")
@@ -73,12 +84,63 @@ def pair_sums(edges: DataFrame, value: str) -> DataFrame:
     return edges.groupBy(F.least("wa", "wb").alias("s1"), F.greatest("wa", "wb").alias("s2"), (F.col("ga") == F.col("gb")).alias("same")).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
 
 
-def bootstrap_md5(edges: DataFrame, value: str, n: int, seed: int = 20260818) -> DataFrame:
-    """Cohen's d of ``n`` resamples of the works, drawn by md5; one row for each draw where it is defined."""
-    sums = pair_sums(edges, value)
-    works = edges.select(F.explode(F.array("wa", "wb")).alias("w")).distinct()
+#: Works whose sums by pair are held in each task as a matrix: six of WORKS squared numbers, 200 MB at most.
+WORKS = 2_000
+
+
+def bootstrap(edges: DataFrame, value: str, n: int = 10_000, seed: int = 20260818, exact: bool = False) -> DataFrame:
+    """``(draw, d)``: Cohen's d of ``n`` resamples of the works, for each draw where it is defined.
+
+    A work drawn c times counts c times in each of its pairs. Draws come from md5, so that any engine can repeat them, or with
+    ``exact`` from one seeded generator, one after the other. Up to ``WORKS`` works the sums by pair of works are a matrix in each task;
+    beyond that they are joined with the draws.
+    """
+    sums = checkpoint(pair_sums(edges, value))
+    names = sums.select(F.explode(F.array("s1", "s2")).alias("w")).distinct()
+    if names.count() > WORKS:
+        if exact:
+            raise ValueError(f"more than {WORKS} works have no exact draws")
+        return bootstrap_joined(sums, n, seed)
+    works = sorted((r["w"] for r in names.collect()), key=lambda x: x.encode())
+    at = {w: i for i, w in enumerate(works)}
+    t = sums.toArrow().to_pydict()
+    m = np.zeros((6, len(works), len(works)))
+    for a, b, same, *x in zip(t["s1"], t["s2"], t["same"], t["n"], t["s"], t["q"]):
+        for k in range(3):
+            m[3 * (not same) + k, at[a], at[b]] += x[k]
+    spark = edges.sparkSession
+    sent = spark.sparkContext.broadcast(m)
+
+    def one(ids: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
+        n1, s1, q1, n0, s0, q0 = (((counts @ x) * counts).sum(1) for x in sent.value)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            v1, v0 = (np.maximum(0.0, (q - s * s / k) / (k - 1)) for k, s, q in ((n1, s1, q1), (n0, s0, q0)))
+            pooled = np.sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2))
+            d = np.where(pooled < 1e-12, 0.0, (s1 / n1 - s0 / n0) / pooled)
+        keep = (n1 >= 2) & (n0 >= 2)
+        return pd.DataFrame({"draw": ids[keep], "d": d[keep]})
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rng, k = random.Random(seed), len(works)
+        for b in batches:
+            ids = b["id"].to_numpy()
+            for lo in range(0, len(ids), 500):
+                part = ids[lo : lo + 500]
+                counts = np.zeros((len(part), k))
+                for row, i in enumerate(part):
+                    picks = rng.choices(range(k), k=k) if exact else [int(hashlib.md5(f"{seed}|{i}|{slot}".encode()).hexdigest()[:8], 16) % k for slot in range(1, k + 1)]
+                    np.add.at(counts[row], picks, 1.0)
+                yield one(part, counts)
+
+    ids = spark.range(0, n, 1, 1 if exact else max(1, spark.sparkContext.defaultParallelism))
+    return ids.mapInPandas(draw, "draw bigint, d double")
+
+
+def bootstrap_joined(sums: DataFrame, n: int, seed: int) -> DataFrame:
+    """The draws by md5 as joins, for any number of works."""
+    works = sums.select(F.explode(F.array("s1", "s2")).alias("w")).distinct()
     listed = works.agg(F.array_sort(F.collect_set("w")).alias("all"))
-    draws = listed.crossJoin(edges.sparkSession.range(n).withColumnRenamed("id", "draw")).select("draw", "all", F.explode(F.sequence(F.lit(1), F.size("all"))).alias("slot"))
+    draws = listed.crossJoin(sums.sparkSession.range(n).withColumnRenamed("id", "draw")).select("draw", "all", F.explode(F.sequence(F.lit(1), F.size("all"))).alias("slot"))
     picked = draws.select("draw", F.element_at("all", (_unit(seed, F.col("draw"), F.col("slot")) % F.size("all")).cast("int") + 1).alias("w")).groupBy("draw", "w").agg(F.count(F.lit(1)).alias("c"))
     a, b = (picked.select("draw", F.col("w").alias(s), F.col("c").alias(c)) for s, c in (("s1", "c1"), ("s2", "c2")))
     weight = F.col("c1") * F.col("c2")

@@ -27,6 +27,8 @@ def _lang(x: str) -> str:
 
 _JOINED = "[A-Za-z]+(?:[-''][A-Za-z]+)*"
 DOCS = "docs AS (SELECT doc_id AS key, text FROM documents WHERE text IS NOT NULL)"
+SAMPLES = "samples AS (SELECT grp, work, grp || '/' || work AS label, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM documents WHERE text IS NOT NULL AND grp IS NOT NULL AND work IS NOT NULL GROUP BY grp, work)"
+CORPUS_ZH = SAMPLES + ", corpus AS (SELECT * FROM samples WHERE len(regexp_extract_all(text, '[一-鿿]')) >= 200)"
 CORPUS = "corpus AS (SELECT * FROM (SELECT grp, work, grp || '/' || work AS label, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM documents WHERE text IS NOT NULL AND grp IS NOT NULL AND work IS NOT NULL GROUP BY grp, work) WHERE len(regexp_extract_all(text, '[A-Za-z]+')) >= 200)"
 _ABBR, _TITLE = _in(W.ABBREVIATIONS), _in(W.TITLES)
 _LOW = r"(?:\p{Ll}|\p{Lt}|\p{Lm}|\p{Lo})"
@@ -135,37 +137,73 @@ def effect(value: str, source: str = "g") -> str:
 _COHEN = "SELECT round(mean_same, 6) AS mean_same, round(mean_cross, 6) AS mean_cross, n_same, n_cross, round(cohens_d, 6) AS cohens_d FROM cohen"
 
 # ---- fingerprints ----
-_MARKS = "[" + "".join("\\" + m if m in "()-.!?" else ("''" if m == "'" else m) for m in sorted(set(W.EN_MARKS))) + "]"
-WORDS3 = f"w3 AS (SELECT label, generate_subscripts(l, 1) AS pos, lower(unnest(l)) AS term FROM (SELECT label, regexp_extract_all(text, '{_JOINED}') AS l FROM {{source}}))"
-KINDS = {
-    "function_words": f"SELECT label, pos, term FROM w3 WHERE term IN {_in(W.EN_FUNCTION)}",
-    "char_ngrams": r"SELECT label, i AS pos, substring(c, i, 4) AS term FROM (SELECT label, c, unnest(range(1, length(c) - 2)) AS i FROM (SELECT label, lower(regexp_replace(text, '[^\p{L}]', '', 'g')) AS c FROM {source}))",
-    "word_bigrams": "SELECT label, pos, term || '|' || nxt AS term FROM (SELECT *, lead(term) OVER (PARTITION BY label ORDER BY pos) AS nxt FROM w3) WHERE nxt IS NOT NULL",
-    "punctuation": f"SELECT label, generate_subscripts(l, 1) AS pos, unnest(l) AS term FROM (SELECT label, regexp_extract_all(text, '{_MARKS}') AS l FROM {{source}})",
-}
+def _set(marks: str) -> str:
+    return "[" + "".join("\\" + m if m in "()-.!?[]" else ("''" if m == "'" else m) for m in sorted(set(marks))) + "]"
 
 
-def kind(k: str, source: str = "corpus") -> str:
+_HAN_T = r"[一-鿿]|[\p{L}\p{N}_]"
+_WORDS = {"en": _JOINED, "zh": _HAN_T}
+
+
+def words3(source: str = "corpus", lang: str = "en") -> str:
+    one = "lower(unnest(l))" if lang == "en" else "unnest(l)"
+    return f"w3 AS (SELECT label, generate_subscripts(l, 1) AS pos, {one} AS term FROM (SELECT label, regexp_extract_all(text, '{_WORDS[lang]}') AS l FROM {source}))"
+
+
+def _terms(k: str, source: str, lang: str) -> str:
+    if k == "function_words":
+        return f"SELECT label, pos, term FROM w3 WHERE term IN {_in(W.EN_FUNCTION if lang == 'en' else W.ZH_FUNCTION)}"
+    if k == "word_bigrams":
+        return "SELECT label, pos, term || '|' || nxt AS term FROM (SELECT *, lead(term) OVER (PARTITION BY label ORDER BY pos) AS nxt FROM w3) WHERE nxt IS NOT NULL"
+    if k == "punctuation":
+        return f"SELECT label, generate_subscripts(l, 1) AS pos, unnest(l) AS term FROM (SELECT label, regexp_extract_all(text, '{_set(W.EN_MARKS if lang == 'en' else W.ZH_MARKS)}') AS l FROM {source})"
+    clean = r"lower(regexp_replace(text, '[^\p{L}]', '', 'g'))" if lang == "en" else rf"regexp_replace(regexp_replace(text, '{_set(W.EN_MARKS + W.ZH_MARKS)}', '', 'g'), '[\x00-\x20]', '', 'g')"
+    return f"SELECT label, i AS pos, substring(c, i, 4) AS term FROM (SELECT label, c, unnest(range(1, length(c) - 2)) AS i FROM (SELECT label, {clean} AS c FROM {source}))"
+
+
+def kind(k: str, source: str = "corpus", lang: str = "en") -> str:
     """Terms of a kind, their vocabulary and shares."""
-    return f"""t_{k} AS ({KINDS[k].replace('{source}', source)}),
+    return f"""t_{k} AS ({_terms(k, source, lang)}),
     v_{k} AS (SELECT row_number() OVER (ORDER BY n DESC, first) AS idx, term, n FROM (SELECT term, count(*) AS n, min((label, pos)) AS first FROM t_{k} GROUP BY term) ORDER BY n DESC, first LIMIT {SIZES[k]}),
     c_{k} AS (SELECT label, term, count(*) AS n FROM t_{k} GROUP BY ALL),
     n_{k} AS (SELECT label, count(*) AS total FROM t_{k} GROUP BY ALL),
     f_{k} AS (SELECT s.label, v.idx, v.term, coalesce(c.n, 0) / greatest(coalesce(n.total, 0), 1) AS f FROM (SELECT DISTINCT label FROM {source}) s CROSS JOIN v_{k} v LEFT JOIN c_{k} c ON c.label = s.label AND c.term = v.term LEFT JOIN n_{k} n ON n.label = s.label)"""
 
 
-def base(source: str = "corpus") -> list[str]:
+def base(source: str = "corpus", lang: str = "en") -> list[str]:
     """Words, lengths, richness of each label."""
+    most = 10 if lang == "en" else 4
     return [
-        WORDS3.replace("{source}", source),
-        f"""wl AS (SELECT s.label, b AS bin, coalesce(count(w.term), 0) / greatest(any_value(t.n), 1) AS f FROM (SELECT DISTINCT label FROM {source}) s CROSS JOIN range(1, 11) r(b) LEFT JOIN (SELECT label, count(*) AS n FROM w3 GROUP BY label) t ON t.label = s.label LEFT JOIN w3 w ON w.label = s.label AND least(length(w.term), 10) = b GROUP BY s.label, b)""",
+        words3(source, lang),
+        f"""wl AS (SELECT s.label, b AS bin, coalesce(count(w.term), 0) / greatest(any_value(t.n), 1) AS f FROM (SELECT DISTINCT label FROM {source}) s CROSS JOIN range(1, {most + 1}) r(b) LEFT JOIN (SELECT label, count(*) AS n FROM w3 GROUP BY label) t ON t.label = s.label LEFT JOIN w3 w ON w.label = s.label AND least(length(w.term), {most}) = b GROUP BY s.label, b)""",
         sentences(source, "label", "ss"),
-        f"sl AS (SELECT label, len(regexp_extract_all(sentence, '{_JOINED}')) AS n FROM ss)",
+        f"sl AS (SELECT label, len(regexp_extract_all(sentence, '{_WORDS[lang]}')) AS n FROM ss)",
         f"sm AS (SELECT s.label, coalesce(avg(n), 0.0) AS sent_mean, coalesce(stddev_samp(n), 0.0) AS sent_sd FROM (SELECT DISTINCT label FROM {source}) s LEFT JOIN sl ON sl.label = s.label AND n > 0 GROUP BY s.label)",
         f"th AS (SELECT s.label, coalesce(count(n) / sum(n), 0.0) AS ttr, coalesce(count(*) FILTER (n = 1) / sum(n), 0.0) AS hapax FROM (SELECT DISTINCT label FROM {source}) s LEFT JOIN (SELECT label, term, count(*) AS n FROM w3 GROUP BY ALL) c ON c.label = s.label GROUP BY s.label)",
     ]
 
 
+def segments(source: str, lang: str) -> str:
+    """(label, segment_no, text): whole sentences gathered until they weigh 1,000, folded in order."""
+    weight = rf"3 * len(list_filter(regexp_split_to_array(sentence, '[\s\p{{Z}}]+'), lambda x: x <> ''))" if lang == "en" else _bare("sentence")
+    return rf"""{sentences(source, 'label', 'sg')},
+    fold AS (SELECT label, list_reduce(list({{'done': []::VARCHAR[], 'open': sentence, 'w': ({weight})::BIGINT}} ORDER BY pos), lambda a, x: CASE WHEN a.w + x.w >= 1000
+        THEN {{'done': list_append(a.done, a.open || x.open), 'open': '', 'w': 0::BIGINT}} ELSE {{'done': a.done, 'open': a.open || x.open, 'w': a.w + x.w}} END, {{'done': []::VARCHAR[], 'open': '', 'w': 0::BIGINT}}) AS s FROM sg GROUP BY label),
+    cut AS (SELECT label, CASE WHEN s.open = '' THEN s.done WHEN len(s.done) > 0 AND {_bare('s.open')} < 333 THEN list_append(s.done[:len(s.done) - 1], s.done[len(s.done)] || s.open) ELSE list_append(s.done, s.open) END AS l FROM fold),
+    segs AS (SELECT label, generate_subscripts(l, 1) - 1 AS segment_no, unnest(l) AS text FROM cut)"""
+
+
+def own_centroid() -> list[str]:
+    """Means by group, and each label's eight scores against its own group's."""
+    g = _G("label")
+    out = [f"cm AS (SELECT {g} AS grp, count(*) AS members, avg(sent_mean) AS sent_mean, avg(sent_sd) AS sent_sd, avg(ttr) AS ttr, avg(hapax) AS hapax FROM sm JOIN th USING (label) GROUP BY ALL)"]
+    for k, rows, at in (("word_length", "wl", "bin"), *((k, f"f_{k}", "idx") for k in SIZES)):
+        out.append(f"m_{k} AS (SELECT {g} AS grp, {at} AS at, avg(f) AS f FROM {rows} GROUP BY ALL), k_{k} AS (SELECT a.label, CASE WHEN sum(a.f * a.f) > 0 AND sum(b.f * b.f) > 0 THEN sum(a.f * b.f) / (sqrt(sum(a.f * a.f)) * sqrt(sum(b.f * b.f))) ELSE 0.0 END AS {k} FROM {rows} a JOIN m_{k} b ON b.grp = {_G('a.label')} AND b.at = a.{at} GROUP BY a.label)")
+    out.append(f"own AS (SELECT s.label, c.grp, ({_like('s.sent_mean', 'c.sent_mean')} + {_like('s.sent_sd', 'c.sent_sd')}) / 2 AS sentence_stats, {_like('t.ttr', 'c.ttr')} AS ttr, {_like('t.hapax', 'c.hapax')} AS hapax FROM sm s JOIN th t ON t.label = s.label JOIN cm c ON c.grp = {_G('s.label')})")
+    out.append("scored AS (SELECT * FROM own JOIN k_word_length USING (label) " + " ".join(f"JOIN k_{k} USING (label)" for k in SIZES) + ")")
+    return out
+
+
 def _cos(name: str, rows: str, at: str) -> str:
     return f"""nm_{name} AS (SELECT label, sqrt(sum(f * f)) AS norm FROM {rows} GROUP BY label),
     cs_{name} AS (SELECT a.label AS la, b.label AS lb, CASE WHEN any_value(na.norm) * any_value(nb.norm) > 0 THEN sum(a.f * b.f) / (any_value(na.norm) * any_value(nb.norm)) ELSE 0.0 END AS {name} FROM {rows} a JOIN {rows} b ON a.{at} = b.{at} AND a.label < b.label JOIN nm_{name} na ON na.label = a.label JOIN nm_{name} nb ON nb.label = b.label GROUP BY ALL)"""
@@ -287,9 +325,6 @@ def sql() -> dict[str, str]:
         "orphans": _with(CORPUS, "SELECT work FROM corpus GROUP BY work HAVING count(DISTINCT grp) < 2"),
         "delta_excl_same_story": _with(*delta, "h AS (SELECT * FROM g WHERE wa <> wb)", effect("d", "h"), _COHEN),
         "mfw_sensitivity": " UNION ALL ".join(f"SELECT '{scale}' AS scale, {n}::BIGINT AS top_n, * FROM ({_with(CORPUS, _chunks(size), delta_chain(n, source='chunks'), grouped(), competition(), wins(), 'SELECT * FROM win')})" for scale, size in (("1k", 100), ("2k", 200), ("4k", 400)) for n in (50, 100, 200, 500)),
-        "feat_wordlen": _with(CORPUS, *base(), "SELECT label, bin - 1 AS bin, round(f, 6) AS f FROM wl"),
-        "feat_sentlen": _with(CORPUS, *base(), "SELECT label, round(sent_mean, 6) AS sent_mean, round(sent_sd, 6) AS sent_sd FROM sm"),
-        "feat_ttr_hapax": _with(CORPUS, *base(), "SELECT label, round(ttr, 6) AS ttr, round(hapax, 6) AS hapax FROM th"),
         "fp_dim_scores": _with(CORPUS, *scores(), "SELECT la, lb, " + ", ".join(f"round({d}, 6) AS {d}" for d in DIMENSIONS) + " FROM dims"),
         "fp_pairs": _with(CORPUS, *scores(), SIMS, "SELECT la, lb, round(sim, 6) AS sim FROM sims"),
         "fp_same_cross_d": _with(CORPUS, *scores(), SIMS, grouped("sims"), effect("sim"), "SELECT round(mean_same, 6) AS mean_same, round(mean_cross, 6) AS mean_cross, n_same, n_cross, round(cohens_d, 6) AS cohens_d, CASE WHEN abs(cohens_d) >= 0.8 THEN 'large' WHEN abs(cohens_d) >= 0.5 THEN 'medium' WHEN abs(cohens_d) >= 0.2 THEN 'small' ELSE 'negligible' END AS effect FROM cohen"),
@@ -300,16 +335,30 @@ def sql() -> dict[str, str]:
         "weight_variants": "SELECT variant, dimension, round(weight, 6) AS weight FROM (VALUES " + ", ".join(f"('{v}', '{d}', {w[d]!r}::DOUBLE)" for v, w in _variants() for d in DIMENSIONS) + ") t(variant, dimension, weight)",
         "permutation_md5": _with(*delta, f"sdd AS (SELECT label AS id, length(label) % 2 = 0 AS own, round(avg(d) FILTER ({_G('label')} = {_G('other')}) - avg(d) FILTER ({_G('label')} <> {_G('other')}), 6) AS x FROM (SELECT la AS label, lb AS other, d FROM edges UNION ALL SELECT lb, la, d FROM edges) GROUP BY label)",
             "v AS (SELECT * FROM sdd WHERE x IS NOT NULL), k AS (SELECT count(*) FILTER (own) AS k, avg(x) FILTER (own) - avg(x) FILTER (NOT own) AS seen FROM v)",
-            "o AS (SELECT draw, x, row_number() OVER (PARTITION BY draw ORDER BY ('0x' || substring(md5('42|' || draw || '|' || id), 1, 8))::BIGINT, id) AS nr FROM v CROSS JOIN range(0, 200) r(draw))",
+            "o AS (SELECT draw, x, row_number() OVER (PARTITION BY draw ORDER BY ('0x' || substring(md5('42|' || draw || '|' || id), 1, 8))::BIGINT, id) AS nr FROM v CROSS JOIN range(0, 10000) r(draw))",
             "e AS (SELECT draw, avg(x) FILTER (nr <= k) - avg(x) FILTER (nr > k) AS d, any_value(seen) AS seen FROM o CROSS JOIN k GROUP BY draw)", "SELECT count(*) FILTER (round(d, 12) >= round(seen, 12)) AS hits, count(*) AS draws, (count(*) FILTER (round(d, 12) >= round(seen, 12)) + 1) / (count(*) + 1) AS p_value FROM e"),
         "bootstrap_md5": _with(*delta, "ps AS (SELECT least(wa, wb) AS s1, greatest(wa, wb) AS s2, ga = gb AS same, count(*) AS n, sum(d) AS s, sum(d * d) AS q FROM g GROUP BY ALL)",
-            "ws AS (SELECT list_sort(list_distinct(list_concat(list(wa), list(wb)))) AS al FROM g)", "pk AS (SELECT draw, al[(('0x' || substring(md5('20260818|' || draw || '|' || slot), 1, 8))::BIGINT % len(al)) + 1] AS w FROM (SELECT draw, al, unnest(range(1, len(al) + 1)) AS slot FROM ws CROSS JOIN range(0, 200) r(draw)))",
+            "ws AS (SELECT list_sort(list_distinct(list_concat(list(wa), list(wb)))) AS al FROM g)", "pk AS (SELECT draw, al[(('0x' || substring(md5('20260818|' || draw || '|' || slot), 1, 8))::BIGINT % len(al)) + 1] AS w FROM (SELECT draw, al, unnest(range(1, len(al) + 1)) AS slot FROM ws CROSS JOIN range(0, 10000) r(draw)))",
             "pc AS (SELECT draw, w, count(*) AS c FROM pk GROUP BY ALL)", "tt AS (SELECT a.draw, " + ", ".join(f"sum(a.c * b.c * {c}) FILTER ({'' if s else 'NOT '}same) AS {c}{s}" for c in "nsq" for s in (1, 0)) + " FROM ps JOIN pc a ON a.w = s1 JOIN pc b ON b.w = s2 AND b.draw = a.draw GROUP BY a.draw)",
             "dd AS (SELECT *, greatest(0, (q1 - s1 * s1 / n1) / (n1 - 1)) AS v1, greatest(0, (q0 - s0 * s0 / n0) / (n0 - 1)) AS v0 FROM tt WHERE n1 >= 2 AND n0 >= 2), de AS (SELECT (s1 / n1 - s0 / n0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)) AS d FROM dd)", "SELECT count(*) AS valid, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high FROM de"),
     }
-    for k, short in (("function_words", "func"), ("char_ngrams", "char4"), ("word_bigrams", "bigram"), ("punctuation", "punct")):
-        q[f"vocab_{short}"] = _with(CORPUS, WORDS3.replace("{source}", "corpus"), kind(k), f"SELECT idx, term, n FROM v_{k}")
-        q[f"feat_{short}"] = _with(CORPUS, WORDS3.replace("{source}", "corpus"), kind(k), f"SELECT label, term, round(f, 6) AS f FROM f_{k}")
+    for lang, tail, corpus in (("en", "", CORPUS), ("zh", "_zh", CORPUS_ZH)):
+        for k, short in (("function_words", "func"), ("char_ngrams", "char4"), ("word_bigrams", "bigram"), ("punctuation", "punct")):
+            q[f"vocab_{short}{tail}"] = _with(corpus, words3("corpus", lang), kind(k, "corpus", lang), f"SELECT idx, term, n FROM v_{k}")
+            q[f"feat_{short}{tail}"] = _with(corpus, words3("corpus", lang), kind(k, "corpus", lang), f"SELECT label, term, round(f, 6) AS f FROM f_{k}")
+        q[f"feat_wordlen{tail}"] = _with(corpus, *base("corpus", lang), "SELECT label, bin - 1 AS bin, round(f, 6) AS f FROM wl")
+        q[f"feat_sentlen{tail}"] = _with(corpus, *base("corpus", lang), "SELECT label, round(sent_mean, 6) AS sent_mean, round(sent_sd, 6) AS sent_sd FROM sm")
+        q[f"feat_ttr_hapax{tail}"] = _with(corpus, *base("corpus", lang), "SELECT label, round(ttr, 6) AS ttr, round(hapax, 6) AS hapax FROM th")
+        q[f"segment_text{tail}"] = _with(corpus, segments("corpus", lang), f"SELECT label, segment_no, text, {_bare('text')} AS n_chars FROM segs")
+    q["author_validation"] = _with(SAMPLES, f"sl AS (SELECT grp, label, text, {_lang('text')} AS lang, {_bare('text')} AS n FROM samples)",
+        "rk AS (SELECT *, row_number() OVER (PARTITION BY grp, lang ORDER BY n DESC, label) AS r FROM sl WHERE lang <> 'mixed')",
+        "nx AS (SELECT grp, lang, unnest(['C1', 'C2', 'C3']) AS role, unnest([lead(text, 1) OVER w, lead(text, 2) OVER w, lead(text, 3) OVER w]) AS text FROM rk WHERE r = 1 WINDOW w AS (PARTITION BY lang ORDER BY grp))",
+        "cs AS (SELECT grp || '|' || lang AS \"case\", CASE r WHEN 1 THEN 'A' ELSE 'B' END AS role, text FROM rk WHERE r <= 2 UNION ALL SELECT grp || '|' || lang, role, text FROM nx WHERE text IS NOT NULL)",
+        f"cl AS (SELECT *, {_lang('text')} AS l, {_bare('text')} AS n FROM cs), one AS (SELECT \"case\", coalesce(max(n) FILTER (role = 'A'), 0) AS na, count(*) FILTER (role = 'B' AND n > 0) AS nb, count(*) FILTER (role LIKE 'C%' AND n > 0) AS nc, max(l) FILTER (role = 'A') AS lang, list_sort(list_distinct(list(l) FILTER (n > 0))) AS ls FROM cl GROUP BY \"case\")",
+        "SELECT \"case\", lang, CASE WHEN na < 3000 THEN 'the questioned text has ' || na || ' characters, 3000 are needed' WHEN nb = 0 THEN 'the known author has no text' WHEN nc = 0 THEN 'no control author' WHEN lang = 'mixed' THEN 'mixed languages can''t be analysed' WHEN len(list_filter(ls, lambda x: x <> lang AND x <> 'mixed')) > 0 THEN 'texts in different languages: ' || array_to_string(list_filter(ls, lambda x: x <> 'mixed'), ', ') END AS error FROM one")
+    every = [CORPUS, *base(), *(kind(k) for k in SIZES), *own_centroid()]
+    q["centroids"] = _with(*every, "SELECT grp, members, round(sent_mean, 6) AS sent_mean, round(ttr, 6) AS ttr, round(hapax, 6) AS hapax, round(w.f, 6) AS three_letters, round(v.f, 6) AS first_function_word FROM cm JOIN m_word_length w USING (grp) JOIN m_function_words v USING (grp) WHERE w.at = 3 AND v.at = 1")
+    q["feature_scores"] = _with(*every, "SELECT label, grp, " + ", ".join(f"round({d}, 6) AS {d}" for d in DIMENSIONS) + f", round({_TOTAL}, 6) AS total FROM scored")
     return q
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
-from quillmark.operators import clustering, documents, fingerprint, frequencies, inference, metrics, pairs, sensitivity
+from quillmark.operators import authorship, clustering, documents, fingerprint, frequencies, inference, metrics, pairs, sensitivity
 from quillmark.plans import corpus as C
 from quillmark.plans import oracle
 from quillmark.session import checkpoint, table
@@ -121,6 +121,11 @@ def segment_text(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(documents.segments(C.corpus(spark, sf), "en").select("label", "segment_no", "text", "n_chars"))
 
 
+@query
+def segment_text_zh(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(documents.segments(C.corpus(spark, sf, "zh"), "zh").select("label", "segment_no", "text", "n_chars"))
+
+
 @query
 def work_stems(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "segments").select("label").distinct()
@@ -379,48 +384,40 @@ def linkage_merges(spark: SparkSession, sf: str) -> DataFrame:
 # ---- fingerprints ----------------------------------------------------------------------------------------------------
 
 
-def _lists(spark: SparkSession, sf: str) -> DataFrame:
-    return checkpoint(fingerprint._lists(C.corpus(spark, sf), "en"))
+def _lists(spark: SparkSession, sf: str, lang: str = "en") -> DataFrame:
+    return checkpoint(fingerprint._lists(C.corpus(spark, sf, lang), lang))
 
 
 def _features(spark: SparkSession, sf: str) -> DataFrame:
     return checkpoint(fingerprint.features(_lists(spark, sf)))
 
 
-def _vocabulary(kind: str) -> Query:
+def _vocabulary(kind: str, lang: str) -> Query:
     def f(spark: SparkSession, sf: str) -> DataFrame:
-        return rounded(fingerprint.vocabulary(_lists(spark, sf), kind))
+        return rounded(fingerprint.vocabulary(_lists(spark, sf, lang), kind))
 
     return f
 
 
-def _shares(kind: str) -> Query:
+def _shares(kind: str, lang: str) -> Query:
     def f(spark: SparkSession, sf: str) -> DataFrame:
-        lists = _lists(spark, sf)
+        lists = _lists(spark, sf, lang)
         return rounded(fingerprint.shares(lists, kind, fingerprint.vocabulary(lists, kind)).select("label", "term", "f"))
 
     return f
 
 
-for _kind, _short in (("function_words", "func"), ("char_ngrams", "char4"), ("word_bigrams", "bigram"), ("punctuation", "punct")):
-    QUERIES[f"vocab_{_short}"] = _vocabulary(_kind)
-    QUERIES[f"feat_{_short}"] = _shares(_kind)
+def _of_lists(make: Callable[[DataFrame, str], DataFrame], lang: str) -> Query:
+    return lambda spark, sf: rounded(make(_lists(spark, sf, lang), lang))
 
 
-@query
-def feat_wordlen(spark: SparkSession, sf: str) -> DataFrame:
-    v = _lists(spark, sf).select("label", F.posexplode(fingerprint.word_lengths("en")).alias("bin", "f"))
-    return rounded(v)
-
-
-@query
-def feat_sentlen(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(fingerprint.sentence_stats(_lists(spark, sf)))
-
-
-@query
-def feat_ttr_hapax(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(fingerprint.richness(_lists(spark, sf)))
+for _lang, _tail in (("en", ""), ("zh", "_zh")):
+    for _kind, _short in (("function_words", "func"), ("char_ngrams", "char4"), ("word_bigrams", "bigram"), ("punctuation", "punct")):
+        QUERIES[f"vocab_{_short}{_tail}"] = _vocabulary(_kind, _lang)
+        QUERIES[f"feat_{_short}{_tail}"] = _shares(_kind, _lang)
+    QUERIES[f"feat_wordlen{_tail}"] = _of_lists(lambda x, lang: x.select("label", F.posexplode(fingerprint.word_lengths(lang)).alias("bin", "f")), _lang)
+    QUERIES[f"feat_sentlen{_tail}"] = _of_lists(lambda x, lang: fingerprint.sentence_stats(x), _lang)
+    QUERIES[f"feat_ttr_hapax{_tail}"] = _of_lists(lambda x, lang: fingerprint.richness(x), _lang)
 
 
 @query
@@ -508,22 +505,44 @@ def equal_chunk_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(metrics.wins(metrics.competition(edges)).crossJoin(metrics.group_effect(edges, "d")))
 
 
+#: Draws of the resampling tests.
+DRAWS = 10_000
+
+
+def _halves(spark: SparkSession, sf: str) -> DataFrame:
+    d = checkpoint(metrics.sample_differences(checkpoint(_delta(spark, sf)), "d"))
+    return d.select(F.col("label").alias("id"), (F.pmod(F.length("label"), F.lit(2)) == 0).alias("own"), F.round("diff", DIGITS).alias("x"))
+
+
 @query
 def permutation_md5(spark: SparkSession, sf: str) -> DataFrame:
-    """Do differences of large samples lie above those of small ones? 200 draws by md5."""
-    d = checkpoint(metrics.sample_differences(checkpoint(_delta(spark, sf)), "d"))
-    v = d.select(F.col("label").alias("id"), (F.pmod(F.length("label"), F.lit(2)) == 0).alias("own"), F.round("diff", DIGITS).alias("x"))
-    return inference.permutation_md5(v, 200)
+    """Do differences of samples with labels of even length lie above those of the others? 10,000 draws by md5."""
+    return inference.permutation_md5(checkpoint(_halves(spark, sf)), DRAWS)
 
 
 @query
-def bootstrap_md5(spark: SparkSession, sf: str) -> DataFrame:
-    """95 % interval of Cohen's d from 200 resamples of the works."""
-    e = checkpoint(metrics.with_groups(_delta(spark, sf)))
-    draws = inference.bootstrap_md5(e, "d", 200)
+def permutation_seeded(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the shuffles of one seeded generator, one after the other in one task."""
+    side = lambda flag: F.transform(F.array_sort(F.collect_list(F.when(F.col("own") == flag, F.struct("id", "x")))), lambda v: v["x"])
+    one = _halves(spark, sf).agg(side(True).alias("own"), side(False).alias("other"))
+    return rounded(one.select(inference.permuted("own", "other").alias("p_value")))
+
+
+def _interval(draws: DataFrame) -> DataFrame:
     return rounded(draws.agg(F.count(F.lit(1)).alias("valid"), F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high")))
 
 
+@query
+def bootstrap_md5(spark: SparkSession, sf: str) -> DataFrame:
+    """95 % interval of Cohen's d from 10,000 resamples of the works."""
+    return _interval(inference.bootstrap(metrics.with_groups(_delta(spark, sf)), "d", DRAWS))
+
+
+@query
+def bootstrap_seeded(spark: SparkSession, sf: str) -> DataFrame:
+    return _interval(inference.bootstrap(metrics.with_groups(_delta(spark, sf)), "d", DRAWS, exact=True))
+
+
 @query
 def weight_variants(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(sensitivity.table(spark))
@@ -551,16 +570,24 @@ def weight_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(sensitivity.summary(_by_variant(spark, sf)))
 
 
+def _authors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return authorship.analysed(checkpoint(authorship.as_cases(C.samples(spark, sf))))
+
+
+@query
+def two_author(spark: SparkSession, sf: str) -> DataFrame:
+    """For each group and language: does its longest sample resemble its second longest more than those of three other groups?"""
+    return rounded(_authors(spark, sf)[0])
+
+
+@query
+def author_similarities(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_authors(spark, sf)[1])
+
+
 @query
-def fingerprint_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    """For each group: how much more its samples resemble one another than the others, with tests and a verdict."""
-    sims = pairs.symmetric(_sims(spark, sf), "sim").select(F.substring_index("label", "/", 1).alias("grp"), (F.substring_index("label", "/", 1) == F.substring_index("other", "/", 1)).alias("own"), "label", "sim")
-    s, c = F.when(F.col("own"), F.col("sim")), F.when(~F.col("own"), F.col("sim"))
-    one = sims.groupBy("grp").agg(F.avg(s).alias("own_sim"), F.avg(c).alias("other_sim"), F.coalesce(F.stddev_pop(s), F.lit(0.0)).alias("so"), F.coalesce(F.stddev_pop(c), F.lit(0.0)).alias("sc"), F.count(s).alias("n_own"), F.count(c).alias("n_other")).filter("n_own > 0 and n_other > 0")
-    d = metrics.cohens_d(F.col("own_sim"), F.col("other_sim"), F.col("so"), F.col("sc"), F.col("n_own"), F.col("n_other"))
-    z = (F.col("own_sim") - F.col("other_sim")) / F.sqrt(F.greatest(F.lit(1e-12), F.col("so") * F.col("so") / F.col("n_own") + F.col("sc") * F.col("sc") / F.col("n_other")))
-    scored = one.withColumn("d", d).withColumn("p", inference.p_two_sided(z))
-    return rounded(scored.select("grp", "own_sim", "other_sim", "d", fingerprint.verdict(F.col("own_sim") >= F.col("other_sim"), F.col("p"), F.col("d")).alias("verdict")))
+def author_validation(spark: SparkSession, sf: str) -> DataFrame:
+    return authorship.validated(authorship.as_cases(C.samples(spark, sf)))
 
 
 ORACLE = {k: v for k, v in oracle.sql().items() if k in QUERIES}

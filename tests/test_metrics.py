@@ -14,7 +14,7 @@ def corpus(spark, texts):
 
 
 def test_frequencies(spark):
-    w = frequencies.exploded(corpus(spark, {"a": "the cat the dog the bird", "b": "the dog dog dog fish"}))
+    w = frequencies.counted(frequencies.exploded(corpus(spark, {"a": "the cat the dog the bird", "b": "the dog dog dog fish"})))
     top = frequencies.most_frequent(w, 3)
     assert [r["word"] for r in top.collect()] == ["dog", "the", "bird"]
     f = {(r["label"], r["word"]): r["f"] for r in frequencies.relative(w, top).collect()}
@@ -22,7 +22,7 @@ def test_frequencies(spark):
 
 
 def test_constant_words_drop(spark):
-    w = frequencies.exploded(corpus(spark, {"a": "flat flat cat dog bird fish", "b": "flat flat dog dog bird fish"}))
+    w = frequencies.counted(frequencies.exploded(corpus(spark, {"a": "flat flat cat dog bird fish", "b": "flat flat dog dog bird fish"})))
     f = frequencies.relative(w, frequencies.most_frequent(w, 10))
     assert {r["word"] for r in frequencies.constant_words(f).collect()} == {"flat", "bird", "fish"}
     assert {r["word"] for r in frequencies.z_scores(f).collect()} == {"cat", "dog"}
@@ -37,13 +37,26 @@ def test_delta_against_loop(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+def test_folds_against_edges(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"g{i % 3}/w{i // 3}", [float(x) for x in rng.integers(0, 3, size=4)]) for i in range(20)]
+    df = spark.createDataFrame(rows, "label string, v array<double>")
+    e = pairs.block_pairs(df, "label", ["v"], pairs.mean_absolute, ["d"], block=6)
+    near = {(r["label"], r["nn_label"], round(r["d"], 9)) for r in pairs.nearest_in_blocks(df, "label", ["v"], pairs.mean_absolute, block=6).collect()}
+    assert near == {(r["label"], r["nn_label"], round(r["d"], 9)) for r in metrics.nearest(e).collect()}
+    for other in (False, True):
+        a = metrics.effect_of_moments(pairs.moments_in_blocks(df, "label", ["v"], pairs.mean_absolute, other, block=6)).first()
+        b = metrics.group_effect(metrics.with_groups(e).filter("wa <> wb or not " + str(other).lower()).select("la", "lb", "d"), "d").first()
+        assert all(a[c] == pytest.approx(b[c]) for c in ("mean_same", "mean_cross", "n_same", "n_cross", "cohens_d"))
+
+
 def edges(spark, d):
     return spark.createDataFrame([(a, b, x) for (a, b), x in d.items()], "la string, lb string, d double")
 
 
 def test_neighbours_and_ties(spark):
     e = edges(spark, {("A/w1", "A/w2"): 0.1, ("B/w1", "B/w2"): 0.1, **{(a, b): 0.9 for a in ("A/w1", "A/w2") for b in ("B/w1", "B/w2")}})
-    acc = metrics.accuracy(metrics.predictions(e)).collect()
+    acc = metrics.accuracy(metrics.predictions(metrics.nearest(e))).collect()
     assert {(r["true_group"], r["hits"], r["total"]) for r in acc} == {("A", 2, 2), ("B", 2, 2)} and acc[0]["accuracy"] == 1 and acc[0]["baseline"] == 0.5
     same = edges(spark, {("a/x", "b/x"): 0.5, ("a/x", "c/x"): 0.5, ("b/x", "c/x"): 0.5})
     assert {r["label"]: r["nn_label"] for r in metrics.nearest(same).collect()} == {"a/x": "b/x", "b/x": "a/x", "c/x": "a/x"}
