@@ -99,6 +99,9 @@ def delta_chain(n: int = 100, pattern: str = "[A-Za-z]+", source: str = "corpus"
     edges{p} AS (SELECT a.label AS la, b.label AS lb, avg(abs(a.z - b.z)) AS d FROM z{p} a JOIN z{p} b ON a.word = b.word AND a.label < b.label GROUP BY ALL)"""
 
 
+_RTF = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace('{\rtf1\ansi ' || regexp_replace(text, '\r\n|\r|\n', '\\par ', 'g') || '}', '\\[a-zA-Z]+[0-9]*', '', 'g'), '[\\{}]', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' {2,}', ' ', 'g')"
+#: Every sample with one more word in a fixed share, so that one feature is the same everywhere.
+_ALIKE = "(SELECT label, text || repeat(' zzalike', len(regexp_extract_all(text, '[A-Za-z]+'))::INT) AS text FROM corpus)"
 _G = lambda x: f"split_part({x}, '/', 1)"
 _WORK = lambda x: rf"regexp_replace(regexp_replace({x}, '^[^/]*/', ''), '__chunk\d+$', '')"
 
@@ -308,11 +311,20 @@ def sql() -> dict[str, str]:
         "story_diffs": _with(CORPUS, _chunks(100), *scores("chunks"), SIMS, _STORY, "SELECT work, round(same, 6) AS same, round(crossed, 6) AS \"cross\", round(diff, 6) AS diff FROM sd"),
         "story_wilcoxon": _with(CORPUS, _chunks(100), *scores("chunks"), SIMS, _STORY, WILCOXON, "SELECT n, round(w_plus, 6) AS w_plus, round(w_minus, 6) AS w_minus, round(CASE WHEN n >= 3 THEN (least(w_plus, w_minus) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24) ELSE 0 END, 6) AS z, round(CASE WHEN w_plus + w_minus > 0 THEN (w_plus - w_minus) / (w_plus + w_minus) ELSE 0 END, 6) AS r FROM ws"),
         "history_latest": "SELECT id, lang, sentiment_label, round(sentiment_score, 6) AS sentiment_score FROM (SELECT DISTINCT ON (id) * FROM history) ORDER BY ts DESC, id DESC LIMIT 200",
-        "rtf_text": f"SELECT doc_id, {_strip('regexp_replace(regexp_replace(text, chr(13) || chr(10) || chr(124) || chr(10) || chr(124) || chr(13), chr(10), chr(103)), chr(91) || chr(123) || chr(125) || chr(93), chr(32)[:0], chr(103))')} AS plain FROM documents WHERE text IS NOT NULL",
+        "rtf_text": f"SELECT doc_id, {_strip(_RTF)} AS plain FROM documents WHERE text IS NOT NULL",
+        "html_text": rf"""SELECT doc_id, {_strip("regexp_replace(regexp_replace(" + _strip("text") + " || ' ', '\n{3,}', chr(10) || chr(10), 'g'), ' {2,}', ' ', 'g')")} AS plain FROM documents WHERE text IS NOT NULL""",
         "mfw_top100": _with(CORPUS, delta_chain(), "SELECT word, n FROM mfw"),
         "rel_freq": _with(CORPUS, delta_chain(), "SELECT label, word, round(f, 6) AS f FROM freq"),
         "zscore": _with(CORPUS, delta_chain(), "SELECT label, word, round(z, 6) AS z FROM z"),
-        "dropped_features": _with(CORPUS, delta_chain(500), "SELECT word FROM freq GROUP BY word HAVING max(f) = min(f)"),
+        "dropped_features": _with(CORPUS, delta_chain(500, source=_ALIKE), "SELECT word FROM freq GROUP BY word HAVING max(f) = min(f)"),
+        "figure_top_terms": _with(DOCS, TOKENS, TERMS, "SELECT term, sum(n)::BIGINT AS n FROM terms GROUP BY term ORDER BY n DESC, term LIMIT 20"),
+        "figure_word_cloud": _with(DOCS, TOKENS, TERMS, "SELECT term, sum(n)::BIGINT AS n FROM terms GROUP BY term ORDER BY n DESC, term LIMIT 120"),
+        "figure_kinds": _with(DOCS, TOKENS, "k AS (SELECT kind AS pos, count(*) AS n FROM toks GROUP BY ALL ORDER BY n DESC, pos LIMIT 8)", "SELECT pos, n, round(n / sum(n) OVER (), 6) AS share FROM k"),
+        "figure_moods": _with(DOCS, sentences("docs"), f"s AS (SELECT key, pos, {_score(W.ZH_POSITIVE, W.ZH_NEGATIVE, W.EN_POSITIVE, W.EN_NEGATIVE)} AS score FROM (SELECT key, pos, {_lang('sentence')} AS lang, {_ANY_T('sentence')} AS l FROM sents))", "SELECT key AS doc_id, pos + 1 AS no, round(score, 6) AS score, CASE WHEN score > 0.15 THEN 'green' WHEN score < -0.15 THEN 'red' ELSE 'grey' END AS colour FROM s"),
+        "syntax": _with(DOCS, TOKENS, TERMS, f"b AS (SELECT key, {_lang('text')} AS lang, {_score(W.ZH_POSITIVE, W.ZH_NEGATIVE, W.EN_POSITIVE, W.EN_NEGATIVE, 'l', _lang('text'))} AS score, len(l) AS tokens FROM (SELECT key, text, {_ANY_T('text')} AS l FROM docs))", f"SELECT key AS doc_id, lang, 0::BIGINT AS entities, 0::BIGINT AS dependencies, (SELECT arg_min(term, (-n, first)) FROM terms t WHERE t.key = b.key) AS first_keyword, {_MOOD} AS mood, tokens FROM b"),
+        "language_names": f"SELECT doc_id, CASE l WHEN 'zh' THEN 'Chinese' WHEN 'en' THEN 'English' ELSE 'Chinese and English' END AS language FROM (SELECT doc_id, {_lang('text')} AS l FROM documents WHERE text IS NOT NULL)",
+        "unmarked_text": r"SELECT doc_id, regexp_replace(text, '\x00\[\d+\]\x00', '', 'g') AS text FROM documents WHERE text IS NOT NULL",
+        "basic_summaries": _with(DOCS, sentences("docs"), TOKENS, f"b AS (SELECT key, {_lang('text')} AS l, length(text) AS c, {_bare('text')} AS d, (SELECT count(*) FROM toks t WHERE t.key = docs.key) AS t, (SELECT count(*) FROM sents s WHERE s.key = docs.key) AS s FROM docs)", "SELECT key AS doc_id, 'language: ' || CASE l WHEN 'zh' THEN 'Chinese' WHEN 'en' THEN 'English' ELSE 'Chinese and English' END || chr(10) || 'characters: ' || c || ' (without blanks ' || d || ')' || chr(10) || 'tokens: ' || t || chr(10) || 'sentences: ' || s || chr(10) || 'tokens a sentence: ' || CASE WHEN s > 0 THEN printf('%.1f', t / s) ELSE '0' END AS summary FROM b"),
         "delta_pairs": _with(CORPUS, delta_chain(), "SELECT la, lb, round(d, 6) AS d FROM edges"),
         "delta_control": _with(CORPUS, delta_chain(100, "[A-Za-z'']+"), "SELECT la, lb, round(d, 6) AS d FROM edges"),
         "delta_groups_wide": _with(CORPUS, "groups AS (SELECT grp AS label, string_agg(text, chr(10) ORDER BY label) AS text FROM corpus GROUP BY grp)", delta_chain(source="groups"), "SELECT la, lb, round(d, 6) AS d FROM edges UNION ALL SELECT lb, la, round(d, 6) FROM edges UNION ALL SELECT label, label, 0.0::DOUBLE FROM groups"),

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
-from quillmark.operators import authorship, clustering, documents, fingerprint, frequencies, inference, metrics, pairs, sensitivity
+from quillmark.operators import authorship, clustering, documents, fingerprint, frequencies, inference, metrics, models, pairs, sensitivity
 from quillmark.plans import corpus as C
 from quillmark.plans import oracle
 from quillmark.session import checkpoint, table
-from quillmark.sources import files, sinks
+from quillmark.sources import files, results, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -222,6 +222,58 @@ def html_text(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", read(page).alias("plain"))
 
 
+# ---- what figures and summaries show -----------------------------------------------------------------------------------
+
+
+@query
+def figure_top_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return results.figure_data("top_terms", documents.term_counts(_analysed(spark, sf)).select("term", "n"))
+
+
+@query
+def figure_word_cloud(spark: SparkSession, sf: str) -> DataFrame:
+    return results.figure_data("word_cloud", documents.term_counts(_analysed(spark, sf)).select("term", "n"))
+
+
+@query
+def figure_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(results.figure_data("kinds", documents.pos_counts(_analysed(spark, sf))))
+
+
+@query
+def figure_moods(spark: SparkSession, sf: str) -> DataFrame:
+    return _doc(results.figure_data("moods", documents.sentiment_by_sentence(_analysed(spark, sf))))
+
+
+@query
+def figure_similarities(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(results.figure_data("similarities", _authors(spark, sf)[1]))
+
+
+@query
+def language_names(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).filter("text is not null").select("doc_id", results.language_name(T.language("text")).alias("language"))
+
+
+@query
+def unmarked_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts without hidden sentence numbers, which are put before every other line here first."""
+    d = _docs(spark, sf).filter("text is not null")
+    return d.select("doc_id", results.unmarked(F.concat(F.lit("\x00[1]\x00"), F.replace("text", F.lit("\n"), F.lit("\n\x00[27]\x00")))).alias("text"))
+
+
+@query
+def basic_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    return documents.basic(_analysed(spark, sf)).select(F.col("key").alias("doc_id"), results.basic_summary().alias("summary"))
+
+
+@query
+def syntax(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities, keywords, dependencies and sentiment of each text by the fallbacks: no model is installed."""
+    s = models.syntax(_docs(spark, sf))
+    return rounded(s.select(F.col("key").alias("doc_id"), "lang", F.size("ner").alias("entities"), F.size("dependencies").alias("dependencies"), F.try_element_at("keywords", F.lit(1))["term"].alias("first_keyword"), F.col("sentiment.label").alias("mood"), F.size("pos_tags").alias("tokens")))
+
+
 @query
 def history_latest(spark: SparkSession, sf: str) -> DataFrame:
     h = table(spark, sf, "history").dropDuplicates(["id"])
@@ -282,8 +334,10 @@ def zscore(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def dropped_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Of the 500 most frequent words those that every sample uses alike."""
-    return frequencies.constant_words(_freq(spark, sf, 500))
+    """Of the 500 most frequent words those that every sample uses alike; each sample gets as many copies of one more word as it has words."""
+    alike = C.corpus(spark, sf).select("label", F.concat("text", F.repeat(F.lit(" zzalike"), F.regexp_count("text", F.lit(T.WORD)))).alias("text"))
+    counts = _counted(alike)
+    return frequencies.constant_words(frequencies.relative(counts, frequencies.most_frequent(counts, 500)))
 
 
 @query

@@ -5,7 +5,8 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Callable
+import warnings
+from collections.abc import Callable, Iterable
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -16,8 +17,9 @@ from pyspark.sql import types as T
 
 from quillmark.functions import text as X
 
-#: Files beyond this many bytes are an error row; encodings in the order in which they are tried.
+#: Files beyond this many bytes are an error row.
 LARGEST = 10 * 1024 * 1024
+# The order in which encodings are tried.
 ENCODINGS = ("utf-8", "gbk", "gb2312", "gb18030", "utf-16", "big5", "latin-1")
 HISTORY = T.StructType([T.StructField(n, T.DoubleType() if n == "sentiment_score" else T.StringType()) for n in ("id", "timestamp", "input_text", "lang", "basic_summary", "tokens_preview", "freq_preview", "ner_preview", "keywords_preview", "sentiment_label", "sentiment_score")])
 
@@ -41,8 +43,9 @@ class _Page(HTMLParser):
     """Text of a page. What lies in a skipped element is lost up to the end tag of one that can end it; ``meta`` and ``link``
     start such a stretch too, though they have no end tag."""
 
+    # Elements without text, those of them that an end tag closes, and those that end a line.
     SKIP, ENDS = {"script", "style", "noscript", "meta", "link"}, {"script", "style", "noscript"}
-    BREAK = {"p", "br", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr"}
+    BREAK = {"p", "br", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "section", "article", "header", "footer"}
 
     def __init__(self) -> None:
         super().__init__()
@@ -59,13 +62,14 @@ class _Page(HTMLParser):
             self.out.append("\n")
 
     def handle_data(self, data: str) -> None:
-        if not self.hidden:
-            self.out.append(data)
+        if not self.hidden and data.strip():
+            self.out.append(data.strip() + " ")
 
 
 def page(data: bytes | str) -> str:
     p = _Page()
     p.feed(plain(data) if isinstance(data, bytes) else data)
+    p.close()
     return re.sub(r" {2,}", " ", re.sub(r"\n{3,}", "\n\n", "".join(p.out))).strip()
 
 
@@ -80,28 +84,36 @@ def word_document(data: bytes) -> str:
     return "\n".join(x for x in parts if x.strip())
 
 
+#: What goes from RTF, in this order, and what stands in its place. Line ends of the source stay, those that control words stand for don't.
+RICH = ((r"\\[a-zA-Z]+[0-9]*", ""), (r"[\\{}]", ""), (r"\n{3,}", "\n\n"), (r" {2,}", " "))
+
+
 def rich_text(col: Column | str) -> Column:
-    """RTF to text: groups and control words go, the rest stays; one chain of replacements in the JVM."""
-    t = F.regexp_replace(col, r"\\par[d]?\b ?", "\n")
-    for pattern in (r"\\'[0-9a-fA-F]{2}", r"\\[a-zA-Z]+-?\d* ?", r"[{}]", r"\\"):
-        t = F.regexp_replace(t, pattern, "")
+    """RTF to text: control words and braces go, the rest stays; one chain of replacements in the JVM."""
+    t = F.col(col) if isinstance(col, str) else col
+    for pattern, put in RICH:
+        t = F.regexp_replace(t, pattern, put)
     return X.strip(t)
 
 
 def _rich(data: bytes) -> str:
-    t = re.sub(r"\\pard?\b ?", "\n", data.decode("latin-1"))
-    for pattern in (r"\\'[0-9a-fA-F]{2}", r"\\[a-zA-Z]+-?\d* ?", r"[{}]", r"\\"):
-        t = re.sub(pattern, "", t)
+    t = data.decode("latin-1").replace("\r\n", "\n").replace("\r", "\n")
+    for pattern, put in RICH:
+        t = re.sub(pattern, put, t)
     return t.strip()
 
 
 def _pdf(data: bytes) -> str:
-    """Pages joined by blank lines, where a PDF library is installed."""
+    """Pages that have text, joined by blank lines, where a PDF library is installed."""
     try:
         from PyPDF2 import PdfReader
     except ImportError as e:
         raise ValueError("reading PDF needs PyPDF2") from e
-    return "\n\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages)
+    return pages(p.extract_text() for p in PdfReader(io.BytesIO(data)).pages)
+
+
+def pages(texts: Iterable[str | None]) -> str:
+    return "\n\n".join(t for t in texts if t)
 
 
 #: Reader by lower-case extension; add to it for further kinds.
@@ -136,20 +148,30 @@ def read_files(spark: SparkSession, path: str, recursive: bool = False, glob: st
     return out.select("path", F.col("r.text").alias("text"), F.when(F.col("r.error").isNull(), "ok").otherwise("error").alias("status"), F.coalesce("r.error", F.lit("")).alias("error"), label.alias("label"))
 
 
+def _texts(spark: SparkSession, path: str) -> DataFrame:
+    """``(p, text)`` of the UTF-8 text files in a folder, whole and with every line end as one character."""
+    t = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    return t.select(F.col("path").alias("p"), F.regexp_replace(F.decode("content", "UTF-8"), r"\r\n?", "\n").alias("text"))
+
+
 def flat_corpus(spark: SparkSession, path: str) -> DataFrame:
     """``(label, text)`` of the text files in a folder."""
-    t = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path).select(F.input_file_name().alias("p"), F.regexp_replace("value", r"\r\n?", "\n").alias("text"))
-    stem = F.url_decode(F.regexp_extract("p", r"([^/]+)\.txt$", 1))
-    return t.select(stem.alias("label"), "text")
+    return _texts(spark, path).select(F.regexp_extract("p", r"([^/]+)\.txt$", 1).alias("label"), "text")
 
 
 def grouped_corpus(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     """``(grp, work, label, text)`` from folders of text files; at least two groups with at least two texts each."""
-    t = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path.rstrip("/") + "/*/").select(F.input_file_name().alias("p"), F.regexp_replace("value", r"\r\n?", "\n").alias("text"))
-    part = lambda k: F.url_decode(F.regexp_extract("p", r"([^/]+)/([^/]+)\.txt$", k))
-    c = t.select(part(1).alias("grp"), part(2).alias("stem"), "text")
+    t = _texts(spark, path.rstrip("/") + "/*/")
+    part = lambda k: F.regexp_extract("p", r"([^/]+)/([^/]+)\.txt$", k)
+    # texts beside the group folders are not theirs
+    steps = lambda x: [y for y in re.sub("^[A-Za-z0-9]+:", "", x).split("/") if y]
+    deep = F.size(F.filter(F.split(F.regexp_replace("p", "^[A-Za-z0-9]+:", ""), "/"), lambda y: y != ""))
+    c = t.filter(deep == len(steps(path)) + 2).select(part(1).alias("grp"), part(2).alias("stem"), "text")
     out = c.select("grp", F.regexp_replace("stem", r"__chunk\d+$", "").alias("work"), F.concat_ws("/", "grp", "stem").alias("label"), "text")
     if check:
+        stray = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path").limit(20).collect()
+        if stray:
+            warnings.warn(f"texts outside groups are left out: {', '.join(r['path'].rsplit('/', 1)[-1] for r in stray)}", stacklevel=2)
         s = out.groupBy("grp").count().agg(F.count(F.lit(1)).alias("groups"), F.min("count").alias("least")).first()
         if s["groups"] < 2 or s["least"] < 2:
             raise ValueError(f"{s['groups']} groups, the smallest with {s['least']} texts: two of two are needed")
@@ -163,6 +185,10 @@ def matrix_csv(spark: SparkSession, path: str) -> DataFrame:
     if not labels:
         raise ValueError("no columns")
     quoted = [F.col(f"`{c}`") for c in labels]
+    # the table must be square and full; it has as many rows as columns, few enough to look at
+    rows = [r[0] for r in wide.select(F.when(sum((c.cast("double").isNull().cast("int") for c in quoted), F.lit(0)) == 0, F.col(f"`{first}`"))).collect()]
+    if sorted(map(str, rows)) != sorted(labels):
+        raise ValueError("the matrix isn't square and full")
     cells = F.explode(F.arrays_zip(F.array(*map(F.lit, labels)).alias("lb"), F.array(*[c.cast("double") for c in quoted]).alias("d")))
     long = wide.select(F.col(f"`{first}`").alias("la"), cells.alias("c")).select("la", "c.lb", "c.d")
     return long.filter("la < lb")

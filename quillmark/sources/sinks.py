@@ -1,4 +1,4 @@
-"""Results as files: matrices, tables, reports, slices, histories."""
+"""Results as files: matrices, tables, slices, histories."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import shutil
 import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -152,23 +152,3 @@ def export(rows: DataFrame, path: str, kind: str) -> None:
         d.save(path)
     else:
         raise ValueError(f"unknown kind {kind}")
-
-
-def report(stats: dict, lang: str = "en") -> str:
-    """A short Markdown report of an experiment; the numbers don't depend on the language."""
-    names = {"en": ("Experiment", "Measure", "Value", "The groups differ."), "zh": ("实验报告", "指标", "数值", "各组有差异。")}[lang if lang in ("en", "zh") else "en"]
-    lines = [f"# {names[0]}", "", f"| {names[1]} | {names[2]} |", "| --- | --- |", *(f"| {k} | {v:.6f} |" if isinstance(v, float) else f"| {k} | {v} |" for k, v in stats.items())]
-    if stats.get("significant"):
-        lines += ["", names[3]]
-    return "\n".join(lines) + "\n"
-
-
-def append_section(path: str, title: str, rows: DataFrame) -> None:
-    """Append a table to a report; what is there stays as it is."""
-    body = [f"\n## {title}\n", "| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns), *("| " + " | ".join(f"{x:.6f}" if isinstance(x, float) else str(x) for x in r) + " |" for r in rows.toLocalIterator())]
-    with open(path, "a", encoding="utf-8") as f:
-        f.write("\n".join(body) + "\n")
-
-
-def significant(p_w: Column, p_perm: Column, same: Column, cross: Column) -> Column:
-    return (F.greatest(p_w, p_perm) < 0.05) & (same > cross)

@@ -80,6 +80,6 @@ def test_files(spark, tmp_path):
     (tmp_path / "c.xyz").write_text("?")
     (tmp_path / "d.rtf").write_text(r"{\rtf1\ansi Hello\par World}")
     r = {x["path"].rsplit("/", 1)[-1]: x for x in files.read_files(spark, str(tmp_path)).collect()}
-    assert r["a.txt"]["text"] == "你好" and r["b.html"]["text"] == "Hi & ho\nthere" and r["c.xyz"]["status"] == "error"
+    assert r["a.txt"]["text"] == "你好" and r["b.html"]["text"] == "Hi & ho \nthere" and r["c.xyz"]["status"] == "error"
     assert "Hello" in r["d.rtf"]["text"] and "\\" not in r["d.rtf"]["text"]
     assert files.page("<meta charset=x><title>Lost</title><noscript></noscript>kept") == "kept"
