@@ -16,6 +16,13 @@ def analysed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return t.withColumn("lang", T.language("text")).withColumn("tokens", T.tokens("text", F.col("lang"))).withColumn("sentences", T.sentences("text"))
 
 
+def counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """:func:`basic` without building tokens: only mixed texts, whose runs follow rules of their own, are taken apart."""
+    t = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), T.language(text).alias("lang"))
+    n = F.when(F.col("lang") == "en", F.regexp_count("text", F.lit(T.WORD_JOINED))).when(F.col("lang") == "zh", F.regexp_count("text", F.lit(rf"{T.HAN}|[\p{{L}}\p{{N}}_]"))).otherwise(F.size(T.tokens_mixed("text")))
+    return t.select("key", "lang", F.length("text").cast("bigint").alias("n_chars"), T.nonspace_length("text").cast("bigint").alias("n_chars_no_space"), n.cast("bigint").alias("n_tokens"), F.size(T.sentences("text")).cast("bigint").alias("n_sentences"))
+
+
 def basic(a: DataFrame) -> DataFrame:
     return a.select("key", "lang", F.length("text").cast("bigint").alias("n_chars"), F.length(F.regexp_replace("text", r"[\s\p{Z}\x1c-\x1f\x85]+", "")).cast("bigint").alias("n_chars_no_space"), F.size("tokens").cast("bigint").alias("n_tokens"), F.size("sentences").cast("bigint").alias("n_sentences"))
 
@@ -26,14 +33,28 @@ def meaningful(a: DataFrame) -> DataFrame:
     return t.select("key", "pos", F.coalesce(F.nullif("t.lemma", F.lit("")), F.col("t.text")).alias("term"))
 
 
+def term_lists(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, term, n, first)`` of each text, where terms are cut out without the other fields of a token.
+
+    ``first`` orders terms by where they occur first.
+    """
+    t = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), T.language(text).alias("lang"))
+    en = F.filter(F.transform(T._all("text", T.WORD_JOINED), F.lower), lambda x: ~x.isin(W.EN_STOP))
+    zh = F.filter(T._all("text", rf"{T.HAN}|[\p{{L}}\p{{N}}_]"), lambda x: ~(x.rlike(T.HAN) & x.isin(W.ZH_STOP)))
+    kept = F.filter(T.tokens_mixed("text"), lambda x: ~T.is_mark(x["text"]) & ~x["is_stop"])
+    mixed = F.transform(kept, lambda x: F.coalesce(F.nullif(x["lemma"], F.lit("")), x["text"]))
+    terms = t.select("key", F.posexplode(F.when(F.col("lang") == "en", en).when(F.col("lang") == "zh", zh).otherwise(mixed)).alias("pos", "term"))
+    return terms.groupBy("key", "term").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
+
+
 def term_counts(a: DataFrame) -> DataFrame:
     return meaningful(a).groupBy("key", "term").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
 
 
-def keywords(a: DataFrame, k: int = 15) -> DataFrame:
-    """The k most frequent terms of each document, ties by first occurrence."""
+def keywords(counts: DataFrame, k: int = 15) -> DataFrame:
+    """The k most frequent terms of each document, ties by first occurrence, from its :func:`term_lists` or :func:`term_counts`."""
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "first"))
-    return term_counts(a).withColumn("rank", rank).filter(F.col("rank") <= k).select("key", "rank", "term", "n")
+    return counts.withColumn("rank", rank).filter(F.col("rank") <= k).select("key", "rank", "term", "n")
 
 
 def pos_counts(a: DataFrame) -> DataFrame:
@@ -125,11 +146,10 @@ def align_by_place(texts: DataFrame, key: str, zh: str, en: str) -> DataFrame:
 
 def batch(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: counts and the five most frequent terms, or an error where there is no text."""
-    a = analysed(docs, key, text)
-    terms = term_counts(a)
+    terms = term_lists(docs, key, text)
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "first"))
     top = terms.withColumn("rank", rank).groupBy("key").agg(F.count(F.lit(1)).alias("unique_terms"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= 5, F.struct("rank", F.concat_ws(":", "term", "n").alias("s"))))), lambda x: x["s"]), ";").alias("top_terms"))
-    good = basic(a).join(top, "key", "left").withColumn("status", F.lit("ok")).withColumn("error", F.lit(""))
+    good = counts(docs, key, text).join(top, "key", "left").withColumn("status", F.lit("ok")).withColumn("error", F.lit(""))
     bad = docs.filter(F.col(text).isNull()).select(F.col(key).alias("key"), F.lit("error").alias("status"), F.lit("no text").alias("error"))
     return good.unionByName(bad, allowMissingColumns=True).withColumn("unique_terms", F.coalesce("unique_terms", F.when(F.col("status") == "ok", F.lit(0)))).withColumn("top_terms", F.coalesce("top_terms", F.when(F.col("status") == "ok", F.lit(""))))
 

@@ -119,7 +119,7 @@ def edges(tokens: DataFrame) -> DataFrame:
 def syntax(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 15) -> DataFrame:
     """``(key, lang, ner, keywords, dependencies, sentiment, pos_tags)``: everything about the syntax of each text."""
     a = documents.analysed(docs, key, text)
-    words = documents.keywords(a, k).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term", "n"))), lambda x: F.struct(x["term"].alias("term"), x["n"].cast("double").alias("weight"))).alias("counted"))
+    words = documents.keywords(documents.term_counts(a), k).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term", "n"))), lambda x: F.struct(x["term"].alias("term"), x["n"].cast("double").alias("weight"))).alias("counted"))
     counted = F.coalesce("counted", F.array().cast(KEYWORD))
     plain = F.struct(documents.mood(F.col("score")).alias("label"), F.col("score"), F.lit("lexicon").alias("raw"))
     full = a.join(words, "key", "left").join(documents.sentiment(a).select("key", "score"), "key").join(dependencies(docs, key, text), "key")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
-from quillmark.session import table
+from quillmark.session import spread, table
 from quillmark.sources.sinks import slices
 
 #: A sample needs so many Latin words, or so many Han characters; chunks have so many words.
@@ -18,7 +18,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").filter("text is not null and grp is not null and work is not null")
     packed = F.array_sort(F.collect_list(F.struct("doc_id", "text")))
     whole = d.groupBy("grp", "work").agg(F.array_join(F.transform(packed, lambda x: x["text"]), "\n").alias("text"))
-    return whole.select("grp", "work", F.concat("grp", F.lit("/"), "work").alias("label"), "text")
+    return spread(whole.select("grp", "work", F.concat("grp", F.lit("/"), "work").alias("label"), "text"), "label")
 
 
 def corpus(spark: SparkSession, sf_dir: str, lang: str = "en", least: int = LEAST) -> DataFrame:

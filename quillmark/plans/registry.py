@@ -12,7 +12,7 @@ from quillmark.functions import text as T
 from quillmark.operators import authorship, clustering, documents, fingerprint, frequencies, inference, metrics, models, pairs, sensitivity
 from quillmark.plans import corpus as C
 from quillmark.plans import oracle
-from quillmark.session import checkpoint, table
+from quillmark.session import checkpoint, spread, table
 from quillmark.sources import files, results, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,7 +36,8 @@ def rounded(df: DataFrame, *keep: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    # text is costly to take apart, so a table of few row groups is spread over all cores first
+    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
 
 
 def _analysed(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,12 +138,12 @@ def work_stems(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def basic_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return _doc(documents.basic(_analysed(spark, sf)))
+    return _doc(documents.counts(_docs(spark, sf)))
 
 
 @query
 def term_freq(spark: SparkSession, sf: str) -> DataFrame:
-    return _doc(documents.term_counts(_analysed(spark, sf)).select("key", "term", "n"))
+    return _doc(documents.term_lists(_docs(spark, sf)).select("key", "term", "n"))
 
 
 @query
@@ -152,7 +153,7 @@ def pos_dist(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def keywords_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return _doc(documents.keywords(_analysed(spark, sf)))
+    return _doc(documents.keywords(documents.term_lists(_docs(spark, sf))))
 
 
 @query
@@ -227,12 +228,12 @@ def html_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def figure_top_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return results.figure_data("top_terms", documents.term_counts(_analysed(spark, sf)).select("term", "n"))
+    return results.figure_data("top_terms", documents.term_lists(_docs(spark, sf)).select("term", "n"))
 
 
 @query
 def figure_word_cloud(spark: SparkSession, sf: str) -> DataFrame:
-    return results.figure_data("word_cloud", documents.term_counts(_analysed(spark, sf)).select("term", "n"))
+    return results.figure_data("word_cloud", documents.term_lists(_docs(spark, sf)).select("term", "n"))
 
 
 @query
@@ -264,7 +265,7 @@ def unmarked_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def basic_summaries(spark: SparkSession, sf: str) -> DataFrame:
-    return documents.basic(_analysed(spark, sf)).select(F.col("key").alias("doc_id"), results.basic_summary().alias("summary"))
+    return documents.counts(_docs(spark, sf)).select(F.col("key").alias("doc_id"), results.basic_summary().alias("summary"))
 
 
 @query
