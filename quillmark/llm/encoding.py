@@ -325,9 +325,10 @@ class Model:
         if wide:
             data = part.replace(LOST, "\x1a").encode(wrong, "ignore").replace(b"\x1a", b"\x80")
             if right == "utf-8":
-                # a few wide characters among Latin letters or by themselves may be letters of two bytes; in a Chinese sentence nearly
-                # any two bytes look so
-                return bool(_RUN_UTF8.search(data)) or (bool(re.search("[A-Za-z]", part)) or len(_WIDE.findall(part)) < 8) and bool(_SHORT_UTF8.search(data))
+                # wide characters among Latin letters, a few beside figures, or one or two by themselves may be letters of two bytes; in
+                # Chinese text nearly any two bytes look so
+                few = len(part) < 3 or bool(re.search("[A-Za-z]", part)) or bool(re.search("[0-9]", part)) and len(_WIDE.findall(part)) < 8
+                return bool(_RUN_UTF8.search(data)) or few and bool(_SHORT_UTF8.search(data))
             return len(data) > 3 and self._likelier(part, data)
         data = b"".join(b"\x80" if ch == LOST else _bytes(wrong, ch) or b"?" for ch in part)
         if right == "utf-8":
