@@ -122,6 +122,21 @@ def test_router_recall_over_parts():
     assert len(neighbours.routes(p, None)[0]) == parts * len(x)
 
 
+def test_routing_holds_few_rows_at_once():
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    make = lambda k: neighbours.Router(rng.normal(0, 0.1, (6, 8)).astype(np.float32), np.zeros(8, np.float32), rng.normal(0, 0.1, (8, k)).astype(np.float32), np.zeros(k, np.float32), np.zeros(6, np.float32), np.float32(1))
+    router, inner = make(4), {c: make(4) for c in range(4)}
+    b = pd.DataFrame({"id": np.arange(1500), "v": list(rng.random((1500, 6)))})
+    frames = list(neighbours.sent_rows(iter([b, b.iloc[:0]]), router, inner, 0.8))
+    assert all(len(f) <= neighbours.AT_ONCE * 17 for f in frames) and len(frames) == 3
+    assert sorted(x for f in frames for x in f["id"][f["side"] == 0]) == list(range(1500))
+    x = neighbours.unit(np.stack(b["v"].to_numpy())).astype(np.float32)
+    _, q, part = neighbours.routes_within(x, router.probabilities(x), inner, 0.8)
+    assert {(i, p) for f in frames for i, p, s in zip(f["id"], f["part"], f["side"]) if s} == set(zip(q.tolist(), part.tolist()))
+
+
 @pytest.mark.parametrize("routed,least", [(neighbours.ROUTED, 0.9), (None, 1.0)])
 def test_neighbours_over_two_levels(spark, monkeypatch, routed, least):
     monkeypatch.setattr(neighbours, "PART", 60)
