@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
 from quillmark.functions import words as W
 from quillmark.operators import frequencies as Q
-from quillmark.operators.pairs import block_pairs, moments_in_blocks
+from quillmark.operators.pairs import block_pairs, differences, moments_in_blocks, sums_by_row, totals_by_value
+from quillmark.session import checkpoint
 
 DIMENSIONS = tuple(W.WEIGHTS)
 SIZES = {"function_words": 50, "char_ngrams": 100, "word_bigrams": 50, "punctuation": 20}
@@ -143,8 +147,8 @@ def similarities(feats: DataFrame, weights: dict[str, float] | None = None) -> D
     return pair_scores(feats).select("la", "lb", weighted(weights).alias("sim"))
 
 
-def moments(feats: DataFrame, weights: dict[str, float] | None = None, other_work: bool = False) -> DataFrame:
-    """``(same, n, s, q)`` of the similarities of all pairs, folded in blocks."""
+def likeness(weights: dict[str, float] | None = None) -> Callable[[dict, dict], np.ndarray]:
+    """The weighted sum of the scores of rows a and b, in the fixed order of the dimensions."""
     w = W.WEIGHTS if weights is None else weights
 
     def total(a: dict, b: dict) -> np.ndarray:
@@ -153,7 +157,71 @@ def moments(feats: DataFrame, weights: dict[str, float] | None = None, other_wor
             out = out + scores[..., k] * float(w.get(d, 0.0))
         return out[..., None]
 
-    return moments_in_blocks(feats, "label", COLUMNS, total, other_work)
+    return total
+
+
+def moments(feats: DataFrame, weights: dict[str, float] | None = None, other_work: bool = False) -> DataFrame:
+    """``(same, n, s, q)`` of the similarities of all pairs, folded in blocks."""
+    return moments_in_blocks(feats, "label", COLUMNS, likeness(weights), other_work)
+
+
+def likeness_totals(x: np.ndarray) -> np.ndarray:
+    """For each value the sum of its likeness to all other values, none of which is negative: the smaller over the larger."""
+    order = np.argsort(x, kind="stable")
+    v = x[order]
+    zeros = int((v < 1e-12).sum())
+    inverse = np.zeros(len(v))
+    inverse[zeros:] = 1 / v[zeros:]
+    before, after = np.r_[0.0, np.cumsum(v)[:-1]], np.r_[np.cumsum(inverse[::-1])[::-1][1:], 0.0]
+    got = before * inverse + v * after
+    got[:zeros] += zeros - 1
+    out = np.empty(len(v))
+    out[order] = got
+    return out
+
+
+def similarity_differences(feats: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """``(label, diff)`` as :func:`quillmark.operators.metrics.sample_differences` gives for all pairs, without the pairs.
+
+    The cosines of a row with all others sum to its product with the sum of all unit vectors; likenesses follow from sorted values. Only
+    pairs within a group are compared.
+    """
+    w = W.WEIGHTS if weights is None else weights
+    kinds = ["word_length", *SIZES]
+    scalars = [("sent_mean", w.get("sentence_stats", 0.0) / 2), ("sent_sd", w.get("sentence_stats", 0.0) / 2), ("ttr", w.get("ttr", 0.0)), ("hapax", w.get("hapax", 0.0))]
+    rows = checkpoint(feats.select(F.monotonically_increasing_id().alias("id"), "label", *COLUMNS))
+    n = rows.count()
+
+    def units(b: pd.DataFrame, kind: str) -> np.ndarray:
+        x = np.stack([np.asarray(v, float) for v in b[kind]])
+        size = np.sqrt((x * x).sum(1, keepdims=True))
+        return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"kind": kinds, "v": [units(b, k).sum(0) for k in kinds]})
+
+    parts = rows.select(*kinds).mapInPandas(summed, "kind string, v array<double>").select("kind", F.posexplode("v").alias("pos", "x")).groupBy("kind", "pos").agg(F.sum("x").alias("x"))
+    sums: dict[str, list[float]] = {k: [] for k in kinds}
+    for r in parts.orderBy("kind", "pos").collect():  # as many numbers as a row has
+        sums[r["kind"]].append(r["x"])
+
+    def cosines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                total = np.zeros(len(b))
+                for k in kinds:
+                    u = units(b, k)
+                    total += float(w.get(k, 0.0)) * (u @ np.array(sums[k]) - (u * u).sum(1) if u.shape[1] else np.full(len(b), 0.5 * (n - 1)))
+                yield pd.DataFrame({"id": b["id"], "s": total})
+
+    values = rows.select("id", F.posexplode(F.array(*(F.col(c) for c, _ in scalars))).alias("pos", "x"))
+    shares = [x for _, x in scalars]
+    alike = totals_by_value(values, lambda pos, x: likeness_totals(x) * float(shares[pos]))
+    every = rows.select("id", *kinds).mapInPandas(cosines, "id bigint, s double").unionByName(alike).groupBy("id").agg(F.sum("s").alias("s"))
+    own = sums_by_row(rows, "label", COLUMNS, likeness(w), F.substring_index("label", "/", 1))
+    return differences(rows.select("id", "label"), every, own)
 
 
 def centroids(feats: DataFrame, group: Column) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmark.functions import text as T
-from quillmark.operators.pairs import symmetric
+from quillmark.operators.pairs import fold_cells, groups, symmetric, works
+from quillmark.session import checkpoint
 
 
 def with_groups(edges: DataFrame) -> DataFrame:
@@ -99,6 +103,31 @@ def competition(edges: DataFrame, value: str = "d") -> DataFrame:
     return decided(cross, within).select("work", "g1", "g2", "cross", "within_1", "within_2", "same", "winner")
 
 
+def competition_in_cells(rows: DataFrame, columns: list[str], compare: Callable[[dict, dict], np.ndarray]) -> DataFrame:
+    """:func:`competition` of ``rows(label, *columns)`` without edges: only rows of one group and rows of one work are compared."""
+
+    def inside(ka: np.ndarray, kb: np.ndarray, a: dict, b: dict, one: bool) -> dict[str, np.ndarray]:
+        wa, wb = works(ka), works(kb)
+        other = wa[:, None] != wb[None, :]
+        v = np.where(other, compare(a, b)[..., 0], 0.0)
+        w, n, s = (wa, other.sum(1), v.sum(1)) if one else (np.r_[wa, wb], np.r_[other.sum(1), other.sum(0)], np.r_[v.sum(1), v.sum(0)])
+        return {"g": np.full(len(w), groups(ka[:1])[0], object), "work": w, "n": n, "s": s}
+
+    def between(ka: np.ndarray, kb: np.ndarray, a: dict, b: dict, one: bool) -> dict[str, np.ndarray]:
+        names, code = np.unique(np.r_[groups(ka), groups(kb)].astype(str), return_inverse=True)
+        ga, gb = code[: len(ka)], code[len(ka) :]
+        i, j = np.nonzero((ga[:, None] != gb[None, :]) & (np.triu(np.ones((len(ka), len(kb)), bool), 1) if one else True))
+        pair, at = np.unique(np.minimum(ga[i], gb[j]) * len(names) + np.maximum(ga[i], gb[j]), return_inverse=True)
+        s, n = np.bincount(at, compare(a, b)[i, j, 0], len(pair)), np.bincount(at, minlength=len(pair))
+        return {"work": np.full(len(pair), works(ka[:1])[0], object), "g1": names[pair // len(names)].astype(object), "g2": names[pair % len(names)].astype(object), "n": n, "s": s}
+
+    rows = checkpoint(rows.select("label", *columns))
+    mean = (F.sum("s") / F.sum("n")).alias
+    within = fold_cells(rows, "label", columns, F.substring_index("label", "/", 1), inside, "g string, work string, n bigint, s double").filter("n > 0").groupBy("g", "work").agg(mean("within"))
+    cross = fold_cells(rows, "label", columns, T.work_of("label"), between, "work string, g1 string, g2 string, n bigint, s double").groupBy("work", "g1", "g2").agg(mean("cross"))
+    return decided(cross, within).select("work", "g1", "g2", "cross", "within_1", "within_2", "same", "winner")
+
+
 def decided(cross: DataFrame, within: DataFrame, *by: str) -> DataFrame:
     """Whether the distance across (work, g1, g2) or the mean of those within (g, work) is smaller, for each ``by``."""
     a = within.select(*by, F.col("g").alias("g1"), "work", F.col("within").alias("within_1"))
@@ -128,6 +157,20 @@ def story_differences(edges: DataFrame, value: str) -> DataFrame:
     return g.groupBy(F.col("wa").alias("work")).agg(F.avg(F.when(same, F.col(value))).alias("same"), F.avg(F.when(~same, F.col(value))).alias("cross")).filter("same is not null and cross is not null").withColumn("diff", F.col("same") - F.col("cross"))
 
 
+def story_differences_in_cells(rows: DataFrame, columns: list[str], compare: Callable[[dict, dict], np.ndarray]) -> DataFrame:
+    """:func:`story_differences` of ``rows(label, *columns)`` without edges: only rows of one work are compared."""
+
+    def fold(ka: np.ndarray, kb: np.ndarray, a: dict, b: dict, one: bool) -> dict[str, np.ndarray]:
+        v = compare(a, b)[..., 0]
+        pair = np.triu(np.ones(v.shape, bool), 1) if one else np.ones(v.shape, bool)
+        same = groups(ka)[:, None] == groups(kb)[None, :]
+        cells = [v[pair & same], v[pair & ~same]]
+        return {"work": works(ka[:1]), "n1": np.array([len(cells[0])]), "s1": np.array([cells[0].sum()]), "n0": np.array([len(cells[1])]), "s0": np.array([cells[1].sum()])}
+
+    t = fold_cells(rows, "label", columns, T.work_of("label"), fold, "work string, n1 bigint, s1 double, n0 bigint, s0 double").groupBy("work").agg(*(F.sum(c).alias(c) for c in ("n1", "s1", "n0", "s0")))
+    return t.filter("n1 > 0 and n0 > 0").select("work", (F.col("s1") / F.col("n1")).alias("same"), (F.col("s0") / F.col("n0")).alias("cross")).withColumn("diff", F.col("same") - F.col("cross"))
+
+
 def sample_differences(edges: DataFrame, value: str) -> DataFrame:
     """For each label: mean similarity to its own group minus that to the others."""
     both = symmetric(edges, value)

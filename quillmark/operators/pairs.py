@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.session import checkpoint
@@ -43,6 +43,95 @@ def fold_blocks(rows: DataFrame, key: str, columns: list[str], fold: Callable[[n
     return met.groupBy("bi", "bj").applyInPandas(run, schema)
 
 
+def fold_cells(rows: DataFrame, key: str, columns: list[str], cell: Column, fold: Callable[[np.ndarray, np.ndarray, dict, dict, bool], dict[str, np.ndarray]], schema: str, block: int = BLOCK) -> DataFrame:
+    """What ``fold(keys a, keys b, columns a, columns b, whether b is a)`` gives for pairs of rows of one cell: other pairs never meet.
+
+    The work is quadratic in a cell only. Many small cells are one task; a cell of more than ``block`` rows is compared by blocks.
+    """
+    rows = checkpoint(rows.select(key, *columns).withColumn("cell", cell))
+    sizes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    large = checkpoint(sizes.filter(F.col("n") > block).select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    buckets = max(1, -(-rows.count() // (4 * block)))
+    # at most as many large cells as there are blocks
+    placed = rows.join(F.broadcast(large), "cell", "left").withColumn("own", F.pmod(F.xxhash64(key), F.coalesce("blocks", F.lit(1))).cast("int"))
+    small = F.col("blocks").isNull()
+    met = placed.select("*", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("other")).select(F.when(small, F.pmod(F.xxhash64("cell"), F.lit(buckets))).alias("bucket"), F.when(~small, F.col("cell")).alias("one"), F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "cell", key, *columns)
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        bi, bj = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
+        pdf = pdf.drop_duplicates(["cell", "own", key]).sort_values(["cell", "own", key], kind="stable")
+        keys, cells, own = (pdf[c].to_numpy() for c in (key, "cell", "own"))
+        held = {c: np.stack([np.asarray(x, float) for x in pdf[c]]) if isinstance(pdf[c].iloc[0], (list, np.ndarray)) else pdf[c].to_numpy(float) for c in columns}
+        part = lambda at: (keys[at], {c: x[at] for c, x in held.items()})
+        out = []
+        if bi != bj:
+            (ka, a), (kb, b) = part(own == bi), part(own == bj)
+            if len(ka) and len(kb):
+                out.append(fold(ka, kb, a, b, False))
+        else:
+            ends = np.flatnonzero(np.r_[cells[1:] != cells[:-1], True]) + 1
+            for lo, hi in zip(np.r_[0, ends[:-1]], ends):
+                k, a = part(slice(lo, hi))
+                out.append(fold(k, k, a, a, True))
+        out = [o for o in out if len(o[names[0]])]
+        return pd.DataFrame({x: np.concatenate([o[x] for o in out]) for x in names}) if out else pd.DataFrame(columns=names)
+
+    return met.groupBy("bucket", "one", "bi", "bj").applyInPandas(run, schema)
+
+
+def sums_by_row(rows: DataFrame, key: str, columns: list[str], compare: Callable[[dict, dict], np.ndarray], cell: Column, block: int = BLOCK) -> DataFrame:
+    """``(key, n, s)``: number and sum of each row's values with the other rows of its cell; rows without others have n = 0."""
+
+    def fold(ka: np.ndarray, kb: np.ndarray, a: dict, b: dict, one: bool) -> dict[str, np.ndarray]:
+        v = compare(a, b)[..., 0]
+        if one:
+            v = v.copy()
+            np.fill_diagonal(v, 0.0)
+            return {key: ka, "n": np.full(len(ka), len(ka) - 1), "s": v.sum(1)}
+        return {key: np.r_[ka, kb], "n": np.r_[np.full(len(ka), len(kb)), np.full(len(kb), len(ka))], "s": np.r_[v.sum(1), v.sum(0)]}
+
+    return fold_cells(rows, key, columns, cell, fold, f"{key} string, n bigint, s double", block).groupBy(key).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+
+
+def absolute_totals(x: np.ndarray) -> np.ndarray:
+    """For each value the sum of its absolute differences from all values."""
+    order = np.argsort(x, kind="stable")
+    v = x[order]
+    before, k = np.r_[0.0, np.cumsum(v)[:-1]], np.arange(len(v))
+    out = np.empty(len(v))
+    out[order] = k * v - before + (v.sum() - before - v) - (len(v) - 1 - k) * v
+    return out
+
+
+def totals_by_value(values: DataFrame, totals: Callable[[int, np.ndarray], np.ndarray]) -> DataFrame:
+    """``(id, s)`` from ``(id, pos, x)``: what ``totals(pos, values of that pos)`` gives each row, summed over pos. A task holds the numbers of one pos."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"id": pdf["id"], "s": totals(int(pdf["pos"].iloc[0]), pdf["x"].to_numpy(float))})
+
+    return values.groupBy("pos").applyInPandas(run, "id bigint, s double").groupBy("id").agg(F.sum("s").alias("s"))
+
+
+def differences(rows: DataFrame, every: DataFrame, own: DataFrame) -> DataFrame:
+    """``(label, diff)``: mean value with the own group less that with all others, from ``rows(id, label)``, sums over all other rows
+    ``every(id, s)`` and over the own group ``own(label, n, s)``; only where there are both."""
+    others = F.lit(rows.count() - 1) - F.col("n")
+    t = rows.join(every.withColumnRenamed("s", "total"), "id").join(own, "label").filter((F.col("n") > 0) & (others > 0))
+    return t.select("label", (F.col("s") / F.col("n") - (F.col("total") - F.col("s")) / others).alias("diff"))
+
+
+def delta_differences(vectors: DataFrame) -> DataFrame:
+    """``(label, diff)`` as :func:`quillmark.operators.metrics.sample_differences` gives for all pairs, without the pairs: the sum of a value's
+    distances from all others follows from sorted values, so only pairs within a group are compared."""
+    rows = checkpoint(vectors.select(F.monotonically_increasing_id().alias("id"), "label", "v"))
+    width = F.size("v")
+    every = totals_by_value(rows.select("id", F.posexplode("v").alias("pos", "x")), lambda pos, x: absolute_totals(x))
+    every = rows.select("id", width.alias("w")).join(every, "id", "left").select("id", F.coalesce(F.col("s") / F.greatest("w", F.lit(1)), F.lit(0.0)).alias("s"))
+    own = sums_by_row(rows, "label", ["v"], mean_absolute, F.substring_index("label", "/", 1))
+    return differences(rows.select("id", "label"), every, own)
+
+
 def _later(ka: np.ndarray, kb: np.ndarray) -> np.ndarray:
     return np.array([x.encode() > y.encode() for x, y in zip(ka, kb)], bool)
 

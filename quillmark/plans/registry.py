@@ -386,14 +386,18 @@ def nn_structure(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(metrics.structure(_predicted(spark, sf)))
 
 
+def _competition(vectors: DataFrame) -> DataFrame:
+    return metrics.competition_in_cells(vectors, ["v"], pairs.mean_absolute)
+
+
 @query
 def signal_competition(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(metrics.competition(_kept(spark, sf)))
+    return rounded(_competition(_vectors(spark, sf)))
 
 
 @query
 def signal_wins(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(metrics.wins(metrics.competition(_kept(spark, sf))))
+    return rounded(metrics.wins(_competition(_vectors(spark, sf))))
 
 
 @query

@@ -134,3 +134,54 @@ def test_sinks(spark, tmp_path):
     assert files.history(spark, str(tmp_path / "h.json")).count() == 1 and files.history(spark, str(tmp_path / "none.json")).count() == 0
     with pytest.raises(ValueError):
         sinks.clean("/")
+
+
+def _labelled(seed, n=120):
+    rng = np.random.default_rng(seed)
+    labels = sorted({f"g{rng.integers(9)}/w{rng.integers(12)}__chunk{rng.integers(1, 4):03d}" for _ in range(n)} | {"alone/w0"})
+    return labels, rng.normal(size=(len(labels), 5)).round(2)
+
+
+def test_competition_in_cells_against_edges(spark):
+    labels, x = _labelled(4)
+    v = spark.createDataFrame([(a, [float(y) for y in b]) for a, b in zip(labels, x)], "label string, v array<double>")
+    pick = lambda df: {(r["work"], r["g1"], r["g2"]): tuple(None if r[c] is None else round(r[c], 9) for c in ("cross", "within_1", "within_2")) + (r["winner"],) for r in df.collect()}
+    want = pick(metrics.competition(pairs.delta(v)))
+    assert want and pick(metrics.competition_in_cells(v, ["v"], pairs.mean_absolute)) == want
+
+
+def test_sums_by_row_in_blocks_of_a_cell(spark):
+    labels, x = _labelled(5)
+    v = spark.createDataFrame([(a, [float(y) for y in b]) for a, b in zip(labels, x)], "label string, v array<double>")
+    got = {r["label"]: (r["n"], r["s"]) for r in pairs.sums_by_row(v, "label", ["v"], pairs.mean_absolute, F.substring_index("label", "/", 1), 4).collect()}
+    group = [a.split("/")[0] for a in labels]
+    for i, a in enumerate(labels):
+        own = [np.abs(x[i] - x[j]).mean() for j in range(len(labels)) if j != i and group[j] == group[i]]
+        assert got[a][0] == len(own) and abs(got[a][1] - sum(own)) < 1e-9
+
+
+def test_only_pairs_that_count_are_compared(spark, monkeypatch):
+    from quillmark.plans import registry
+
+    def refuse(*_):
+        raise AssertionError("all pairs")
+
+    monkeypatch.setattr(pairs, "block_pairs", refuse)
+    monkeypatch.setattr(fingerprint, "block_pairs", refuse)
+    for name in ("signal_wins", "sample_diffs", "story_diffs", "permutation_md5"):
+        registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+
+
+def test_differences_against_edges(spark):
+    labels, x = _labelled(6)
+    v = spark.createDataFrame([(a, [float(y) for y in b]) for a, b in zip(labels, x)], "label string, v array<double>")
+    pick = lambda df: {r["label"]: round(r["diff"], 9) for r in df.collect()}
+    want = pick(metrics.sample_differences(pairs.delta(v), "d"))
+    assert "alone/w0" not in want and pick(pairs.delta_differences(v)) == want
+    rng = np.random.default_rng(7)
+    row = lambda k: [float(y) for y in rng.random(k) * (rng.random() < 0.9)]
+    f = spark.createDataFrame([(a, row(10), row(3), row(4), [], row(2), *(float(rng.random() * (rng.random() < 0.8)) for _ in range(4))) for a in labels], "label string, word_length array<double>, function_words array<double>, char_ngrams array<double>, word_bigrams array<double>, punctuation array<double>, sent_mean double, sent_sd double, ttr double, hapax double")
+    f = f.localCheckpoint()
+    assert pick(fingerprint.similarity_differences(f)) == pick(metrics.sample_differences(fingerprint.similarities(f), "sim"))
+    again = pick(metrics.story_differences(fingerprint.similarities(f), "sim").withColumnRenamed("work", "label"))
+    assert again and pick(metrics.story_differences_in_cells(f, fingerprint.COLUMNS, fingerprint.likeness()).withColumnRenamed("work", "label")) == again
