@@ -417,7 +417,7 @@ def mfw_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
     for scale in C.SIZES:
         counts = _counted(C.chunks(spark, sf, scale))
         for n in (50, 100, 200, 500):
-            one = metrics.wins(metrics.competition(checkpoint(pairs.delta(_vectors_of(counts, n))))).select(F.lit(scale).alias("scale"), F.lit(n).alias("top_n"), "*")
+            one = metrics.wins(_competition(_vectors_of(counts, n))).select(F.lit(scale).alias("scale"), F.lit(n).alias("top_n"), "*")
             out = one if out is None else out.unionByName(one)
     return rounded(out)
 
