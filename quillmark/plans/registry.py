@@ -559,9 +559,10 @@ def equal_chunk_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Competition and effect size on equal numbers of chunks."""
     c = C.chunks(spark, sf, "1k").select("label", "text")
     kept = checkpoint(metrics.equal_chunks(c.select("label")))
-    # vectors are those of all chunks, edges only those between kept ones
-    edges = checkpoint(pairs.delta(_vectors_of(_counted(c)).join(kept.select("label"), "label", "left_semi")))
-    return rounded(metrics.wins(metrics.competition(edges)).crossJoin(metrics.group_effect(edges, "d")))
+    # vectors are those of all chunks, pairs only those of kept ones
+    vectors = checkpoint(_vectors_of(_counted(c)).join(kept.select("label"), "label", "left_semi"))
+    effect = metrics.effect_of_moments(pairs.delta_moments(vectors)).drop("sd_same", "sd_cross")
+    return rounded(metrics.wins(_competition(vectors)).crossJoin(effect))
 
 
 #: Draws of the resampling tests.
