@@ -502,10 +502,6 @@ def feature_scores(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(fingerprint.to_centroid(f, fingerprint.centroids(f, g), g))
 
 
-def _sims(spark: SparkSession, sf: str) -> DataFrame:
-    return checkpoint(fingerprint.similarities(_features(spark, sf)))
-
-
 @query
 def fp_same_cross_d(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(metrics.effect_of_moments(fingerprint.moments(_features(spark, sf))).drop("sd_same", "sd_cross").withColumn("effect", metrics.effect_label("cohens_d")))
@@ -518,18 +514,18 @@ def d_excl_same_story(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def sample_diffs(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(metrics.sample_differences(_sims(spark, sf), "sim"))
+    return rounded(fingerprint.similarity_differences(_features(spark, sf)))
 
 
 @query
 def wilcoxon_stats(spark: SparkSession, sf: str) -> DataFrame:
-    w = inference.wilcoxon(checkpoint(metrics.sample_differences(_sims(spark, sf), "sim")))
+    w = inference.wilcoxon(checkpoint(fingerprint.similarity_differences(_features(spark, sf))))
     return rounded(w)
 
 
 @query
 def wilcoxon_p(spark: SparkSession, sf: str) -> DataFrame:
-    w = inference.wilcoxon(checkpoint(metrics.sample_differences(_sims(spark, sf), "sim")))
+    w = inference.wilcoxon(checkpoint(fingerprint.similarity_differences(_features(spark, sf))))
     return rounded(w.select("n", F.when(F.col("n") < 3, 1.0).otherwise(inference.p_two_sided("z")).alias("p")))
 
 
