@@ -529,20 +529,20 @@ def wilcoxon_p(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(w.select("n", F.when(F.col("n") < 3, 1.0).otherwise(inference.p_two_sided("z")).alias("p")))
 
 
-def _chunk_sims(spark: SparkSession, sf: str) -> DataFrame:
+def _story_differences(spark: SparkSession, sf: str) -> DataFrame:
     c = C.chunks(spark, sf, "1k").select("label", "text")
-    return checkpoint(fingerprint.similarities(checkpoint(fingerprint.features(checkpoint(fingerprint._lists(c, "en"))))))
+    return metrics.story_differences_in_cells(fingerprint.features(checkpoint(fingerprint._lists(c, "en"))), fingerprint.COLUMNS, fingerprint.likeness())
 
 
 @query
 def story_diffs(spark: SparkSession, sf: str) -> DataFrame:
     """By work, over chunks: similarity within groups minus across."""
-    return rounded(metrics.story_differences(_chunk_sims(spark, sf), "sim"))
+    return rounded(_story_differences(spark, sf))
 
 
 @query
 def story_wilcoxon(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(inference.wilcoxon(checkpoint(metrics.story_differences(_chunk_sims(spark, sf), "sim"))))
+    return rounded(inference.wilcoxon(checkpoint(_story_differences(spark, sf))))
 
 
 @query
