@@ -67,15 +67,83 @@ def _unit(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("bigint")
 
 
+#: Steps of md5: how far each turns, what it adds, which word it reads; the state that it starts with.
+_TURNS = [t for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for t in four * 4]
+_ADDED = [np.uint32(int(abs(math.sin(i + 1)) * 2**32)) for i in range(64)]
+_READ = [*range(16), *((5 * i + 1) % 16 for i in range(16, 32)), *((3 * i + 5) % 16 for i in range(32, 48)), *(7 * i % 16 for i in range(48, 64))]
+_STATE = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+
+
+def _heads(words: np.ndarray) -> np.ndarray:
+    """The first eight hex digits of md5 as a number, for each column of a block of 16 words."""
+    a, b, c, d = (np.full(words.shape[1], x) for x in _STATE)
+    for i in range(64):
+        f = d ^ (b & (c ^ d)) if i < 16 else c ^ (d & (b ^ c)) if i < 32 else b ^ c ^ d if i < 48 else c ^ (b | ~d)
+        f += a
+        f += words[_READ[i]]
+        f += _ADDED[i]
+        turned = f << np.uint32(_TURNS[i])
+        turned |= f >> np.uint32(32 - _TURNS[i])
+        turned += b
+        a, b, c, d = d, turned, b, c
+    return (a + _STATE[0]).byteswap()
+
+
+def md5_heads(prefixes: list[bytes], ends: list[bytes], step: int = 8_192) -> Iterator[np.ndarray]:
+    """For each prefix the first eight hex digits of md5 of prefix and end, as numbers, for all ends. What fits a block of md5 is
+    computed for many ends at once."""
+    blocks: dict[int, tuple[np.ndarray, list[int]]] = {}
+    for prefix in prefixes:
+        k = len(prefix)
+        if k not in blocks:
+            rows = np.zeros((len(ends), 64), np.uint8)
+            long = []
+            for i, e in enumerate(ends):
+                if k + len(e) > 55:
+                    long.append(i)
+                    continue
+                rows[i, k : k + len(e)] = np.frombuffer(e, np.uint8)
+                rows[i, k + len(e)] = 0x80
+                rows[i, 56:58] = divmod(8 * (k + len(e)), 256)[::-1]
+            blocks[k] = np.ascontiguousarray(rows.view("<u4").T), long
+        words, long = blocks[k]
+        head = np.frombuffer(prefix.ljust(-(-k // 4) * 4, b"\0"), "<u4") if k <= 55 else np.zeros(0, np.uint32)
+        out = np.empty(len(ends), np.uint32)
+        for lo in range(0, len(ends), step):
+            w = words[:, lo : lo + step].copy()
+            w[: len(head)] |= head[:, None]
+            out[lo : lo + step] = _heads(w)
+        for i in long:
+            out[i] = int(hashlib.md5(prefix + ends[i]).hexdigest()[:8], 16)
+        yield out
+
+
 def permutation_md5(values: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """``values(id, own, x)``: the test with draws ordered by md5, all draws in parallel. One row."""
-    draws = values.crossJoin(values.sparkSession.range(n).withColumnRenamed("id", "draw"))
-    k = values.agg(F.count(F.when(F.col("own"), 1)).alias("k"), F.count(F.when(~F.col("own"), 1)).alias("m"), (F.avg(F.when(F.col("own"), F.col("x"))) - F.avg(F.when(~F.col("own"), F.col("x")))).alias("seen"))
-    at = F.row_number().over(Window.partitionBy("draw").orderBy(_unit(seed, F.col("draw"), F.col("id")), "id"))
-    ranked = draws.withColumn("at", at).crossJoin(F.broadcast(k))
-    first = F.col("at") <= F.col("k")
-    each = ranked.groupBy("draw").agg((F.avg(F.when(first, F.col("x"))) - F.avg(F.when(~first, F.col("x")))).alias("d"), F.first("seen").alias("seen"))
-    return each.agg(F.count(F.when(F.round("d", 12) >= F.round("seen", 12), 1)).alias("hits"), F.count(F.lit(1)).alias("draws")).select("hits", "draws", ((F.col("hits") + 1) / (F.col("draws") + 1)).alias("p_value"))
+    """``values(id, own, x)``: the test with draws ordered by md5, all draws in parallel. One row.
+
+    Every task holds the values, one for each work or label, and makes whole draws; no row is written for a value in a draw.
+    """
+    t = values.select("id", "own", "x").toArrow().to_pydict()
+    order = sorted(range(len(t["id"])), key=lambda i: str(t["id"][i]))
+    spark = values.sparkSession
+    x, own = np.array([t["x"][i] for i in order], float), np.array([t["own"][i] for i in order], bool)
+    sent = spark.sparkContext.broadcast(([str(t["id"][i]).encode() for i in order], x, own))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, x, own = sent.value
+        k, rank = int(own.sum()), np.arange(len(ids), dtype=np.uint64)
+        seen = round(float(x[own].mean() - x[~own].mean()), 12) if 0 < k < len(ids) else None
+        total = x.sum()
+        for b in batches:
+            hits = 0
+            if seen is not None:
+                for heads in md5_heads([f"{seed}|{i}|".encode() for i in b["id"]], ids):
+                    first = x[np.argpartition((heads.astype(np.uint64) << np.uint64(32)) | rank, k - 1)[:k]].sum()
+                    hits += round(float(first / k - (total - first) / (len(ids) - k)), 12) >= seen
+            yield pd.DataFrame({"hits": [hits], "draws": [len(b)]})
+
+    each = spark.range(0, n if order else 0, 1, max(1, spark.sparkContext.defaultParallelism)).mapInPandas(draw, "hits bigint, draws bigint")
+    return each.agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"), F.coalesce(F.sum("draws"), F.lit(0)).alias("draws")).select("hits", "draws", ((F.col("hits") + 1) / (F.col("draws") + 1)).alias("p_value"))
 
 
 def pair_sums(edges: DataFrame, value: str) -> DataFrame:

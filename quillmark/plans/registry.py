@@ -566,7 +566,7 @@ DRAWS = 10_000
 
 
 def _halves(spark: SparkSession, sf: str) -> DataFrame:
-    d = checkpoint(metrics.sample_differences(checkpoint(_delta(spark, sf)), "d"))
+    d = checkpoint(pairs.delta_differences(_vectors(spark, sf)))
     return d.select(F.col("label").alias("id"), (F.pmod(F.length("label"), F.lit(2)) == 0).alias("own"), F.round("diff", DIGITS).alias("x"))
 
 

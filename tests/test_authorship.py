@@ -128,3 +128,30 @@ def test_bootstrap_ways_agree(spark):
         m = [sum(v) / len(v) for v in x]
         q = [sum((y - mm) ** 2 for y in v) for v, mm in zip(x, m)]
         assert got[k] == pytest.approx((m[0] - m[1]) / math.sqrt(sum(q) / (len(x[0]) + len(x[1]) - 2)))
+
+
+def test_md5_of_many_at_once():
+    import hashlib
+
+    ends = [("x" * k).encode() for k in range(70)] + ["山/河".encode(), b""]
+    prefixes = [b"42|7|", b"42|1234|", b"p" * 60]
+    for p, got in zip(prefixes, inference.md5_heads(prefixes, ends, 16)):
+        assert got.tolist() == [int(hashlib.md5(p + e).hexdigest()[:8], 16) for e in ends]
+
+
+def test_permutation_by_md5_against_loop(spark):
+    import hashlib
+
+    r = random.Random(3)
+    rows = [(f"河/w{i}", i % 3 == 0, round(r.random(), 2)) for i in range(20)]
+    mean = lambda v: sum(v) / len(v)
+    seen = mean([x for _, own, x in rows if own]) - mean([x for _, own, x in rows if not own])
+    hits = 0
+    for draw in range(60):
+        order = [x for _, _, x in sorted((hashlib.md5(f"42|{draw}|{i}".encode()).hexdigest()[:8], i, x) for i, _, x in rows)]
+        hits += round(mean(order[:7]) - mean(order[7:]), 12) >= round(seen, 12)
+    df = spark.createDataFrame(rows, "id string, own boolean, x double")
+    one = inference.permutation_md5(df, 60)
+    assert one.first() == (hits, 60, (hits + 1) / 61)
+    assert "Window" not in one._jdf.queryExecution().toString()
+    assert inference.permutation_md5(df.limit(0), 5).first() == (0, 0, 1.0) and inference.permutation_md5(df.filter("own"), 5).first() == (0, 5, 1 / 6)
