@@ -17,16 +17,16 @@ BLOCK = 512
 TIES = 12
 
 
-def fold_blocks(rows: DataFrame, key: str, columns: list[str], fold: Callable[[np.ndarray, np.ndarray, dict, dict, bool], pd.DataFrame], schema: str, block: int = BLOCK) -> DataFrame:
+def fold_blocks(rows: DataFrame, key: str, columns: list[str], fold: Callable[[np.ndarray, np.ndarray, dict, dict, bool], pd.DataFrame], schema: str, block: int = BLOCK, by: Column | None = None) -> DataFrame:
     """What ``fold(keys a, keys b, columns a, columns b, whether b is a)`` gives for every two blocks of rows.
 
     The work is quadratic, but it runs in tasks of bounded size, and each row is sent once per block, not once per pair. Keys
-    are sorted by code points within a block.
+    are sorted by code points within a block. Rows of one ``by`` are in one block.
     """
     rows = checkpoint(rows.select(key, *columns))
     n = rows.count()
     blocks = max(1, -(-n // block))
-    own = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    own = F.pmod(F.xxhash64(F.col(key) if by is None else by), F.lit(blocks)).cast("int")
     placed = rows.withColumn("own", own)
     met = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).select(F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", key, *columns)
 

@@ -591,12 +591,12 @@ def _interval(draws: DataFrame) -> DataFrame:
 @query
 def bootstrap_md5(spark: SparkSession, sf: str) -> DataFrame:
     """95 % interval of Cohen's d from 10,000 resamples of the works."""
-    return _interval(inference.bootstrap(metrics.with_groups(_delta(spark, sf)), "d", DRAWS))
+    return _interval(inference.bootstrap_in_blocks(_vectors(spark, sf), ["v"], pairs.mean_absolute, DRAWS))
 
 
 @query
 def bootstrap_seeded(spark: SparkSession, sf: str) -> DataFrame:
-    return _interval(inference.bootstrap(metrics.with_groups(_delta(spark, sf)), "d", DRAWS, exact=True))
+    return _interval(inference.bootstrap_in_blocks(_vectors(spark, sf), ["v"], pairs.mean_absolute, DRAWS, exact=True))
 
 
 @query

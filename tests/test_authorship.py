@@ -155,3 +155,16 @@ def test_permutation_by_md5_against_loop(spark):
     assert one.first() == (hits, 60, (hits + 1) / 61)
     assert "Window" not in one._jdf.queryExecution().toString()
     assert inference.permutation_md5(df.limit(0), 5).first() == (0, 0, 1.0) and inference.permutation_md5(df.filter("own"), 5).first() == (0, 5, 1 / 6)
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_bootstrap_in_blocks_against_edges(spark, monkeypatch, exact):
+    from quillmark.operators import metrics, pairs
+
+    r = random.Random(9)
+    v = spark.createDataFrame([(f"g{i % 3}/w{r.randrange(12)}__chunk{i:03d}", [round(r.random(), 2) for _ in range(4)]) for i in range(40)], "label string, v array<double>").localCheckpoint()
+    want = {x["draw"]: x["d"] for x in inference.bootstrap(metrics.with_groups(pairs.delta(v)), "d", 30, exact=exact).collect()}
+    monkeypatch.setattr(inference, "WORKS", 2)
+    got = {x["draw"]: x["d"] for x in inference.bootstrap_in_blocks(v, ["v"], pairs.mean_absolute, 30, exact=exact, block=9).collect()}
+    assert want and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert inference.bootstrap_in_blocks(v.limit(0), ["v"], pairs.mean_absolute, 30, exact=exact).count() == 0
