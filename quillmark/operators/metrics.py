@@ -103,29 +103,37 @@ def competition(edges: DataFrame, value: str = "d") -> DataFrame:
     return decided(cross, within).select("work", "g1", "g2", "cross", "within_1", "within_2", "same", "winner")
 
 
-def competition_in_cells(rows: DataFrame, columns: list[str], compare: Callable[[dict, dict], np.ndarray]) -> DataFrame:
-    """:func:`competition` of ``rows(label, *columns)`` without edges: only rows of one group and rows of one work are compared."""
+def competing_sums(rows: DataFrame, columns: list[str], compare: Callable[[dict, dict], np.ndarray], names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``(g, work, n, *names)`` of pairs with other works of a group, ``(work, g1, g2, n, *names)`` of pairs of one work in two groups:
+    numbers of pairs and sums of what is compared, in parts. Only rows of one group and rows of one work meet."""
 
     def inside(ka: np.ndarray, kb: np.ndarray, a: dict, b: dict, one: bool) -> dict[str, np.ndarray]:
         wa, wb = works(ka), works(kb)
         other = wa[:, None] != wb[None, :]
-        v = np.where(other, compare(a, b)[..., 0], 0.0)
-        w, n, s = (wa, other.sum(1), v.sum(1)) if one else (np.r_[wa, wb], np.r_[other.sum(1), other.sum(0)], np.r_[v.sum(1), v.sum(0)])
-        return {"g": np.full(len(w), groups(ka[:1])[0], object), "work": w, "n": n, "s": s}
+        v = np.where(other[..., None], compare(a, b), 0.0)
+        w, n, s = (wa, other.sum(1), v.sum(1)) if one else (np.r_[wa, wb], np.r_[other.sum(1), other.sum(0)], np.concatenate([v.sum(1), v.sum(0)]))
+        return {"g": np.full(len(w), groups(ka[:1])[0], object), "work": w, "n": n} | {c: s[:, k] for k, c in enumerate(names)}
 
     def between(ka: np.ndarray, kb: np.ndarray, a: dict, b: dict, one: bool) -> dict[str, np.ndarray]:
-        names, code = np.unique(np.r_[groups(ka), groups(kb)].astype(str), return_inverse=True)
+        held, code = np.unique(np.r_[groups(ka), groups(kb)].astype(str), return_inverse=True)
         ga, gb = code[: len(ka)], code[len(ka) :]
         i, j = np.nonzero((ga[:, None] != gb[None, :]) & (np.triu(np.ones((len(ka), len(kb)), bool), 1) if one else True))
-        pair, at = np.unique(np.minimum(ga[i], gb[j]) * len(names) + np.maximum(ga[i], gb[j]), return_inverse=True)
-        s, n = np.bincount(at, compare(a, b)[i, j, 0], len(pair)), np.bincount(at, minlength=len(pair))
-        return {"work": np.full(len(pair), works(ka[:1])[0], object), "g1": names[pair // len(names)].astype(object), "g2": names[pair % len(names)].astype(object), "n": n, "s": s}
+        pair, at = np.unique(np.minimum(ga[i], gb[j]) * len(held) + np.maximum(ga[i], gb[j]), return_inverse=True)
+        v = compare(a, b)[i, j]
+        out = {"work": np.full(len(pair), works(ka[:1])[0], object), "g1": held[pair // len(held)].astype(object), "g2": held[pair % len(held)].astype(object), "n": np.bincount(at, minlength=len(pair))}
+        return out | {c: np.bincount(at, v[:, k], len(pair)) for k, c in enumerate(names)}
 
     rows = checkpoint(rows.select("label", *columns))
+    sums = ", ".join(f"{c} double" for c in names)
+    within = fold_cells(rows, "label", columns, F.substring_index("label", "/", 1), inside, f"g string, work string, n bigint, {sums}").filter("n > 0")
+    return within, fold_cells(rows, "label", columns, T.work_of("label"), between, f"work string, g1 string, g2 string, n bigint, {sums}")
+
+
+def competition_in_cells(rows: DataFrame, columns: list[str], compare: Callable[[dict, dict], np.ndarray]) -> DataFrame:
+    """:func:`competition` of ``rows(label, *columns)`` without edges."""
+    within, cross = competing_sums(rows, columns, compare, ["s"])
     mean = (F.sum("s") / F.sum("n")).alias
-    within = fold_cells(rows, "label", columns, F.substring_index("label", "/", 1), inside, "g string, work string, n bigint, s double").filter("n > 0").groupBy("g", "work").agg(mean("within"))
-    cross = fold_cells(rows, "label", columns, T.work_of("label"), between, "work string, g1 string, g2 string, n bigint, s double").groupBy("work", "g1", "g2").agg(mean("cross"))
-    return decided(cross, within).select("work", "g1", "g2", "cross", "within_1", "within_2", "same", "winner")
+    return decided(cross.groupBy("work", "g1", "g2").agg(mean("cross")), within.groupBy("g", "work").agg(mean("within"))).select("work", "g1", "g2", "cross", "within_1", "within_2", "same", "winner")
 
 
 def decided(cross: DataFrame, within: DataFrame, *by: str) -> DataFrame:

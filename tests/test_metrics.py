@@ -185,3 +185,39 @@ def test_differences_against_edges(spark):
     assert pick(fingerprint.similarity_differences(f)) == pick(metrics.sample_differences(fingerprint.similarities(f), "sim"))
     again = pick(metrics.story_differences(fingerprint.similarities(f), "sim").withColumnRenamed("work", "label"))
     assert again and pick(metrics.story_differences_in_cells(f, fingerprint.COLUMNS, fingerprint.likeness()).withColumnRenamed("work", "label")) == again
+
+
+def test_weight_variants_in_blocks_against_loop(spark):
+    rng = np.random.default_rng(11)
+    labels = sorted({f"g{rng.integers(4)}/w{rng.integers(9)}__chunk{rng.integers(1, 3):03d}" for _ in range(40)})
+    n = len(labels)
+    x = {c: rng.random((n, k)) for c, k in (("word_length", 3), ("function_words", 4), ("char_ngrams", 4), ("word_bigrams", 3), ("punctuation", 2))} | {c: rng.random(n) for c in ("sent_mean", "sent_sd", "ttr", "hapax")}
+    x = {c: np.r_[v[: n - 3], v[:3]] for c, v in x.items()}  # ties
+    feats = spark.createDataFrame([(a, *(x[c][i].tolist() for c in fingerprint.COLUMNS)) for i, a in enumerate(labels)], "label string, " + ", ".join(f"{c} {'array<double>' if x[c].ndim > 1 else 'double'}" for c in fingerprint.COLUMNS)).localCheckpoint()
+    swept = sensitivity.sweep(feats, block=7)
+    assert swept.filter("label is not null").count() <= 2 * n * -(-n // 7)  # one row for each label and block, whatever the number of variants
+    got = {r["variant"]: r for r in sensitivity.metrics_by_variant(swept.localCheckpoint(), feats).collect()}
+    named = sensitivity.variants()
+    scores, g, w = fingerprint.dimension_scores(x, x), pairs.groups(np.array(labels)), pairs.works(np.array(labels))
+    up = np.triu(np.ones((n, n), bool), 1)
+    assert len(got) == len(named)
+    for name, weight in named:
+        d = 1 - scores @ np.array([weight[k] for k in fingerprint.DIMENSIONS])
+        same = g[:, None] == g[None, :]
+        a, b = d[up & same], d[up & ~same]
+        want = (b.mean() - a.mean()) / math.sqrt(((len(a) - 1) * a.var(ddof=1) + (len(b) - 1) * b.var(ddof=1)) / (n * (n - 1) / 2 - 2))
+        near = np.round(d, 12)
+        np.fill_diagonal(near, np.inf)
+        within = lambda grp, work: [d[i, j] for i in range(n) if (g[i], w[i]) == (grp, work) for j in range(n) if g[j] == grp and w[j] != work]
+        won = total = 0
+        for work in set(w):
+            have = sorted(set(g[w == work]))
+            for k, g1 in enumerate(have):
+                for g2 in have[k + 1 :]:
+                    own = [np.mean(v) for v in (within(g1, work), within(g2, work)) if v]
+                    if own:
+                        total += 1
+                        won += round(d[np.ix_((g == g1) & (w == work), (g == g2) & (w == work))].mean(), 12) < round(np.mean(own), 12)
+        r = got[name]
+        assert r["cohens_d"] == pytest.approx(want) and r["within"] == pytest.approx(a.mean()) and r["between"] == pytest.approx(b.mean())
+        assert r["knn_accuracy"] == pytest.approx(np.mean(g[near.argmin(1)] == g)) and (r["competition_wins"], r["competition_pairs"]) == (won, total)
