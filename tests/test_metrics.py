@@ -221,3 +221,35 @@ def test_weight_variants_in_blocks_against_loop(spark):
         r = got[name]
         assert r["cohens_d"] == pytest.approx(want) and r["within"] == pytest.approx(a.mean()) and r["between"] == pytest.approx(b.mean())
         assert r["knn_accuracy"] == pytest.approx(np.mean(g[near.argmin(1)] == g)) and (r["competition_wins"], r["competition_pairs"]) == (won, total)
+
+
+@pytest.mark.parametrize("linkage", clustering.LINKAGES)
+def test_clustering_of_more_labels_than_once_fitted(spark, linkage, monkeypatch):
+    monkeypatch.setattr(clustering, "MOST", 3)
+    rng = random.Random(4)
+    words = ["alpha", "beta", "gamma", "delta"]
+    v = {f"g{i % 3}/w{i // 3}": [float(rng.randrange(4)) for _ in words] for i in range(12)}
+    v["g9/w9__chunk001"], v["g9/w9__chunk002"] = [40.0] * 4, [41.0] * 4
+    df = spark.createDataFrame(list(v.items()), "label string, v array<double>")
+    # ties fall to the first pair: every step looks at all pairs anew
+    names = sorted(v)
+    m = np.array([[np.mean(np.abs(np.array(v[a]) - np.array(v[b]))) for b in names] for a in names])
+    d = {(i, j): (m[i, j] ** 2 if linkage == "ward" else m[i, j]) for i in range(len(v)) for j in range(i + 1, len(v))}
+    held, want = {i: [x] for i, x in enumerate(names)}, []
+    get = lambda i, j: d[min(i, j), max(i, j)]
+    while len(held) > 1:
+        a, b = min(((i, j) for i in held for j in held if i < j), key=lambda p: (d[p], p))
+        new, na, nb = len(v) + len(want), len(held[a]), len(held[b])
+        for k in held:
+            if k not in (a, b):
+                x, y, s = get(a, k), get(b, k), len(held[k])
+                d[k, new] = {"average": (na * x + nb * y) / (na + nb), "single": min(x, y), "complete": max(x, y), "ward": ((na + s) * x + (nb + s) * y - s * d[a, b]) / (na + nb + s)}[linkage]
+        held[new] = held.pop(a) + held.pop(b)
+        want.append((a, b, round(d[a, b] ** 0.5 if linkage == "ward" else d[a, b], 9), held[new]))
+    got = clustering.cluster(df, linkage).orderBy("step").collect()
+    assert [(r["left_id"], r["right_id"], round(r["height"], 9), r["members"]) for r in got] == want
+    merged, leaves = clustering.tree(spark, *clustering.labelled(df), linkage)
+    sets = [sorted(x) for *_, x in want]
+    works = {w: sorted(x for x in v if x.split("/")[1].split("__")[0] == w) for w in {x.split("/")[1].split("__")[0] for x in v}}
+    assert sorted(r["work"] for r in clustering.exact_works(merged, leaves).collect()) == sorted(w for w, x in works.items() if len(x) > 1 and x in sets)
+    assert clustering.cluster(df.limit(1), linkage).count() == clustering.cluster(df.limit(0), linkage).count() == 0
