@@ -1,7 +1,8 @@
 """Problem 6: train, validation and test splits that keep related records together.
 
 Method: components by parallel hooking and shortcutting over a parent table, all as joins; then bitsets of the reachable
-split totals over the sizes of the components and their multiplicities choose which components make up each split.
+split totals over the sizes of the components and their multiplicities, exchanges and, where those may not be the closest, a search over
+the totals of all smaller splits choose which components make up each split.
 
 Cases: a null or blank group name is taken from ``sample`` before ``/``; a row with neither group nor work is a component of its
 own; rows sent again count once; an empty table gives an empty result. Names are the same apart from letter case, full- or
@@ -22,10 +23,8 @@ from pyspark.sql.window import Window
 
 from quillmark.session import checkpoint, once_per_key
 
-#: Split totals are exact up to so many rows; beyond that sizes are counted in units of total / RESOLUTION rows.
+#: The first filling is exact up to so many rows; beyond that it counts sizes in units of total / RESOLUTION rows.
 RESOLUTION = 1 << 24
-#: Up to so many rows the smaller splits are chosen together.
-JOINT = 4_096
 
 
 def widths() -> tuple[str, str]:
@@ -81,19 +80,17 @@ def tied(predictions: DataFrame) -> DataFrame:
 def closest_totals(sizes: list[tuple[int, int]], shares: tuple[float, ...] = (0.8, 0.1, 0.1), resolution: int = RESOLUTION) -> list[dict[int, int]]:
     """How many components of each size go to each split, from (size, how many there are).
 
-    Up to ``JOINT`` rows the two smaller of three splits are searched together, over all pairs of totals, so the deviation is the least there
-    is. Beyond that the second and further splits are filled one after the other with the subset whose total is closest to the share, in
-    the order of the shares and in the reverse, and then components are exchanged between splits while that brings the totals
-    closer; the first split takes the rest. Totals are exact up to ``resolution`` rows; beyond that each component's size is rounded to units of
-    total / resolution rows in the search (not in the exchanges), so a total may be off by half a unit for each component in it.
+    The deviation is the least there is, at any size. A plan comes first: the second and further splits are filled one after the other
+    with the subset whose total is closest to the share, in the order of the shares and in the reverse, and then components are
+    exchanged between splits while that brings the totals closer. It stands if it is as close as the sizes' common divisor lets
+    any plan be; else all totals that could lead to a closer one are searched (:func:`_closest`). The first split takes the rest. Beyond ``resolution``
+    rows the filling counts in units of total / resolution rows; the exchanges, the test and the search are exact.
     Multiplicities are split into powers of two, so a bitset has a step for each of them only.
     """
     total = sum(s * n for s, n in sizes)
     exact = [Fraction(str(x)) for x in shares]
     if total == 0:
         return [{} for _ in shares]
-    if total <= JOINT and len(shares) == 3:
-        return _both(sizes, total, exact)
     unit = max(1, -(-total // resolution))
 
     def fill(order: list[int]) -> list[dict[int, int]]:
@@ -121,7 +118,7 @@ def closest_totals(sizes: list[tuple[int, int]], shares: tuple[float, ...] = (0.
         return _exchanged(out, exact, total)
 
     rest = list(range(1, len(shares)))
-    return min((fill(rest), fill(rest[::-1])), key=lambda x: _deviation(x, exact, total))
+    return _closest(sizes, min((fill(rest), fill(rest[::-1])), key=lambda x: _deviation(x, exact, total)), exact, total)
 
 
 def _binary(sizes: Iterable[tuple[int, int]], splits: int = 1) -> list[tuple[int, int]]:
@@ -142,35 +139,51 @@ def _deviation(plan: list[dict[int, int]], exact: list[Fraction], total: int) ->
     return sum((abs(x * total - sum(s * n for s, n in p.items())) for x, p in zip(exact, plan)), Fraction(0))
 
 
-def _both(sizes: list[tuple[int, int]], total: int, exact: list[Fraction]) -> list[dict[int, int]]:
-    """The second and third split together: a table of all pairs of totals, each with the step that first reached it."""
-    items, wide = _binary(sizes, 2), [total + 1, total + 1]
-    first = np.full(wide, -1, np.int32)
-    first[0, 0] = 0
-    for k, (size, n) in enumerate(items, 1):
-        x = size * n
-        had = first >= 0
-        new = np.zeros_like(had)
-        if x < wide[0]:
-            new[x:] |= had[:-x]
-        if x < wide[1]:
-            new[:, x:] |= had[:, :-x]
-        first[new & ~had] = k
-    v, t = np.nonzero(first >= 0)
-    scale = np.lcm.reduce([x.denominator for x in exact])
-    off = [np.abs(np.arange(w) * int(scale) - int(x * total * scale)) for w, x in zip(wide, exact[1:])]
-    at = int(np.argmin(off[0][v] + off[1][t] + np.abs((total - v - t) * int(scale) - int(exact[0] * total * scale))))
-    i, j = int(v[at]), int(t[at])
-    out: list[dict[int, int]] = [dict(sizes), {}, {}]
-    while first[i, j]:
-        k = first[i, j]
-        size, n = items[k - 1]
-        # the step took the cell from one that an earlier step had reached
-        which = 1 if i >= size * n and 0 <= first[i - size * n, j] < k else 2
-        i, j = (i - size * n, j) if which == 1 else (i, j - size * n)
+def _least(sums: np.ndarray, goals: np.ndarray, left: int, unit: int, scale: int) -> np.ndarray:
+    """The least deviation (times ``scale``) of each row of split totals, if ``left`` more rows could be shared out in any pieces of ``unit`` rows."""
+    gap, step = goals - sums * scale, unit * scale
+    down = np.maximum(gap // step, 0)  # pieces up to the goal, not beyond
+    rest = gap - down * step
+    spare = left // unit - down.sum(1)
+    one_more = np.sort(np.abs(rest - step) - np.abs(rest), axis=1)  # what a piece more costs; a second one costs a whole piece
+    k = sums.shape[1]
+    more = np.concatenate([np.zeros((len(sums), 1), int), np.cumsum(one_more, axis=1)], 1)
+    over = np.clip(spare, 0, k)
+    return np.abs(rest).sum(1) + more[np.arange(len(sums)), over] + (np.abs(spare) - over) * step
+
+
+def _closest(sizes: list[tuple[int, int]], plan: list[dict[int, int]], exact: list[Fraction], total: int) -> list[dict[int, int]]:
+    """The closest plan there is: ``plan``, or a closer one from a search over the totals of all splits but the first.
+
+    Totals that no rest could bring closer than ``plan`` are dropped at each step, equal ones are kept once.
+    """
+    scale = int(np.lcm.reduce([x.denominator for x in exact]))
+    goals = np.array([int(x * total * scale) for x in exact])
+    items, k = _binary(sizes, len(exact) - 1), len(exact)
+    left = [*np.cumsum([s * n for s, n in items][::-1])[::-1].tolist(), 0]
+    unit = [*np.gcd.accumulate([s for s, _ in items][::-1])[::-1].tolist(), 1]
+    best = int(_deviation(plan, exact, total) * scale)
+    layers = [np.zeros((1, k - 1), np.int64)]
+    if best <= int(_least(np.zeros((1, k), int), goals, total, unit[0], scale)[0]):
+        return plan
+    for at, (size, n) in enumerate(items):
+        x, had = size * n, layers[-1]
+        new = np.concatenate([had, *(had + x * np.eye(k - 1, dtype=np.int64)[i] for i in range(k - 1))])
+        sums = np.column_stack([total - left[at + 1] - new.sum(1), new])
+        new = new[_least(sums, goals, left[at + 1], unit[at + 1], scale) < best]
+        if not len(new):
+            return plan
+        layers.append(np.unique(new, axis=0))
+    ends = layers[-1]
+    end = ends[int(np.argmin(np.abs(goals - np.column_stack([total - ends.sum(1), ends]) * scale).sum(1)))]
+    out: list[dict[int, int]] = [{} for _ in exact]
+    for (size, n), had in zip(reversed(items), reversed(layers[:-1])):
+        # the item went to the first split, or to one whose total without it was reached before
+        steps = np.vstack([np.zeros(k - 1, np.int64), size * n * np.eye(k - 1, dtype=np.int64)])
+        which = next(i for i, x in enumerate(steps) if (had == end - x).all(1).any())
+        end = end - steps[which]
         out[which][size] = out[which].get(size, 0) + n
-        out[0][size] -= n
-    return [{s: n for s, n in p.items() if n} for p in out]
+    return out
 
 
 def _exchanged(plan: list[dict[int, int]], exact: list[Fraction], total: int) -> list[dict[int, int]]:

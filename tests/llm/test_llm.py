@@ -255,6 +255,23 @@ def test_closest_totals_against_all_plans():
         assert off([sum(s * n for s, n in p.items()) for p in plan]) == best, xs
 
 
+def test_closest_totals_are_as_close_at_any_size():
+    import random
+    from collections import Counter
+    from fractions import Fraction
+
+    r = random.Random(7)
+    for _ in range(150):
+        xs = [r.randint(1, r.choice([5, 40, 300])) for _ in range(r.randint(1, 20))]
+        off = []
+        for f in (1, 1_000, 100_003):  # the last beyond RESOLUTION
+            plan = grouping.closest_totals(sorted((s * f, n) for s, n in Counter(xs).items()))
+            assert sum((Counter(p) for p in plan), Counter()) == Counter(x * f for x in xs)
+            sums = [sum(s * n for s, n in p.items()) for p in plan]
+            off.append(sum(abs(Fraction(x) * sum(sums) - y) for x, y in zip(("0.8", "0.1", "0.1"), sums)) / f)
+        assert off[0] == off[1] == off[2], xs
+
+
 def test_closest_totals():
     plan = grouping.closest_totals([(1, 37), (7, 11), (50, 3), (300, 1)])
     sums = [sum(s * n for s, n in p.items()) for p in plan]
