@@ -253,3 +253,17 @@ def test_clustering_of_more_labels_than_once_fitted(spark, linkage, monkeypatch)
     works = {w: sorted(x for x in v if x.split("/")[1].split("__")[0] == w) for w in {x.split("/")[1].split("__")[0] for x in v}}
     assert sorted(r["work"] for r in clustering.exact_works(merged, leaves).collect()) == sorted(w for w, x in works.items() if len(x) > 1 and x in sets)
     assert clustering.cluster(df.limit(1), linkage).count() == clustering.cluster(df.limit(0), linkage).count() == 0
+
+
+def test_blocks_are_not_sent_once_for_every_other(spark):
+    rng = random.Random(6)
+    v = {f"g{i % 5}/w{i}": [rng.random() for _ in range(3)] for i in range(90)}
+    df = spark.createDataFrame(list(v.items()), "label string, v array<double>")
+    for block in (1, 7, 200):
+        out = pairs.block_pairs(df.union(df.limit(5)), "label", ["v"], pairs.mean_absolute, ["d"], block)
+        # rows are shuffled and written once, packed; the pairs are read from there
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {(r["la"], r["lb"]): r["d"] for r in out.collect()}
+        want = {(a, b): np.mean(np.abs(np.array(v[a]) - np.array(v[b]))) for a in v for b in v if a < b}
+        assert got == pytest.approx(want) and out.count() == len(want)
+    assert pairs.delta(df.limit(0)).count() == pairs.delta(df.limit(1)).count() == 0
