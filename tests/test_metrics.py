@@ -255,6 +255,31 @@ def test_clustering_of_more_labels_than_once_fitted(spark, linkage, monkeypatch)
     assert clustering.cluster(df.limit(1), linkage).count() == clustering.cluster(df.limit(0), linkage).count() == 0
 
 
+def test_linkages_share_one_comparison_of_all_pairs(spark, monkeypatch):
+    from quillmark.plans import registry
+
+    monkeypatch.setattr(clustering, "BLOCK", 4)
+    rng = random.Random(8)
+    v = {f"g{i % 3}/w{i // 3}": [float(rng.randrange(9)) for _ in range(3)] for i in range(21)}
+    v["g9/w9__chunk001"], v["g9/w9__chunk002"] = [40.0] * 3, [41.0] * 3
+    df = spark.createDataFrame(list(v.items()), "label string, v array<double>")
+    made, distances = [], clustering.distances
+    monkeypatch.setattr(clustering, "distances", lambda *a: made.append(distances(*a)) or made[-1])
+    monkeypatch.setattr(registry, "_vectors", lambda *a: df)
+    got = {r["linkage"]: (r["merges"], round(r["top"], 6), r["exact_works"]) for r in registry.linkage_merges(spark, "").collect()}
+    names = sorted(v)
+    m = np.array([[np.mean(np.abs(np.array(v[a]) - np.array(v[b]))) for b in names] for a in names])
+    want = {}
+    for linkage in clustering.LINKAGES:
+        merged = clustering.merges(names, m.round(12), linkage)
+        sets = [sorted(x) for *_, x in merged]
+        works = [sorted(x for x in v if x.split("/")[1].split("__")[0] == w) for w in {x.split("/")[1].split("__")[0] for x in v}]
+        want[linkage] = len(merged), round(max(h for _, _, _, h, _, _ in merged), 6), sum(len(x) > 1 and x in sets for x in works)
+    assert got == want and min(n for *_, n in got.values()) >= 1
+    # the distances are made once and stay for the next linkage
+    assert len(made) == 1 and np.triu(made[0], 1) == pytest.approx(np.triu(m, 1))
+
+
 def test_blocks_are_not_sent_once_for_every_other(spark):
     rng = random.Random(6)
     v = {f"g{i % 5}/w{i}": [rng.random() for _ in range(3)] for i in range(90)}
