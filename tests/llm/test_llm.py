@@ -152,6 +152,30 @@ def test_neighbours_over_two_levels(spark, monkeypatch, routed, least):
     assert np.mean([len(got[i] & set(np.argsort(-s[i], kind="stable")[:5].tolist())) / 5 for i in range(2000)]) >= least
 
 
+def test_vectors_are_written_once_and_sent_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PART", 60)
+    monkeypatch.setattr(neighbours, "PARTS", 4)
+    rng = np.random.default_rng(6)
+    x = neighbours.unit(np.repeat(rng.random((30, 8)), 40, 0) + rng.normal(0, 0.02, (1200, 8)))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, v array<double>")
+    one = sorted(neighbours.most_similar(df, "id", "v", 8).collect())
+    written, checkpoint = [], neighbours.checkpoint
+    monkeypatch.setattr(neighbours, "checkpoint", lambda t: written.append(checkpoint(t)) or written[-1])
+    monkeypatch.setattr(neighbours, "ROUND", 1)
+    counts, drop = [], neighbours.drop_checkpoint
+    monkeypatch.setattr(neighbours, "drop_checkpoint", lambda t: counts.append(t.count()) or drop(t))
+    assert sorted(neighbours.most_similar(df, "id", "v", 8).collect()) == one
+    # no table has a row for each part that a vector goes to, and both tables of vectors are gone
+    assert counts == [1200, 1200] and len(written) > 3 and all(t.count() <= 1200 for t in written[2:])
+
+
+def test_packed_vectors_are_exact():
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.random((5, 6)), rng.integers(0, 60_000, (5, 6)) / 1e6, -rng.integers(0, 10**9, (5, 6)) / 1e6, rng.integers(0, 9, (5, 6)) * 1.0, np.array([[1e300, 1e-300, 5.0, -0.5, 0.1 + 0.2, 3.0]])])
+    rows = neighbours.packed(x)
+    assert (neighbours.unpacked(rows) == x).all() and [len(r) for r in rows[::5]] == [49, 13, 25, 13, 49]
+
+
 # ---- 5 bitexts ----
 
 
