@@ -280,6 +280,28 @@ def test_linkages_share_one_comparison_of_all_pairs(spark, monkeypatch):
     assert len(made) == 1 and np.triu(made[0], 1) == pytest.approx(np.triu(m, 1))
 
 
+@pytest.mark.parametrize("linkage", clustering.LINKAGES)
+def test_clustering_without_a_matrix(spark, linkage, monkeypatch):
+    rng = np.random.default_rng(9)
+    for k in range(40):
+        n, w = int(rng.integers(1, 40)), int(rng.integers(1, 6))
+        x = rng.integers(0, 5, (n, w)) * 1.0 if k % 2 and linkage != "ward" else rng.normal(size=(n, w))
+        monkeypatch.setattr(clustering, "BLOCK", 7)
+        monkeypatch.setattr(clustering, "MATRIX", 1 << 30)
+        pairs, heights = clustering.steps(clustering.distances(x), linkage)
+        # no disk, and room for the sums of a few clusters only
+        monkeypatch.setattr(clustering, "MATRIX", 0)
+        monkeypatch.setattr(clustering, "KEPT", 8 * n * int(rng.integers(2, 9)))
+        monkeypatch.setattr(clustering.tempfile, "TemporaryFile", None)
+        (tree, _), = clustering.trees(spark, [f"g/{i:03}" for i in range(n)], x, [linkage]) if k == 1 else [(None, None)]
+        d = clustering.distances(x)
+        got, high = clustering.steps_without_matrix(d, linkage, d.nearest())
+        monkeypatch.undo()
+        assert (got == pairs).all() and high == pytest.approx(heights, abs=1e-9)
+        if tree is not None:
+            assert [(r["left_id"], r["right_id"]) for r in tree.orderBy("step").collect()] == [tuple(p) for p in pairs.tolist()]
+
+
 def test_blocks_are_not_sent_once_for_every_other(spark):
     rng = random.Random(6)
     v = {f"g{i % 5}/w{i}": [rng.random() for _ in range(3)] for i in range(90)}
