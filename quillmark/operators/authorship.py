@@ -102,7 +102,7 @@ def analysed(cases: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame
     both = c.join(b.select("case", F.col("sims").alias("own")), "case").withColumn("p", inference.permuted("own", "sims"))
     control = both.groupBy("case").agg(F.max("p").alias("p_permutation"), F.avg("mean").alias("mean_controls"), F.sqrt(F.avg(F.col("sd") * F.col("sd"))).alias("sd_controls"), F.sum("n").alias("n_controls"), F.max("mean").alias("top"))
     diff = sims.groupBy("case", "no").agg((F.max(F.when(F.col("ref") == "B", F.col("sim"))) - F.avg(F.when(F.col("ref") != "B", F.col("sim")))).alias("diff"))
-    w = inference.wilcoxon(diff, by=("case",)).select("case", F.when(F.col("n") < 3, 1.0).otherwise(inference.p_two_sided("z")).alias("p_wilcoxon"))
+    w = inference.wilcoxon(diff, by=("case",)).select("case", F.col("p").alias("p_wilcoxon"))
     d = cohens_d(F.col("mean"), F.col("mean_controls"), F.col("sd"), F.col("sd_controls"), F.col("n"), F.col("n_controls"))
     scored = b.join(control, "case").join(w, "case", "left").withColumn("p_wilcoxon", F.coalesce("p_wilcoxon", F.lit(1.0))).withColumn("cohens_d", d)
     one = scored.select("case", F.col("n").alias("n_segments"), F.col("mean").alias("mean_b"), F.col("sd").alias("sd_b"), "mean_controls", "sd_controls", "p_wilcoxon", "p_permutation", "cohens_d", P.verdict(F.col("mean") >= F.col("top"), F.col("p_wilcoxon"), F.col("cohens_d")).alias("verdict"))

@@ -28,6 +28,12 @@ def signed_ranks(diffs: DataFrame, value: str = "diff", by: tuple[str, ...] = ()
     return nz.select(*by, "d", (F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(*by, "a")) - 1) / 2).alias("rank"))
 
 
+@F.udf(DoubleType())
+def p_two_sided(z: float | None) -> float | None:
+    """p of a z value; a single number for each test, so a plain function is enough."""
+    return None if z is None else min(1.0, math.erfc(abs(z) / math.sqrt(2)))
+
+
 def wilcoxon(diffs: DataFrame, value: str = "diff", by: tuple[str, ...] = ()) -> DataFrame:
     """One row for each ``by``: W+ and W-, z by normal approximation without corrections, two-sided p (1 below three differences), r."""
     r = signed_ranks(diffs, value, by)
@@ -37,13 +43,8 @@ def wilcoxon(diffs: DataFrame, value: str = "diff", by: tuple[str, ...] = ()) ->
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24)
     z = F.when(n >= 3, (F.least("w_plus", "w_minus") - n * (n + 1) / 4) / F.when(n >= 3, sd).otherwise(1.0)).otherwise(0.0)
     total = F.col("w_plus") + F.col("w_minus")
-    return one.withColumn("z", z).withColumn("r", F.when(total > 0, (F.col("w_plus") - F.col("w_minus")) / F.when(total > 0, total).otherwise(1.0)).otherwise(0.0))
-
-
-@F.udf(DoubleType())
-def p_two_sided(z: float | None) -> float | None:
-    """p of a z value; a single number for each test, so a plain function is enough."""
-    return None if z is None else min(1.0, math.erfc(abs(z) / math.sqrt(2)))
+    p = F.when(n < 3, 1.0).otherwise(p_two_sided("z"))
+    return one.withColumn("z", z).withColumn("p", p).withColumn("r", F.when(total > 0, (F.col("w_plus") - F.col("w_minus")) / F.when(total > 0, total).otherwise(1.0)).otherwise(0.0))
 
 
 def permutation(own: list[float], others: list[float], n: int = 10_000, seed: int = 42) -> float:

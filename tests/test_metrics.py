@@ -81,6 +81,13 @@ def test_wilcoxon(spark, d, plus, minus, r):
     assert (w["w_plus"], w["w_minus"]) == (plus, minus) and w["r"] == pytest.approx(r)
 
 
+def test_wilcoxon_gives_p(spark):
+    t = spark.createDataFrame([(k, float(x)) for k, d in (("a", [1, 2, 3, 4, -1]), ("b", [1, -1, 0]), ("c", [-1, -2, -3, -4, -5, -6])) for x in d], "k string, diff double")
+    p = {r["k"]: r["p"] for r in inference.wilcoxon(t, by=("k",)).collect()}
+    z = {"a": 6 / math.sqrt(5 * 6 * 11 / 24), "c": 10.5 / math.sqrt(6 * 7 * 13 / 24)}
+    assert p == pytest.approx({"b": 1.0} | {k: math.erfc(x / math.sqrt(2)) for k, x in z.items()})
+
+
 def test_p_value(spark):
     assert spark.range(1).select(inference.p_two_sided(F.lit(1.96))).first()[0] == pytest.approx(math.erfc(1.96 / math.sqrt(2)))
     assert inference.permutation([1.0], []) == 1.0 and inference.permutation([5.0, 6.0, 7.0], [1.0, 2.0, 1.5], 500) < 0.2
