@@ -99,6 +99,19 @@ def test_equal_chunks(spark):
     assert got == {"A/w__chunk001", "A/w__chunk002", "B/w__chunk001", "B/w__chunk002"}
 
 
+def test_lists_are_not_written(spark, tmp_path, monkeypatch):
+    text = "The old man didn't sit by the sea; he said, \"Go!\" The boat was 3 years old. " * 60
+    c = corpus(spark, {"A/w1": text, "A/w2": text.replace("boat", "sea"), "B/w1": "", "B/w2": "老人坐在海边。"}).select("label", "text")
+    for lang in ("en", "zh"):
+        want, written = {r["label"]: r for r in fingerprint._lists(c, lang).collect()}, []
+        monkeypatch.setattr(fingerprint, "checkpoint", lambda t: written.append(t) or t)
+        got = fingerprint.kept_lists(c, lang)
+        assert {r["label"]: r for r in got.collect()} == want and got.columns == fingerprint._lists(c, lang).columns
+        # words and n-grams as lists take more than ten times the texts
+        (held,) = written
+        assert not [x for x, t in held.dtypes if t == "array<string>"]
+
+
 def test_dimension_scores_and_weights():
     z = lambda *v: np.array([list(map(float, v))])
     a = {"word_length": z(0.5, 0.5), "function_words": z(1, 0), "char_ngrams": np.zeros((1, 0)), "word_bigrams": z(0, 0), "punctuation": z(1), "sent_mean": np.array([10.0]), "sent_sd": np.array([0.0]), "ttr": np.array([0.5]), "hapax": np.array([0.2])}
